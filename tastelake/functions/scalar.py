@@ -120,3 +120,8 @@ def any_of(conditions: Sequence[Column]) -> Column:
 def card(prefix: Sequence[str] = ()) -> list[str]:
     """Columns of an item card."""
     return [*prefix, "title", "genres", "year", "poster_url", "vote_average"]
+
+
+def round_to(value: str | Column, digits: int) -> Column:
+    """Half-up rounding of a decimal quantity: binary noise beyond four more digits is cut first."""
+    return F.round(F.round(value, digits + 4), digits)

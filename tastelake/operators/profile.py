@@ -68,9 +68,7 @@ def user_features(ratings: DataFrame, as_of: str) -> DataFrame:
 
 
 def item_features(items: DataFrame, ratings: DataFrame) -> DataFrame:
-    stats = ratings.groupBy("item_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("rating").alias("mean"), F.approx_count_distinct("user_id").alias("_u")
-    ).drop("_u")
+    stats = ratings.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.avg("rating").alias("mean"))
     n = F.coalesce("n", F.lit(0))
     return items.join(stats, "item_id", "left").select(
         "item_id",

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastelake.functions.scalar import unit
-from tastelake.operators.blocks import both_ways, shared_row_sums, vector_top_k
+from tastelake.functions.scalar import round_to, unit
+from tastelake.operators.blocks import both_ways, sparse_top_k, vector_top_k
 from tastelake.operators.ordering import top_n
 
 
@@ -39,17 +39,25 @@ def neighbors_from_pairs(pairs: DataFrame, k: int, score: str = "score") -> Data
     )
 
 
-def sparse_cosine_pairs(weights: DataFrame, column: str, feature: str, weight: str) -> DataFrame:
-    """Cosine of every pair of sparse vectors that share a feature: (a, b, score).
-
-    ``weights`` holds (column id, feature, weight). A feature that a third of all ids carry is one matrix row, split by
-    the block grid like any other.
-    """
-    numbered = weights.withColumn("_feature", F.xxhash64(feature))
-    products = shared_row_sums(numbered, "_feature", column, weight)
-    lengths = weights.groupBy(column).agg(F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("len"))
-    left = lengths.select(F.col(column).alias("a"), F.col("len").alias("len_a"))
-    right = lengths.select(F.col(column).alias("b"), F.col("len").alias("len_b"))
-    return products.join(left, "a").join(right, "b").select(
-        "a", "b", (F.col("sxy") / (F.col("len_a") * F.col("len_b"))).alias("score")
+def sparse_neighbors(weights: DataFrame, column: str, feature: str, weight: str, k: int = 20) -> DataFrame:
+    """Exact k nearest ids by cosine of sparse vectors (item_id, rank, neighbor_id, score); only positive scores."""
+    lengths = weights.groupBy(column).agg(F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("_len"))
+    safe = F.when(F.col("_len") == 0, F.lit(1.0)).otherwise(F.col("_len"))
+    units = weights.join(lengths, column).select(
+        F.col(column).alias("id"), F.col(feature).alias("feature"), (F.col(weight) / safe).alias("weight")
+    )
+    found = sparse_top_k(units, units, k, exclude_self=True)
+    return found.select(
+        F.col("key").alias("item_id"), "rank", F.col("item_id").alias("neighbor_id"), F.round("score", 4).alias("score")
     )
+
+
+def fuse_neighbors(lists: list[tuple[DataFrame, float]], k: int = 20) -> DataFrame:
+    """Weighted sum of neighbour lists; a missing neighbour counts 0, only positive sums stay."""
+    parts = [df.select("item_id", "neighbor_id", (F.lit(w) * F.col("score")).alias("part")) for df, w in lists]
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part)
+    fused = merged.groupBy("item_id", "neighbor_id").agg(F.sum("part").alias("raw")).filter("raw > 0")
+    scored = fused.select("item_id", "neighbor_id", round_to("raw", 4).alias("score"))
+    return top_n(scored, ["item_id"], [F.col("score").desc(), F.col("neighbor_id")], k)

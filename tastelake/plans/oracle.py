@@ -52,7 +52,7 @@ CTES: dict[str, str] = {
           WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = u.user_id AND r.item_id = i.item_id))
         WHERE rank <= 50""",
     "hybrid_recs": """
-        SELECT user_id, rank, item_id, round(s, 4) AS score FROM (
+        SELECT user_id, rank, item_id, CAST(round(CAST(s AS DECIMAL(28, 8)), 4) AS DOUBLE) AS score FROM (
           SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(s, 10) DESC, item_id) AS rank FROM (
             SELECT user_id, item_id, 0.6::DOUBLE * score AS s FROM cf_recs
             UNION ALL
@@ -91,6 +91,11 @@ CTES: dict[str, str] = {
 }
 
 
+def rounded(text: str, digits: int) -> str:
+    """Half-up rounding of a decimal quantity in SQL."""
+    return f"CAST(round(CAST({text} AS DECIMAL(28, {digits + 4})), {digits}) AS DOUBLE)"
+
+
 def sql(body: str, extra: dict[str, str] | None = None) -> str:
     """Put the needed table expressions (and those they need) in front of a query."""
     known = {**CTES, **(extra or {})}

@@ -158,8 +158,8 @@ def catalog_rollup(v):
     sql("""SELECT quantile_cont(n, 0.8) AS p80 FROM (SELECT count(*)::DOUBLE AS n FROM ratings GROUP BY item_id)"""),
 )
 def popularity_threshold(v):
-    counts = v.ratings.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    return profile.exact_quantiles(counts, "n", {"p80": 0.8})
+    counts = v.ratings.groupBy("item_id").agg(F.count(F.lit(1)).alias("pop"))
+    return profile.exact_quantiles(counts, "pop", {"p80": 0.8})
 
 
 @query(
