@@ -144,3 +144,23 @@ def exact_quantiles(
 def one_row(df: DataFrame) -> Column:
     """The single row of a global aggregate as a struct column, usable in any expression of another frame."""
     return df.select(F.struct(*df.columns)).scalar()
+
+
+def quantile_codebook(df: DataFrame, value: str, steps: int = 256) -> Column:
+    """Array of ``steps`` evenly spaced exact quantiles (0 to 1) as a scalar column."""
+    ranks = value_ranks(df, value)
+    total = ranks.agg(F.sum("n").alias("total")).scalar()
+    placed = ranks.withColumn("_last", total - 1)
+    ratio = (F.lit(steps - 1) / F.greatest(F.col("_last"), F.lit(1))).cast("double")
+    low = F.greatest(F.floor(F.col("before") * ratio) - 1, F.lit(0))
+    high = F.least(F.ceil((F.col("before") + F.col("n")) * ratio) + 1, F.lit(steps - 1))
+    tried = placed.withColumn("k", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    spot = F.col("k") / F.lit(float(steps - 1)) * F.col("_last")
+    end = F.col("before") + F.col("n")
+    v = F.col(value).cast("double")
+    lower = F.when((F.col("before") <= F.floor(spot)) & (F.floor(spot) < end), v)
+    upper = F.when((F.col("before") <= F.ceil(spot)) & (F.ceil(spot) < end), v)
+    points = tried.groupBy("k").agg(F.max(lower).alias("lo"), F.max(upper).alias("hi"), F.max(spot - F.floor(spot)).alias("part"))
+    quantile = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")
+    entries = F.array_sort(F.collect_list(F.struct("k", quantile.alias("q"))))
+    return points.agg(F.transform(entries, lambda e: e["q"]).alias("codebook")).scalar()
