@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tastelake.functions.stats import two_sided_p_sql
 from tastelake.operators import evaluate, experiment, hybrid, profile
-from tastelake.plans.collaborative import _pulls
+from tastelake.operators.cf import POISSON_ONE
+from tastelake.plans.collaborative import _POISSON, _pulls
 from tastelake.plans.evaluation import _HITS, popular_lists, popularity_of, relevant_of, split
 from tastelake.plans.oracle import rounded, sql
 from tastelake.plans.recommend import cf_lists
@@ -102,10 +103,6 @@ def position_bias(v):
     return experiment.inverse_propensity(shown).withColumn("weighted_clicks", F.round("weighted_clicks", 6))
 
 
-from tastelake.plans.collaborative import _POISSON  # noqa: E402
-from tastelake.operators.cf import POISSON_ONE  # noqa: E402
-
-
 @query(
     "bootstrap_means",
     "B7",
@@ -146,7 +143,7 @@ def rank_sum_test(v):
            WHERE place <= 10 GROUP BY team""",
         {"count_recs": """SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY place) AS rank FROM (
             SELECT u.user_id, t.item_id, t.place FROM (SELECT DISTINCT user_id FROM train) u,
-              (SELECT item_id, row_number() OVER (ORDER BY pop DESC, item_id) AS place FROM popularity) t
+              (SELECT item_id, row_number() OVER (ORDER BY pop DESC, item_id) AS place FROM popularity QUALIFY place <= 500) t
             WHERE NOT EXISTS (SELECT 1 FROM train r WHERE r.user_id = u.user_id AND r.item_id = t.item_id)) QUALIFY rank <= 20"""}),
 )
 def interleaving(v):

@@ -83,7 +83,7 @@ CTES: dict[str, str] = {
           SELECT u.user_id, t.item_id, t.score,
                  row_number() OVER (PARTITION BY u.user_id ORDER BY t.trank) AS rank
           FROM (SELECT DISTINCT user_id FROM train) u, train_trending t
-          WHERE NOT EXISTS (SELECT 1 FROM train r WHERE r.user_id = u.user_id AND r.item_id = t.item_id))
+          WHERE t.trank <= 500 AND NOT EXISTS (SELECT 1 FROM train r WHERE r.user_id = u.user_id AND r.item_id = t.item_id))
         WHERE rank <= 20""",
     "tokens": """
         SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents""",
