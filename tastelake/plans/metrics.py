@@ -36,9 +36,9 @@ def ctr_against_baseline(v):
 
 
 _SESSIONS = {
-    "sess": """SELECT user_id, session_no, count(*) AS n_events, ((max(at) - min(at)) // 1000000)::BIGINT AS duration_seconds FROM (
+    "sess": """SELECT user_id, session_no, count(*) AS n_events, ((max(at_us) - min(at_us)) // 1000000)::BIGINT AS duration_seconds FROM (
       SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session_no FROM (
-        SELECT user_id, event_id, ts, epoch_us(ts) AS at,
+        SELECT user_id, event_id, ts, epoch_us(ts) AS at_us,
                CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - lag(epoch_us(ts)) OVER w > 1800000000 THEN 1 ELSE 0 END AS new
         FROM interactions WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY user_id, session_no"""
         .replace("sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT", "CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT)")

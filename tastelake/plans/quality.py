@@ -290,11 +290,11 @@ def masked_export(v):
     "access_anomalies",
     "Q15",
     sql("""SELECT user_id, window_start, count(*) AS n FROM (
-             SELECT user_id, unnest(range((epoch_us(ts) // 900000000 * 900 - 2700)::BIGINT, (epoch_us(ts) // 900000000 * 900 + 1)::BIGINT, 900)) AS window_start FROM requests)
-           GROUP BY user_id, window_start HAVING count(*) > 3"""),
+             SELECT user_id, unnest(range((epoch_us(ts) // 21600000000 * 21600 - 64800)::BIGINT, (epoch_us(ts) // 21600000000 * 21600 + 1)::BIGINT, 21600)) AS window_start FROM requests)
+           GROUP BY user_id, window_start HAVING count(*) > 6"""),
 )
 def access_anomalies(v):
-    return quality.busy_users(v.requests, 3)
+    return quality.busy_users(v.requests, 6, "1 day", "6 hours")
 
 
 @query(
