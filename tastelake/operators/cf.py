@@ -27,13 +27,8 @@ POISSON_ONE = (
 )
 
 
-def co_ratings(ratings: DataFrame) -> DataFrame:
-    """Item pairs a < b with the number of users who rated both and the sums over them."""
-    return shared_row_sums(ratings, "user_id", "item_id", "rating")
-
-
 def bought_together(ratings: DataFrame, n: int) -> DataFrame:
-    pairs = co_ratings(ratings).select("a", "b", F.col("n").cast("bigint").alias("support"))
+    pairs = shared_row_sums(ratings, "user_id", "item_id", "rating", measures=("n",)).select("a", "b", F.col("n").cast("bigint").alias("support"))
     return pairs.orderBy(F.col("support").desc(), "a", "b").limit(n)
 
 
@@ -46,7 +41,7 @@ def _with_lengths(pairs: DataFrame, entries: DataFrame, column: str, value: str)
 
 def cosine_pairs(entries: DataFrame, row: str, column: str, value: str, min_support: int) -> DataFrame:
     """Cosine of whole columns, for pairs with enough shared rows."""
-    pairs = shared_row_sums(entries, row, column, value).filter(F.col("n") >= min_support)
+    pairs = shared_row_sums(entries, row, column, value, measures=("n", "sxy")).filter(F.col("n") >= min_support)
     both = _with_lengths(pairs, entries, column, value).filter("len_a > 1e-9 AND len_b > 1e-9")
     return both.select("a", "b", (F.col("sxy") / (F.col("len_a") * F.col("len_b"))).alias("score"))
 
@@ -62,7 +57,7 @@ def pearson_pairs(entries: DataFrame, row: str, column: str, value: str, min_sup
 
 
 def jaccard_pairs(entries: DataFrame, row: str, column: str, min_support: int) -> DataFrame:
-    pairs = shared_row_sums(entries.withColumn("_one", F.lit(1.0)), row, column, "_one").filter(F.col("n") >= min_support)
+    pairs = shared_row_sums(entries.withColumn("_one", F.lit(1.0)), row, column, "_one", measures=("n",)).filter(F.col("n") >= min_support)
     sizes = entries.groupBy(column).agg(F.count(F.lit(1)).alias("size"))
     left = sizes.select(F.col(column).alias("a"), F.col("size").alias("size_a"))
     right = sizes.select(F.col(column).alias("b"), F.col("size").alias("size_b"))

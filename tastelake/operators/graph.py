@@ -25,6 +25,7 @@ def reach(edges: DataFrame, seed_items: DataFrame, hops: int) -> DataFrame:
     recomputation of earlier hops.
     """
     shared_dir(edges.sparkSession)
+    edges = edges.select("user_id", "item_id").checkpoint()
     items = seed_items.select(F.col("item_id").alias("id")).distinct()
     frontier = items.checkpoint()
     known = {"item": frontier, "user": frontier.limit(0)}
@@ -60,7 +61,7 @@ def communities(edges: DataFrame, rounds: int) -> DataFrame:
     """
     shared_dir(edges.sparkSession)
     item, user = F.col("item_id"), -F.col("user_id") - 1
-    links = edges.select(item.alias("src"), user.alias("node")).unionByName(edges.select(user.alias("src"), item.alias("node")))
+    links = edges.select(item.alias("src"), user.alias("node")).unionByName(edges.select(user.alias("src"), item.alias("node"))).checkpoint()
     labels = links.select(F.col("node"), F.col("node").alias("label")).distinct()
     for _ in range(rounds):
         votes = links.join(labels.withColumnRenamed("node", "src"), "src").groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))

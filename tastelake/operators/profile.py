@@ -160,8 +160,8 @@ def as_of_features(
     return filled.filter("_kind = 1").select(key, "ts", "_fact.*", F.col("_known").alias(value))
 
 
-def temporal_split(ratings: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """First ``share`` of every user's ratings in time order, and the rest."""
+def numbered_split(ratings: DataFrame, share: float = 0.8) -> DataFrame:
+    """Ratings with the column ``part``: 'train' for the first ``share`` of every user in time order, else 'test'."""
     numbered = position(
         ratings.withColumn("_month", F.date_trunc("month", "ts")),
         ["user_id"],
@@ -170,10 +170,14 @@ def temporal_split(ratings: DataFrame, share: float = 0.8) -> tuple[DataFrame, D
         "pos",
     )
     sizes = ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    marked = numbered.join(sizes, "user_id")
     first = F.col("pos") <= F.floor(F.lit(share) * F.col("n"))
-    columns = ratings.columns
-    return marked.filter(first).select(*columns), marked.filter(~first).select(*columns)
+    return numbered.join(sizes, "user_id").select(*ratings.columns, F.when(first, "train").otherwise("test").alias("part"))
+
+
+def temporal_split(ratings: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """The two parts of ``numbered_split``."""
+    marked = numbered_split(ratings, share)
+    return marked.filter("part = 'train'").drop("part"), marked.filter("part = 'test'").drop("part")
 
 
 def last_holdout(ratings: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,14 +13,10 @@ from tastelake.operators.ordering import top_n
 
 
 def weighted_mean_vectors(ratings: DataFrame, item_vectors: DataFrame, key: str = "user_id") -> DataFrame:
-    """Rating-weighted mean of item vectors per key: sums per dimension, combined before the shuffle."""
-    parts = ratings.join(item_vectors.select("item_id", "vector"), "item_id").select(
-        key, "rating", F.posexplode("vector").alias("d", "x")
-    )
-    means = parts.groupBy(key, "d").agg((F.sum(F.col("rating") * F.col("x")) / F.sum("rating")).alias("x"))
-    # one row per dimension: the list is as long as a vector
-    ordered = F.array_sort(F.collect_list(F.struct("d", "x")))
-    return means.groupBy(key).agg(F.transform(ordered, lambda e: e["x"]).alias("vector"))
+    """Rating-weighted mean of item vectors per key; partial sums are combined before the shuffle."""
+    rated = ratings.join(item_vectors.select("item_id", array_to_vector("vector").alias("vector")), "item_id")
+    mean = Summarizer.mean(F.col("vector"), F.col("rating"))
+    return rated.groupBy(key).agg(vector_to_array(mean).alias("vector"))
 
 
 def cosine_neighbors(vectors: DataFrame, k: int = 20) -> DataFrame:

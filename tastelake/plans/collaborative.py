@@ -16,7 +16,7 @@ from tastelake.plans.registry import query
            ON x.user_id = y.user_id AND x.item_id < y.item_id GROUP BY x.item_id, y.item_id ORDER BY support DESC, a, b LIMIT 500"""),
 )
 def bought_together(v):
-    return cf.bought_together(v.ratings, 500)
+    return cf.bought_together(v.stored_ratings, 500)
 
 
 _PAIR = """SELECT x.{c} AS a, y.{c} AS b, count(*) AS n, sum(x.r * y.r) AS sxy, sum(x.r) AS sx, sum(y.r) AS sy,
@@ -49,7 +49,7 @@ def _shown(df):
 
 @query("item_cf", "R19 J10", sql(_neighbors(_COS, 20, where=_COS_OK), _pairs("item_id", "user_id", 3)))
 def item_cf(v):
-    return _shown(cf.item_neighbors(v.ratings, "cosine"))
+    return _shown(cf.item_neighbors(v.stored_ratings, "cosine"))
 
 
 _CENTRED = "SELECT user_id, item_id, rating - avg(rating) OVER (PARTITION BY user_id) AS r FROM ratings"
@@ -57,12 +57,12 @@ _CENTRED = "SELECT user_id, item_id, rating - avg(rating) OVER (PARTITION BY use
 
 @query("item_cf_adjusted", "R19", sql(_neighbors(_COS, 20, where=_COS_OK), _pairs("item_id", "user_id", 3, _CENTRED)))
 def item_cf_adjusted(v):
-    return _shown(cf.item_neighbors(v.ratings, "adjusted"))
+    return _shown(cf.item_neighbors(v.stored_ratings, "adjusted"))
 
 
 @query("item_cf_pearson", "R19", sql(_neighbors(_PEARSON, 20, where=_PEARSON_OK), _pairs("item_id", "user_id", 3)))
 def item_cf_pearson(v):
-    return _shown(cf.item_neighbors(v.ratings, "pearson"))
+    return _shown(cf.item_neighbors(v.stored_ratings, "pearson"))
 
 
 _UPAIRS = _pairs("user_id", "item_id", 2)
@@ -82,12 +82,12 @@ _UPAIRS = _pairs("user_id", "item_id", 2)
                GROUP BY k.user_id, r.item_id)) WHERE rank <= 10""", _UPAIRS),
 )
 def user_cf(v):
-    return cf.predict_from_neighbors(cf.user_neighbors(v.ratings, "cosine"), v.ratings)
+    return cf.predict_from_neighbors(cf.user_neighbors(v.stored_ratings, "cosine"), v.stored_ratings)
 
 
 @query("user_neighbors_jaccard", "R20", sql(_neighbors("n / (la.size + lb.size - n)::DOUBLE", 10, "user_id"), _UPAIRS))
 def user_neighbors_jaccard(v):
-    return _shown(cf.user_neighbors(v.ratings, "jaccard"))
+    return _shown(cf.user_neighbors(v.stored_ratings, "jaccard"))
 
 
 @query(
@@ -96,7 +96,7 @@ def user_neighbors_jaccard(v):
     sql(_neighbors(_PEARSON, 10, "user_id", _PEARSON_OK), _UPAIRS),
 )
 def user_neighbors_pearson(v):
-    return _shown(cf.user_neighbors(v.ratings, "pearson"))
+    return _shown(cf.user_neighbors(v.stored_ratings, "pearson"))
 
 
 @query(
@@ -109,7 +109,7 @@ def user_neighbors_pearson(v):
                          USING (item_id)"""}),
 )
 def bias_baseline(v):
-    return cf.bias_baseline(v.ratings)
+    return cf.bias_baseline(v.stored_ratings)
 
 
 @query(
@@ -147,7 +147,7 @@ def markov_second_order(v):
            WHERE p.rating >= 4 AND NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = p.user_id AND r.item_id = i.item_id)"""),
 )
 def negative_samples(v):
-    return cf.negatives(v.ratings.filter("rating >= 4"), v.ratings, v.items)
+    return cf.negatives(v.stored_ratings.filter("rating >= 4"), v.stored_ratings, v.items)
 
 
 @query(
@@ -232,4 +232,4 @@ def quantised_vectors(v):
                  USING (user_id, genre) GROUP BY user_id, item_id) USING (user_id, item_id)"""),
 )
 def feature_table(v):
-    return cf.feature_table(v.ratings, v.user_vectors, v.item_vectors, genre_alignment(v))
+    return cf.feature_table(v.stored_ratings, v.user_vectors, v.item_vectors, genre_alignment(v))

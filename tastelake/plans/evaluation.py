@@ -7,10 +7,13 @@ from tastelake.operators.ordering import top_n
 from tastelake.plans.oracle import sql
 from tastelake.plans.recommend import cf_lists
 from tastelake.plans.registry import query
+from tastelake.session import stored
 
 
 def split(v):
-    return profile.temporal_split(v.ratings)
+    """Train and test parts, numbered once and stored; later reads filter the stored part column."""
+    both = stored(profile.numbered_split(v.stored_ratings), "split")
+    return both.filter("part = 'train'").drop("part"), both.filter("part = 'test'").drop("part")
 
 
 def relevant_of(test):
@@ -27,7 +30,7 @@ def popular_lists(train, n=20):
     scored = scored.select("item_id", F.round(F.col("mean") * F.log1p(F.col("n_ratings").cast("double")), 4).alias("score"))
     pool = trending.top(scored, 500)
     lists = hybrid.trending_lists(train, pool, train, n)
-    return top_n(lists.withColumnRenamed("rank", "place"), ["user_id"], [F.col("place")], n)
+    return stored(top_n(lists.withColumnRenamed("rank", "place"), ["user_id"], [F.col("place")], n), "popular-lists")
 
 
 _HITS = {
@@ -83,7 +86,7 @@ def ranking_report(v):
                         FROM ratings) WHERE rn = 1"""}),
 )
 def holdout_report(v):
-    train, last = profile.last_holdout(v.ratings)
+    train, last = profile.last_holdout(v.stored_ratings)
     return evaluate.report(popular_lists(train), last.select("user_id", "item_id"))
 
 

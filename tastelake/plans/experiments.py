@@ -184,7 +184,7 @@ def exposure_aware_rerank(v):
 def propensity_weighted(v):
     train, _ = split(v)
     pop = popularity_of(train)
-    out = experiment.propensity_weighted_mean(v.ratings, profile.deciles(pop, "pop").select("pop", "decile"), pop, v.items)
+    out = experiment.propensity_weighted_mean(v.stored_ratings, profile.deciles(pop, "pop").select("pop", "decile"), pop, v.items)
     return out.select("n_ratings", F.round("naive_mean", 6).alias("naive_mean"), F.round("weighted_mean", 6).alias("weighted_mean"))
 
 

@@ -45,7 +45,7 @@ def reach_from_trending(v):
            GROUP BY item_id, d"""),
 )
 def propagated_vectors(v):
-    return graph.propagated_vectors(v.ratings, v.item_vectors).select("item_id", "d", F.round("x", 6).alias("x"))
+    return graph.propagated_vectors(v.stored_ratings, v.item_vectors).select("item_id", "d", F.round("x", 6).alias("x"))
 
 
 def _vote(previous: str) -> str:

@@ -76,7 +76,7 @@ def recent_items(v):
              1 - count(*) / (count(DISTINCT user_id) * count(DISTINCT item_id))::DOUBLE AS sparsity FROM ratings"""),
 )
 def matrix_density(v):
-    r = v.ratings
+    r = v.stored_ratings
     return r.agg(F.count(F.lit(1)).alias("n_ratings")).select(
         "n_ratings",
         r.select("user_id").distinct().agg(F.count(F.lit(1)).alias("n")).scalar().alias("n_users"),
@@ -234,7 +234,7 @@ def scaled_features(v):
              (floor((rank() OVER (ORDER BY pop) - 1) * 10 / (count(*) OVER ())::DOUBLE) + 1)::INTEGER AS decile FROM popularity"""),
 )
 def popularity_deciles(v):
-    train, _ = profile.temporal_split(v.ratings)
+    train, _ = profile.temporal_split(v.stored_ratings)
     pop = train.groupBy("item_id").agg(F.count(F.lit(1)).alias("pop"))
     return pop.join(profile.deciles(pop, "pop"), "pop").select("item_id", "pop", "percent_rank", "decile")
 
@@ -356,9 +356,7 @@ def set_operations(v):
     sql("SELECT 'train' AS part, user_id, item_id, rating FROM train UNION ALL SELECT 'test', user_id, item_id, rating FROM test"),
 )
 def temporal_user_split(v):
-    train, test = profile.temporal_split(v.ratings)
-    cols = ["user_id", "item_id", "rating"]
-    return train.select(F.lit("train").alias("part"), *cols).unionByName(test.select(F.lit("test").alias("part"), *cols))
+    return profile.numbered_split(v.stored_ratings).select("part", "user_id", "item_id", "rating")
 
 
 @query(
@@ -368,7 +366,7 @@ def temporal_user_split(v):
            FROM ratings) WHERE rn = 1"""),
 )
 def last_item_holdout(v):
-    return profile.last_holdout(v.ratings)[1].select("user_id", "item_id", "rating")
+    return profile.last_holdout(v.stored_ratings)[1].select("user_id", "item_id", "rating")
 
 
 @query(
@@ -378,6 +376,6 @@ def last_item_holdout(v):
            JOIN prefs USING (user_id, genre) GROUP BY user_id, item_id""", _PREFS).replace("sum(share) AS", "round(sum(share), 6) AS"),
 )
 def genre_alignment(v):
-    shares = profile.genre_preferences(v.ratings, v.item_genres, None)
-    pairs = v.ratings.select("user_id", "item_id").join(v.item_genres, "item_id")
+    shares = profile.genre_preferences(v.stored_ratings, v.item_genres, None)
+    pairs = v.stored_ratings.select("user_id", "item_id").join(v.item_genres, "item_id")
     return pairs.join(shares, ["user_id", "genre"]).groupBy("user_id", "item_id").agg(F.round(F.sum("share"), 6).alias("alignment"))

@@ -6,7 +6,7 @@ from tastelake.functions.scalar import round_to
 from tastelake.operators import hybrid, similarity, text, trending
 from tastelake.plans.oracle import rounded, sql
 from tastelake.plans.registry import query
-from tastelake.session import work_path
+from tastelake.session import stored, work_path
 from tastelake.sources import files, tables
 
 _CONTENT = {
@@ -53,11 +53,11 @@ _GENRE = {
 
 
 def cf_lists(v):
-    return hybrid.score_unseen(v.user_vectors, v.item_vectors, v.ratings, 50)
+    return stored(hybrid.score_unseen(v.user_vectors, v.item_vectors, v.stored_ratings, 50), "cf-lists")
 
 
 def trending_top(v):
-    return trending.top(trending.scores(v.ratings_raw, v.items))
+    return stored(trending.top(trending.scores(v.ratings_raw, v.items)), "trending")
 
 
 def cf_neighbors(v):
@@ -67,7 +67,7 @@ def cf_neighbors(v):
 def content_weights(v):
     features = F.concat(F.split("genres", r"\|"), F.split("overview", " "))
     counts = v.items.select("item_id", F.explode(features).alias("term")).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return text.tfidf(counts, "item_id")
+    return stored(text.tfidf(counts, "item_id"), "content-weights")
 
 
 def content_neighbors(v):
@@ -75,11 +75,11 @@ def content_neighbors(v):
 
 
 def content_lists(v):
-    return hybrid.content_recs(v.ratings, v.item_genres, 50)
+    return stored(hybrid.content_recs(v.stored_ratings, v.item_genres, 50), "content-lists")
 
 
 def hybrid_lists(v):
-    return hybrid.with_trending(cf_lists(v), trending_top(v), v.ratings)
+    return hybrid.with_trending(cf_lists(v), trending_top(v), v.stored_ratings)
 
 
 _LIST = "user_id, CAST(rank AS INTEGER) AS rank, item_id, score"
@@ -180,7 +180,7 @@ _TREND_USERS = {"trend_lists": "SELECT u.user_id, t.item_id, t.score, t.rank FRO
     sql(_cards_sql("trend_lists", "trending", "Currently trending in the community"), _TREND_USERS),
 )
 def recommend_trending(v):
-    return hybrid.recommend(v.users, "trending", lists={}, trending_top=trending_top(v), items=v.items, seen=v.ratings)
+    return hybrid.recommend(v.users, "trending", lists={}, trending_top=trending_top(v), items=v.items, seen=v.stored_ratings)
 
 
 @query(
@@ -233,7 +233,7 @@ def cold_item_recs(v):
 
 
 def signals(v):
-    seen = v.ratings
+    seen = v.stored_ratings
     trend = hybrid.trending_lists(seen, trending_top(v), seen, 50)
     from tastelake.operators.ordering import top_n
 
@@ -272,7 +272,7 @@ def fusion_without_cf(v):
              GROUP BY user_id, item_id)) WHERE rank <= 20"""}),
 )
 def adaptive_fusion(v):
-    deep = hybrid.history_depth(v.ratings)
+    deep = hybrid.history_depth(v.stored_ratings)
     weight = F.when(F.col("n") < 30, hybrid.weight_of({"cf": 0.2, "content": 0.4, "trending": 0.4})).otherwise(
         hybrid.weight_of({"cf": 0.6, "content": 0.3, "trending": 0.1})
     )
@@ -288,7 +288,7 @@ def adaptive_fusion(v):
            GROUP BY signal""", _GENRE),
 )
 def signal_contribution(v):
-    scaled = hybrid.normalised(signals(v))
+    scaled = stored(hybrid.normalised(signals(v)), "signals")
     weight = hybrid.weight_of(hybrid.LATE_FUSION_WEIGHTS)
     return hybrid.contributions(scaled, weight, hybrid.fuse(scaled, weight))
 
@@ -302,7 +302,7 @@ def signal_contribution(v):
         _GENRE),
 )
 def switching_hybrid(v):
-    return hybrid.switch(cf_lists(v), content_lists(v), hybrid.history_depth(v.ratings), 30)
+    return hybrid.switch(cf_lists(v), content_lists(v), hybrid.history_depth(v.stored_ratings), 30)
 
 
 @query(
@@ -324,8 +324,8 @@ def two_stage_rerank(v):
     from tastelake.operators.ordering import top_n
     from tastelake.operators.profile import genre_preferences
 
-    candidates = hybrid.score_unseen(v.user_vectors, v.item_vectors, v.ratings, 100).drop("rank")
-    shares = genre_preferences(v.ratings, v.item_genres, None)
+    candidates = stored(hybrid.score_unseen(v.user_vectors, v.item_vectors, v.stored_ratings, 100).drop("rank"), "candidates")
+    shares = genre_preferences(v.stored_ratings, v.item_genres, None)
     aligned = candidates.join(v.item_genres, "item_id").join(shares, ["user_id", "genre"]).groupBy("user_id", "item_id").agg(
         F.sum("share").alias("share")
     )
@@ -350,7 +350,7 @@ def diversity_rerank(v):
              JOIN ratings r ON r.user_id = c.user_id AND r.item_id = s.neighbor_id) WHERE rn = 1"""),
 )
 def because_you_rated(v):
-    return hybrid.explain_by_item(cf_lists(v), v.ratings, cf_neighbors(v))
+    return hybrid.explain_by_item(cf_lists(v), v.stored_ratings, cf_neighbors(v))
 
 
 @query(

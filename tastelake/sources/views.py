@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tastelake.session import stored
+
 
 class Views:
     """The normalised inputs of one data folder."""
@@ -71,6 +73,11 @@ class Views:
             F.max_by("rating", "seq").alias("rating"), F.min("ts").alias("ts")
         )
 
+    @cached_property
+    def stored_ratings(self) -> DataFrame:
+        """``ratings`` for jobs that read them more than once."""
+        return stored(self.ratings, "ratings")
+
     @cached_property
     def interactions(self) -> DataFrame:
         return self.table("events").select(
@@ -107,7 +114,7 @@ class Views:
         """Rating-weighted mean of the vectors a user has rated: a deterministic stand-in for trained user factors."""
         from tastelake.operators.similarity import weighted_mean_vectors
 
-        return weighted_mean_vectors(self.ratings, self.item_vectors)
+        return stored(weighted_mean_vectors(self.stored_ratings, self.item_vectors), "user-vectors")
 
     @cached_property
     def corpus(self) -> DataFrame:
