@@ -17,7 +17,8 @@ def rows(spark):
     return spark.createDataFrame(data, "k int, id int, t int, v double").withColumn("chunk", F.floor(F.col("t") / 5))
 
 
-ORDER = [F.col("t"), F.col("id")]
+def order():
+    return [F.col("t"), F.col("id")]
 
 
 def same(a, b):
@@ -25,24 +26,24 @@ def same(a, b):
 
 
 def test_position_and_running_total(rows):
-    w = Window.partitionBy("k").orderBy(*ORDER)
-    same(o.position(rows, ["k"], "chunk", ORDER, "p").select("id", "p"), rows.select("id", F.row_number().over(w).cast("bigint").alias("p")))
+    w = Window.partitionBy("k").orderBy(*order())
+    same(o.position(rows, ["k"], "chunk", order(), "p").select("id", "p"), rows.select("id", F.row_number().over(w).cast("bigint").alias("p")))
     total = F.coalesce("v", F.lit(0.0))
     same(
-        o.running_total(rows, ["k"], "chunk", ORDER, total, "s").select("id", F.round("s", 6)),
+        o.running_total(rows, ["k"], "chunk", order(), total, "s").select("id", F.round("s", 6)),
         rows.select("id", F.round(F.sum(total).over(w.rowsBetween(Window.unboundedPreceding, 0)), 6)),
     )
 
 
 def test_neighbouring_rows(rows):
-    w = Window.partitionBy("k").orderBy(*ORDER)
-    same(o.previous(rows, ["k"], "chunk", ORDER, {"id": "x"}).select("id", "x"), rows.select("id", F.lag("id").over(w)))
-    same(o.following(rows, ["k"], "chunk", ORDER, {"id": "x"}).select("id", "x"), rows.select("id", F.lead("id").over(w)))
+    w = Window.partitionBy("k").orderBy(*order())
+    same(o.previous(rows, ["k"], "chunk", order(), {"id": "x"}).select("id", "x"), rows.select("id", F.lag("id").over(w)))
+    same(o.following(rows, ["k"], "chunk", order(), {"id": "x"}).select("id", "x"), rows.select("id", F.lead("id").over(w)))
 
 
 def test_carry_forward(rows):
-    w = Window.partitionBy("k").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    same(o.carry_forward(rows, ["k"], "chunk", ORDER, "v", "x").select("id", "x"), rows.select("id", F.last("v", ignorenulls=True).over(w)))
+    w = Window.partitionBy("k").orderBy(*order()).rowsBetween(Window.unboundedPreceding, 0)
+    same(o.carry_forward(rows, ["k"], "chunk", order(), "v", "x").select("id", "x"), rows.select("id", F.last("v", ignorenulls=True).over(w)))
 
 
 def test_quantiles(rows):
@@ -61,7 +62,7 @@ def test_value_chunk_is_monotone(spark):
 
 
 def test_top_n_is_limited_before_the_shuffle(rows):
-    plan = o.top_n(rows, ["k"], ORDER, 3)._jdf.queryExecution().executedPlan().toString()
+    plan = o.top_n(rows, ["k"], order(), 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
 
 

