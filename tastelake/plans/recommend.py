@@ -356,11 +356,11 @@ def because_you_rated(v):
 @query(
     "batch_scoring",
     "R36 S4",
-    sql("SELECT item_id, count(*) AS n_lists, round(avg(score), 6) AS avg_score FROM hybrid_recs GROUP BY item_id"),
+    sql(f"SELECT item_id, count(*) AS n_lists, {rounded('avg(score)', 6)} AS avg_score FROM hybrid_recs GROUP BY item_id"),
 )
 def batch_scoring(v):
     """All users scored, lists kept as Parquet, and read back for an exposure report."""
     path = work_path(v.spark, "hybrid-lists")
     files.write_parquet(hybrid_lists(v), path)
     stored = v.spark.read.schema("user_id bigint, rank int, item_id bigint, score double").parquet(path)
-    return stored.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_lists"), F.round(F.avg("score"), 6).alias("avg_score"))
+    return stored.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_lists"), round_to(F.avg("score"), 6).alias("avg_score"))
