@@ -335,7 +335,27 @@ def two_stage_rerank(v):
     return best.select("user_id", "rank", "item_id", round_to("raw", 6).alias("score"))
 
 
-@query("diversity_rerank", "R15 X5")
+def _mmr_sql(n: int) -> str:
+    """The greedy choice unrolled: each step takes the best remaining candidate given those chosen before."""
+    steps = [
+        """p1 AS MATERIALIZED (SELECT user_id, item_id, score, 1 AS rank FROM cf_recs
+           QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) = 1)"""
+    ]
+    for k in range(2, n + 1):
+        steps.append(
+            f"""p{k} AS MATERIALIZED (SELECT * FROM p{k - 1} UNION ALL SELECT user_id, item_id, score, {k} FROM (
+              SELECT c.user_id, c.item_id, any_value(c.score) AS score, 0.7::DOUBLE * any_value(c.score) - 0.3::DOUBLE * max(s.sim) AS value
+              FROM cf_recs c JOIN p{k - 1} p ON p.user_id = c.user_id JOIN sims s ON s.a = c.item_id AND s.b = p.item_id
+              WHERE NOT EXISTS (SELECT 1 FROM p{k - 1} q WHERE q.user_id = c.user_id AND q.item_id = c.item_id)
+              GROUP BY c.user_id, c.item_id)
+            QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(value, 10) DESC, score DESC, item_id) = 1)"""
+        )
+    sims = """sims AS MATERIALIZED (SELECT x.item_id AS a, y.item_id AS b, list_cosine_similarity(x.vector, y.vector) AS sim
+              FROM item_vectors x, item_vectors y)"""
+    return f"SELECT user_id, rank::INTEGER AS rank, item_id, score FROM (WITH {sims}, {', '.join(steps)} SELECT * FROM p{n})"
+
+
+@query("diversity_rerank", "R15 X5", sql(_mmr_sql(10)))
 def diversity_rerank(v):
     return hybrid.diversify(cf_lists(v), v.item_vectors)
 
