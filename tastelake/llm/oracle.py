@@ -46,3 +46,27 @@ SELECT rules.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_char
        NOT base_failed AND NOT coalesce(rejected, false) AS kept
 FROM rules LEFT JOIN bad ON rules.doc_id = bad.doc_id AND rules.stratum IS NOT DISTINCT FROM bad.stratum
 """
+
+
+def secrets_sql() -> str:
+    from tastelake.llm.secrets import BASE, RULES
+
+    parts = []
+    for rank, r in enumerate(RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(f"""
+  SELECT r, '{r.kind}' AS kind, {rank} AS rank,
+         list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS n
+  FROM (SELECT r, string_split_regex(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}', 0) AS m,
+               regexp_extract_all(text, '{pattern}', {r.group}) AS g FROM docs WHERE regexp_matches(text, '{pattern}')),
+       LATERAL (SELECT unnest(range(1, len(m) + 1)) AS i) WHERE length(g[i]) >= {r.least}""")
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(parts)}),
+named AS (SELECT *, kind || ':' || a::BIGINT || ':' || (a + n)::BIGINT AS s FROM spans),
+found AS (SELECT r, {counts}, coalesce(string_agg(s, ',' ORDER BY a, rank) FILTER (rank < {len(BASE)}), '') AS base,
+                 string_agg(s, ',' ORDER BY a, rank) AS spans FROM named GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN found USING (r)
+"""

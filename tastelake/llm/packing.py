@@ -26,7 +26,7 @@ from tastelake.session import stored
 
 CAPACITY = 2048
 #: Pieces that are ranked together in one task.
-CHUNK_ROWS = 100_000
+CHUNK_ROWS = 20_000
 
 
 @dataclass
