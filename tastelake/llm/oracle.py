@@ -70,3 +70,23 @@ found AS (SELECT r, {counts}, coalesce(string_agg(s, ',' ORDER BY a, rank) FILTE
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN found USING (r)
 """
+
+
+NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+DECONTAMINATION = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id,
+                     list_filter(string_split_regex({LOWER.format("coalesce(text, '')")}, '{NO_WORD}'), lambda x: x <> '') AS w FROM documents),
+items AS (SELECT item_id::VARCHAR AS item_id, list_filter(string_split_regex({LOWER.format("coalesce(text, '')")}, '{NO_WORD}'), lambda x: x <> '') AS w
+          FROM benchmark WHERE item_id IS NOT NULL),
+wins AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, w[i:i + least(len(w), 10) - 1] AS win
+         FROM items, LATERAL (SELECT unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM wins),
+places AS (SELECT r, n, i, w[i:i + n - 1] AS win FROM docs, sizes, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i) WHERE len(w) >= n),
+hits AS (SELECT r, places.n, i, item_id FROM places JOIN wins ON places.n = wins.n AND places.win = wins.win),
+covered AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT r, n, i FROM hits), range(10) AS t(k) WHERE k < n GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""

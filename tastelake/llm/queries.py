@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tastelake.llm import oracle, packing, quality, secrets, token_files
+from tastelake.llm import decontam, oracle, packing, quality, secrets, token_files
 from tastelake.llm.common import table
 from tastelake.session import work_path
 
@@ -22,6 +22,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -35,10 +39,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_decontamination": op4_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "op9_token_files": op9_token_files,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": oracle.QUALITY,
+    "op4_decontamination": oracle.DECONTAMINATION,
     "op7_secret_scan": oracle.secrets_sql(),
 }
