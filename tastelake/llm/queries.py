@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tastelake.llm import decontam, oracle, packing, quality, secrets, token_files
+from tastelake.llm import decontam, oracle, packing, quality, secrets, substrings, suffixes, token_files
 from tastelake.llm.common import table
 from tastelake.session import work_path
 
@@ -30,18 +30,28 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), path)
     return token_files.read(spark, path)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
     "op7_secret_scan": op7_secret_scan,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_token_files": op9_token_files,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": oracle.QUALITY,
