@@ -90,3 +90,19 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """
+
+NEAR = f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id,
+    list_filter(string_split_regex({LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (SELECT DISTINCT r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM docs, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i) WHERE len(w) > 2
+          UNION ALL SELECT r, array_to_string(w, ' ') FROM docs WHERE len(w) BETWEEN 1 AND 2),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+named AS (SELECT r, hash(g) % 9223372036854775783 AS g FROM grams),
+common AS (SELECT x.r AS a, y.r AS b, count(*) AS c FROM named x JOIN named y ON x.g = y.g AND x.r < y.r GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes s ON s.r = a JOIN sizes t ON t.r = b WHERE 100 * c >= 85 * (s.n + t.n - c)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT r AS a, r AS b FROM docs UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+least AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN docs ON docs.r = reach.b GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM docs JOIN least ON least.a = docs.r LEFT JOIN sizes USING (r)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tastelake.llm import decontam, oracle, packing, quality, secrets, substrings, suffixes, token_files
+from tastelake.llm import decontam, near, oracle, packing, quality, secrets, substrings, suffixes, token_files
 from tastelake.llm.common import table
 from tastelake.session import work_path
 
@@ -26,6 +26,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
+    "op6_near_dedup": op6_near_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_files": op9_token_files,
@@ -56,5 +61,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": oracle.QUALITY,
     "op4_decontamination": oracle.DECONTAMINATION,
+    "op6_near_dedup": oracle.NEAR,
     "op7_secret_scan": oracle.secrets_sql(),
 }
