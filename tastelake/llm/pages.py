@@ -1,8 +1,8 @@
 """Main text of HTML pages by a recurrent labeller of blocks.
 
 A page becomes its sequence of leaf blocks: runs of text between block-level tags, each with the path of tags, class and id words above it. A
-bidirectional LSTM in NumPy reads for each block a vector of its hashed path words, one of its hashed words and a few sizes, and
-labels every block with the whole page in view; the blocks labelled as article text are joined.
+bidirectional LSTM in NumPy reads for each block a vector of its hashed path words, one of its hashed words, and a few numbers (sizes,
+links, how many path words name page parts), and labels every block with the whole page in view; the blocks labelled as article text are joined.
 
 There are no labelled pages, so the labeller is trained on weak labels: names of elements and classes that say what a block is. The sample
 is at most ``TRAIN_PAGES`` pages of at most ``TRAIN_CHARS`` characters, chosen by hash; each also takes part in altered forms, with other
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tastelake.llm.common import slices, small_batches
 
 TRAIN_PAGES, TRAIN_CHARS = 300, 100_000
-HIDDEN, PATH_DIMS, WORD_DIMS, SIZES = 16, 256, 64, 4
+HIDDEN, PATH_DIMS, WORD_DIMS, SIZES = 16, 256, 64, 6
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 PART = re.compile(r"[a-z0-9]+")
@@ -195,6 +195,9 @@ def vectors(page: Sequence[Block]) -> np.ndarray:
         size = np.array([len(ws) for ws in split], np.float32)
         chars = np.array([max(len(b.text), 1) for b in page], np.float32)
         out[:, PATH_DIMS : PATH_DIMS + WORD_DIMS] = counts / np.sqrt(size[:, None])
+        names = [{w[1:] for w in b.path} for b in page]
+        out[:, -6] = [len(x & AROUND) for x in names]
+        out[:, -5] = [len(x & INSIDE) for x in names]
         out[:, -4] = np.log1p(size) / 4
         out[:, -3] = [min(b.linked / c, 1) for b, c in zip(page, chars)]
         out[:, -2] = [sum(map(b.text.count, ".,;!?")) / c * 10 for b, c in zip(page, chars)]
@@ -273,7 +276,7 @@ class Labeller:
             grads["u" + d], grads["c" + d] = du, pre.sum(axis=(0, 1))
         return grads
 
-    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, batch: int = 24, rate: float = 0.01) -> Labeller:
+    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 10, batch: int = 24, rate: float = 0.01) -> Labeller:
         """Adam over pages (vectors, labels), batches of pages of similar length."""
         r = np.random.default_rng(3)
         pages = sorted((p for p in pages if len(p[0])), key=lambda p: len(p[0]))
@@ -315,8 +318,11 @@ def padded(pages: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
     return x, mask, y
 
 
-def altered(page: list[Block], labels: list[int], vocabulary: list[str], r: np.random.Generator) -> tuple[list[Block], list[int]]:
-    """The page with another container of its article and with added parts around and inside it."""
+def altered(page: list[Block], labels: list[int], sentences: list[list[str]], r: np.random.Generator) -> tuple[list[Block], list[int]]:
+    """The page with another container of its article and with added parts around and inside it.
+
+    All added texts are runs of words from blocks of the sample, so that words alone do not tell the parts from the article.
+    """
     container = path_of(CONTAINERS[r.integers(len(CONTAINERS))])
     out: list[tuple[Block, int]] = []
     for b, y in zip(page, labels):
@@ -326,7 +332,9 @@ def altered(page: list[Block], labels: list[int], vocabulary: list[str], r: np.r
         out.append((b, y))
 
     def words(n: int) -> str:
-        return " ".join(vocabulary[i] for i in r.integers(len(vocabulary), size=n))
+        own = sentences[r.integers(len(sentences))]
+        at = int(r.integers(max(1, len(own) - n)))
+        return " ".join(own[at : at + n])
 
     for _ in range(r.integers(1, 6)):
         spec, leaf = ADDED[r.integers(len(ADDED))]
@@ -340,10 +348,10 @@ def altered(page: list[Block], labels: list[int], vocabulary: list[str], r: np.r
             linked = len(text) if r.random() < 0.3 else 0
             parts.append((Block((*[w for w in around if w not in ("tp", "tli")], *path_of(spec), "t" + leaf), text, linked), 0))
         out[at:at] = parts
-    for _ in range(r.integers(0, 3)):  # article blocks of other kinds
+    for _ in range(r.integers(0, 6)):  # article blocks of other kinds
         if mine := [i for i, (_, y) in enumerate(out) if y]:
             at = mine[r.integers(len(mine))]
-            leaf = str(r.choice(["h2", "h3", "ul li", "ol li", "blockquote", "blockquote p", "pre", "td", "figcaption", "section p", "p"]))
+            leaf = str(r.choice(["h1", "h2", "h3", "h4", "ul li", "ol li", "dl dd", "div", "blockquote", "blockquote p", "pre", "td", "figcaption", "section p", "p"]))
             head = [w for w in out[at][0].path if w not in ("tp", "th1", "tb")]
             out.insert(at, (Block((*head, *path_of(leaf)), words(int(r.choice([2, 6, 20, 60]))), 0), 1))
     return [b for b, _ in out], [y for _, y in out]
@@ -355,13 +363,13 @@ def train(pages: DataFrame, limit: int = TRAIN_PAGES, forms: int = 3) -> Labelle
     sample = [r["html"] for r in rows.dropDuplicates(["_h"]).orderBy("_h").limit(limit).collect()]
     r = np.random.default_rng(11)
     read = [p for p in map(blocks, sample) if p]
-    vocabulary = sorted({w for p in read for b in p for w in b.text.split()[:50]}) or ["text"]
+    sentences = [b.text.split() for p in read for b in p] or [["text"]]
     out = []
     for page in read:
         labels = [weak_label(b.path, len(b.text.split())) for b in page]
         out.append((vectors(page), np.array(labels, np.float32)))
         for _ in range(forms):
-            changed, y = altered(page, labels, vocabulary, r)
+            changed, y = altered(page, labels, sentences, r)
             out.append((vectors(changed), np.array(y, np.float32)))
     return Labeller().fit(out) if out else Labeller()
 
