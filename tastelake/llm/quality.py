@@ -14,6 +14,7 @@ with several labels is good if any says so. Without labels nothing but the base
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,28 +26,33 @@ from tastelake.session import stored
 MAX_FALSE_REJECTIONS, RISK = 0.02, 0.05
 #: Largest cutoff of a rule; larger values count as this one.
 TOP = 200
+#: Labels that may travel to every task; with more, features of all documents are stored and joined by key.
+BROADCAST_LABELS = 1_000_000
 #: Strata whose cutoffs may travel to every task; with more, they are joined by key.
 BROADCAST_STRATA = 10_000
 RULES = ("symbols", "repeats", "lines", "length")
 
 
-def repeat_words(w: str = "w") -> Column:
-    """Words inside any 3-word window that occurs twice or more in the same array of words."""
-    col = F.col(w)
-    positions = F.sequence(F.lit(0), F.size(col) - 3)
-    windows = F.transform(positions, lambda i: F.struct(F.xxhash64(col[i], col[i + 1], col[i + 2]).alias("h"), i.alias("i")))
-    return F.when(F.size(col) >= 3, F.sort_array(windows)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used inside."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def covered(s: str = "s") -> Column:
+def word_windows(w: Column) -> Column:
+    """Hash and place of all 3-word windows, sorted."""
+    positions = F.sequence(F.lit(0), F.size(w) - 3)
+    windows = F.transform(positions, lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("i")))
+    return F.when(F.size(w) >= 3, F.sort_array(windows)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+
+
+def covered(windows: Column) -> Column:
     """Size of the union of [i, i + 2] over the windows with a twin beside them in the sorted array."""
-    col = F.col(s)
 
     def twin(x: Column, k: Column) -> Column:
-        before = F.when(k > 0, F.get(col, k - 1)["h"] == x["h"]).otherwise(F.lit(False))
-        return before | F.coalesce(F.get(col, k + 1)["h"] == x["h"], F.lit(False))
+        before = F.when(k > 0, F.get(windows, k - 1)["h"] == x["h"]).otherwise(F.lit(False))
+        return before | F.coalesce(F.get(windows, k + 1)["h"] == x["h"], F.lit(False))
 
-    at = F.sort_array(F.transform(F.filter(col, twin), lambda x: x["i"]))
+    at = F.sort_array(F.transform(F.filter(windows, twin), lambda x: x["i"]))
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-3).alias("last"))
     total = F.aggregate(
         at, start, lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last"))
@@ -54,30 +60,37 @@ def covered(s: str = "s") -> Column:
     return total["n"]
 
 
-def measured(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum, the base counts and the number of lines with a word."""
+def measured(docs: DataFrame, stratum: str = "lang", keep_row: bool = False) -> DataFrame:
+    """doc_id, stratum, the base counts and the number of lines with a word; ``keep_row`` adds the whole row as a struct.
+
+    All counts are one struct that an ``inline`` hands on: later filters then use the counts and do not repeat their computation.
+    """
     blank = " \t\n\x0b\f\r"
-    base = docs.select("doc_id", F.col(stratum).alias("stratum"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    split = base.select(
-        "doc_id",
-        "stratum",
-        words().alias("w"),
-        lines.alias("l"),
-        F.length(F.translate("text", blank, "")).cast("bigint").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_row else []
+    base = docs.select("doc_id", F.col(stratum).alias("stratum"), *row, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    text = F.col("_text")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    repeats = bound(
+        words("_text"),
+        lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), bound(word_windows(w), covered).alias("n_repeat_words")),
     )
-    sorted_ = split.select("*", repeat_words().alias("s"))
-    return sorted_.select(
-        "doc_id",
-        "stratum",
-        F.size("w").cast("bigint").alias("n_words"),
-        "word_chars",
-        "n_symbols",
-        (F.size("l") - F.size(F.array_distinct("l"))).cast("bigint").alias("n_dup_lines"),
-        covered().alias("n_repeat_words"),
-        F.size("l").cast("bigint").alias("n_lines"),
+    by_line = bound(
+        lines,
+        lambda l: F.struct((F.size(l) - F.size(F.array_distinct(l))).cast("bigint").alias("dup"), F.size(l).cast("bigint").alias("all")),
+    )
+    counts = bound(
+        F.struct(repeats.alias("r"), by_line.alias("l")),
+        lambda x: F.struct(
+            x["r"]["n_words"].alias("n_words"),
+            F.length(F.translate(text, blank, "")).cast("bigint").alias("word_chars"),
+            (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
+            x["l"]["dup"].alias("n_dup_lines"),
+            x["r"]["n_repeat_words"].alias("n_repeat_words"),
+            x["l"]["all"].alias("n_lines"),
+        ),
     )
+    kept = ["row"] if keep_row else []
+    return base.select("doc_id", "stratum", *kept, F.inline(F.array(counts)))
 
 
 def rule_values() -> dict[str, Column]:
@@ -176,5 +189,16 @@ def judge(features: DataFrame, limits: DataFrame) -> DataFrame:
     rejected = over[0]
     for more in over[1:]:
         rejected = rejected | more
-    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    base = [c for c in features.columns if c not in ("stratum", "n_lines")]
     return joined.select(*base, base_failed().alias("base_failed"), (~base_failed() & ~rejected).alias("kept"))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """The rows of docs, with all their columns, that the rules keep. Texts are not shuffled."""
+    known = labels.select("doc_id", "quality")
+    if known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
+        sample = measured(docs.join(F.broadcast(known.select("doc_id").distinct()), "doc_id"), stratum)
+    else:
+        sample = measured(docs, stratum)
+    limits = stored(cutoffs(stored(sample, "quality"), known), "cutoffs")
+    return judge(measured(docs, stratum, keep_row=True), limits).filter("kept").select("row.*")

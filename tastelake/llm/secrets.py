@@ -166,3 +166,27 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
     done = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+#: Blobs with secrets whose spans may travel to every task; with more, they are joined by blob.
+BROADCAST_BLOBS = 100_000
+
+
+def masked(docs: DataFrame, path: str | None = None, mark: str = "[SECRET]") -> DataFrame:
+    """The rows of docs, with all their columns, whose secrets are replaced by ``mark``; an ``n_chars`` column follows the text."""
+    at = path or work_path(docs.sparkSession, "blob-ledger")
+    update_ledger(docs, at)
+    kinds = [r.kind for r in RULES]
+    hits = ledger(docs.sparkSession, at).filter(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    hits = hits.select(F.col("blob").alias("_blob"), F.sort_array(F.filter("spans", lambda s: s["kind"].isin(kinds))).alias("_spans"))
+    few = hits.limit(BROADCAST_BLOBS + 1).count() <= BROADCAST_BLOBS
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    joined = docs.select(blob().alias("_key"), row).join(F.broadcast(hits) if few else hits, F.col("_key") == F.col("_blob"), "left")
+    text = F.col("row.text")
+    new = F.when(F.col("_spans").isNull(), text).otherwise(redacted(F.coalesce(text, F.lit("")), F.col("_spans"), mark))
+    out = joined.select("row", new.alias("new"))
+    size = F.when(F.col("new").eqNullSafe(text), F.col("row.n_chars")).otherwise(F.length("new")) if "n_chars" in docs.columns else None
+    changed = {"text": F.col("new"), "n_chars": size}
+    return out.select(*[
+        changed[f.name].cast(f.dataType).alias(f.name) if f.name in changed else F.col("row")[f.name].alias(f.name) for f in docs.schema.fields
+    ])
