@@ -178,19 +178,24 @@ def scan(
     docs: DataFrame, benchmark: DataFrame, keep: Sequence[str] = ("doc_id",), window: int = WINDOW, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
     """``keep`` columns, n_words, hits (runs of hit words) and items (sorted ids) of every row of docs."""
+    return scan_rows(docs, benchmark, keep, window, block_words).select("row.*", "n_words", "hits", "items")
+
+
+def scan_rows(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str], window: int, block_words: int) -> DataFrame:
+    """As ``scan``, with the kept columns in a struct ``row``, so that none clashes with the added ones."""
     spark = docs.sparkSession
     small_batches(spark)
     automata = [spark.sparkContext.broadcast(Automaton(b, window)) for b in item_blocks(benchmark, block_words)]
+    marked = docs.select(item_words().alias("words"), F.struct(*[F.col(f"`{k}`") for k in keep]).alias("row"))
     if len(automata) == 1:
-        return _scanned(docs.select(*keep, item_words().alias("_words")), automata[0], keep)
+        return _scanned(marked, automata[0], "row")
     # Rows with the same kept columns and words have the same hits, so these are the key.
-    marked = docs.select(*keep, item_words().alias("_words"))
-    marked = marked.withColumn("_key", F.sha2(F.to_json(F.struct(F.col("_words"), *[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keep)])), 256))
+    marked = marked.withColumn("key", F.sha2(F.to_json(F.struct("words", "row")), 256))
     hits = None
     for automaton in automata:
-        part = _scanned(marked, automaton, ["_key"]).filter(F.size("hits") > 0)
+        part = _scanned(marked, automaton, "key").filter(F.size("hits") > 0)
         hits = part if hits is None else hits.unionByName(part)
-    merged = hits.groupBy("_key").agg(
+    merged = hits.groupBy("key").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("h"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
@@ -198,37 +203,37 @@ def scan(
 
     def step(out, x):
         last = F.element_at(out, -1)
-        grown = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when(F.size(out) == 0, F.array(x)).when(last["end"] >= x["start"], grown).otherwise(F.array_append(out, x))
-
-    merged = merged.select("_key", F.aggregate("h", start, step).alias("hits"), "items")
-    joined = marked.join(merged, "_key", "left")
-    return joined.select(
-        *keep,
-        F.size("_words").cast("bigint").alias("n_words"),
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        longer = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(grown))
+        return F.when(F.size(out) == 0, F.array(x)).when(last["end"] >= x["start"], longer).otherwise(F.array_append(out, x))
+
+    merged = merged.select("key", F.aggregate("h", start, step).alias("hits"), "items")
+    return marked.join(merged, "key", "left").select(
+        "row",
+        F.size("words").cast("bigint").alias("n_words"),
         F.coalesce("hits", F.array().cast(HITS)).alias("hits"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
 
 
-def _scanned(docs: DataFrame, automaton, keep: Sequence[str]) -> DataFrame:
+def _scanned(docs: DataFrame, automaton, keep: str) -> DataFrame:
     from tastelake.llm.common import slices
 
-    fields = ", ".join(f"`{docs.schema[k].name}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = automaton.value
         vocabulary = pa.array(list(own.ids), pa.string())
-        for part in slices(batches, "_words"):
-            hit, offsets, found = scan_words(own, vocabulary, part.column("_words"))
+        for part in slices(batches, "words"):
+            hit, offsets, found = scan_words(own, vocabulary, part.column("words"))
             spans = [runs(hit[offsets[i] : offsets[i + 1]]) if i in found else [] for i in range(part.num_rows)]
-            columns = [*(part.column(k) for k in keep), pa.array(np.diff(offsets), pa.int64())]
+            columns = [part.column(keep), pa.array(np.diff(offsets), pa.int64())]
             columns.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
             columns.append(pa.array([sorted(found.get(i, ())) for i in range(part.num_rows)], pa.list_(pa.string())))
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_words", "hits", "items"])
+            yield pa.RecordBatch.from_arrays(columns, [keep, "n_words", "hits", "items"])
 
-    chosen = docs.select(*keep, "_words")
-    return chosen.mapInArrow(run, f"{fields}, n_words bigint, hits {HITS}, items array<string>")
+    kind = docs.schema[keep].dataType.simpleString()
+    if keep == "row":
+        kind = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema[keep].dataType.fields) + ">"
+    return docs.select(keep, "words").mapInArrow(run, f"{keep} {kind}, n_words bigint, hits {HITS}, items array<string>")
 
 
 def report(scanned: DataFrame) -> DataFrame:
@@ -260,7 +265,7 @@ def decontaminate(
     """docs without the benchmark passages: rows of which more than ``max_coverage`` of the words are hit go, from the others
     the runs of at least ``min_words`` hit words are cut out. Same columns; an ``n_chars`` column follows the new text."""
     schema, names = docs.schema, docs.columns
-    scanned = scan(docs, benchmark, names, window, block_words)
+    scanned = scan_rows(docs, benchmark, names, window, block_words)
     hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
     left = scanned.filter(hit <= max_coverage * F.col("n_words"))
     place = names.index("text")
@@ -268,7 +273,7 @@ def decontaminate(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hits = batch.column("hits").to_pylist()
-            columns = list(batch.columns[: len(names)])
+            columns = batch.column("row").flatten()
             if any(hits):
                 texts = [
                     without(t, [h for h in own if h["end"] - h["start"] >= min_words]) if own else t

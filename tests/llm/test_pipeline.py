@@ -1,0 +1,43 @@
+import corpus_pipeline
+
+from tastelake.llm import near, packing, quality
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_stages_in_turn(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    columns, before = docs.columns, docs
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, before, FOLDER)
+        if name != "packing":
+            assert after.columns == columns
+            from tastelake.session import stored
+
+            after = stored(after, "stage")
+            kept[name] = {r["doc_id"]: r["text"] for r in after.collect()}
+            before = after
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    want = {r["doc_id"] for r in quality.quality_rules(docs, labels).filter("kept").collect()}
+    assert set(kept["quality rules"]) == want
+    groups = near.near_groups(docs.filter(docs.doc_id.isin(sorted(want))), 5, 80)
+    assert set(kept["near-duplicates"]) == {r["doc_id"] for r in groups.filter("kept").collect()}
+    packed = {r["doc_id"] for r in after.collect()}
+    assert packed == set(kept["secret scans"]) <= set(kept["decontamination"])
+    assert {"sequence_id", "offset"} <= set(after.columns)
+
+
+def test_run_gives_the_packing(spark):
+    got = corpus_pipeline.run(spark, FOLDER)
+    ends = got.groupBy("sequence_id").sum("length").collect()
+    assert ends and max(r[1] for r in ends) <= packing.CAPACITY
+
+
+def test_empty(spark, nothing, tmp_path):
+    spark.read.parquet(f"{FOLDER}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = nothing
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+    assert docs.collect() == []
