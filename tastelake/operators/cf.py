@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tastelake.functions.scalar import draw
 from tastelake.operators.blocks import shared_row_sums
-from tastelake.operators.ordering import following, position, top_n
+from tastelake.operators.ordering import following, position, running_total, top_n
 from tastelake.operators.similarity import neighbors_from_pairs
 
 # Cumulative Poisson(1) probabilities for 0, 1, 2, ... events.
@@ -135,23 +135,39 @@ def numbered_items(items: DataFrame) -> DataFrame:
     return position(chunked, [], "_part", [F.col("item_id")], "_n").select("item_id", (F.col("_n") - 1).alias("index"))
 
 
-def random_items(keys: DataFrame, items: DataFrame, per_key: int, salt: str) -> DataFrame:
-    """Reproducible random items per row of ``keys``: draws 1..per_key, each an md5 of the key columns."""
+def unseen_items(keys: DataFrame, seen: DataFrame, items: DataFrame, per_key: int, salt: str) -> DataFrame:
+    """``per_key`` different unseen items per row of ``keys`` (all of them where there are fewer): draw, drawn_item.
+
+    ``keys`` has a user_id. The draws are places among the user's unseen items: a start from the md5 of the key columns, then
+    equal steps, so none repeats. A place becomes an item by adding the seen items that lie before it, counted by a running
+    total over the user's seen items and places, value range by value range.
+    """
     table = numbered_items(items)
     total = items.agg(F.count(F.lit(1)).alias("n")).scalar()
+    known = seen.select("user_id", "item_id").distinct().join(table, "item_id").withColumn("_part", F.floor(F.col("index") / 4096))
+    known = position(known, ["user_id"], "_part", [F.col("index")], "_n").select(
+        "user_id", (F.col("index") - F.col("_n") + 1).alias("place")
+    )
+    sizes = known.groupBy("user_id").agg(F.count(F.lit(1)).alias("_seen"))
     columns = [F.col(c) for c in keys.columns]
-    drawn = keys.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(per_key))))
-    indexed = drawn.withColumn("index", draw(F.lit(salt), *columns, F.col("draw")) % total)
-    return indexed.join(table.withColumnRenamed("item_id", "drawn_item"), "index").drop("index")
+    free = keys.join(sizes, "user_id", "left").withColumn("_free", total - F.coalesce("_seen", F.lit(0)))
+    some = free.filter("_free > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.least(F.lit(per_key), F.col("_free")).cast("int"))))
+    step = F.greatest(F.lit(1), F.floor(F.col("_free") / per_key))
+    drawn = some.select(
+        *columns, "draw", F.pmod(draw(F.lit(salt), *columns) + (F.col("draw") - 1) * step, F.col("_free")).cast("bigint").alias("place")
+    )
+    marked = drawn.withColumn("_own", F.lit(1)).unionByName(known.withColumn("_own", F.lit(0)), allowMissingColumns=True)
+    marked = marked.withColumn("_part", F.floor(F.col("place") / 4096))
+    before = 1 - F.col("_own")
+    counted = running_total(marked, ["user_id"], "_part", [F.col("place"), F.col("_own")], before.cast("bigint"), "_before")
+    found = counted.filter("_own = 1").withColumn("index", F.col("place") + F.col("_before"))
+    return found.join(table.withColumnRenamed("item_id", "drawn_item"), "index").select(*keys.columns, "draw", "drawn_item")
 
 
 def negatives(positives: DataFrame, ratings: DataFrame, items: DataFrame, draws: int = 4) -> DataFrame:
-    """Sampled unseen items per positive; draws that hit a seen item are rejected."""
-    sampled = random_items(positives.select("user_id", "item_id"), items, draws, "neg").withColumnRenamed("item_id", "positive")
-    seen = ratings.select("user_id", F.col("item_id").alias("drawn_item"))
-    return sampled.join(seen, ["user_id", "drawn_item"], "left_anti").select(
-        "user_id", F.col("positive").alias("item_id"), "draw", F.col("drawn_item").alias("negative")
-    )
+    """``draws`` different unseen items per positive."""
+    sampled = unseen_items(positives.select("user_id", "item_id"), ratings, items, draws, "neg")
+    return sampled.select("user_id", "item_id", "draw", F.col("drawn_item").alias("negative"))
 
 
 def arm_statistics(pulls: DataFrame, epsilon: float = 0.1, half_life_days: float = 7.0, as_of: str = "2024-02-01") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tastelake.functions.scalar import draw, ratio
 from tastelake.operators import cf
-from tastelake.operators.ordering import top_n, value_ranks
+from tastelake.operators.ordering import value_ranks
 
 
 def _ideal(n: Column) -> Column:
@@ -151,9 +151,7 @@ def folds(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     return df.withColumn("fold", (draw(*[F.col(c) for c in keys]) % k).cast("int"))
 
 
-def random_baseline(users: DataFrame, items: DataFrame, seen: DataFrame, n: int, draws: int) -> DataFrame:
-    """Random unseen items per user; ``draws`` tries per user, repeats and seen items rejected."""
-    tried = cf.random_items(users.select("user_id"), items, draws, "base")
-    fresh = tried.groupBy("user_id", "drawn_item").agg(F.min("draw").alias("draw")).withColumnRenamed("drawn_item", "item_id")
-    unseen = fresh.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    return top_n(unseen, ["user_id"], [F.col("draw")], n).select("user_id", "rank", "item_id")
+def random_baseline(users: DataFrame, items: DataFrame, seen: DataFrame, n: int) -> DataFrame:
+    """``n`` different random unseen items per user."""
+    drawn = cf.unseen_items(users.select("user_id"), seen, items, n, "base")
+    return drawn.select("user_id", F.col("draw").alias("rank"), F.col("drawn_item").alias("item_id"))

@@ -195,14 +195,25 @@ def content_recs(
     return score_unseen(genre_profiles(weights, vocabulary), pool, ratings, k)
 
 
-def explain_by_item(recs: DataFrame, ratings: DataFrame, neighbors: DataFrame) -> DataFrame:
-    """The rated item that speaks most for a recommendation: highest similarity x rating."""
-    links = recs.select("user_id", "item_id").join(neighbors.select("item_id", "neighbor_id", F.col("score").alias("sim")), "item_id")
-    rated = ratings.select("user_id", F.col("item_id").alias("neighbor_id"), "rating")
-    weight = F.struct(F.round(F.col("sim") * F.col("rating"), 8), -F.col("neighbor_id"))
-    return links.join(rated, ["user_id", "neighbor_id"]).groupBy("user_id", "item_id").agg(
-        F.max_by("neighbor_id", weight).alias("because_item"), F.round(F.max(F.col("sim") * F.col("rating")), 6).alias("strength")
+def explain_by_item(recs: DataFrame, ratings: DataFrame, item_vectors: DataFrame) -> DataFrame:
+    """The rated item that speaks most for a recommendation: highest cosine similarity x rating, over all rated items.
+
+    The work is list length x history per user, joined on the user. Without a rated item that has a vector the row has nulls.
+    """
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
+    sized = item_vectors.select("item_id", "vector", F.when(length > 0, length).otherwise(1.0).alias("_l"))
+    units = sized.select("item_id", F.transform("vector", lambda x: x / F.col("_l")).alias("unit"))
+    pairs = recs.select("user_id", "item_id").join(units, "item_id")
+    rated = ratings.select("user_id", F.col("item_id").alias("rated_id"), "rating").join(
+        units.select(F.col("item_id").alias("rated_id"), F.col("unit").alias("other")), "rated_id"
+    )
+    sim = F.aggregate(F.zip_with("unit", "other", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    scored = pairs.join(rated, "user_id").select("user_id", "item_id", "rated_id", (sim * F.col("rating")).alias("strength"))
+    weight = F.struct(F.round("strength", 8), -F.col("rated_id"))
+    best = scored.groupBy("user_id", "item_id").agg(
+        F.max_by("rated_id", weight).alias("because_item"), F.round(F.max("strength"), 6).alias("strength")
     )
+    return recs.select("user_id", "item_id").join(best, ["user_id", "item_id"], "left")
 
 
 def _mmr(n: int, balance: float):
@@ -228,9 +239,15 @@ def _mmr(n: int, balance: float):
     return rerank
 
 
-def diversify(recs: DataFrame, item_vectors: DataFrame, n: int = 10, diversity: float = 0.3) -> DataFrame:
-    """Maximal marginal relevance over short candidate lists (at most 50 rows per user, hence a grouped map)."""
-    rows = recs.filter(F.col("rank") <= 50).join(item_vectors.select("item_id", "vector"), "item_id")
+def diversify(
+    recs: DataFrame, item_vectors: DataFrame, n: int = 10, diversity: float = 0.3, candidates: int | None = None
+) -> DataFrame:
+    """Maximal marginal relevance over candidate lists; ``candidates`` keeps the best of each list only, None all of it.
+
+    A list is one group: its length is the number of recommendations asked for, not the length of a user's history.
+    """
+    chosen = recs if candidates is None else recs.filter(F.col("rank") <= candidates)
+    rows = chosen.join(item_vectors.select("item_id", "vector"), "item_id")
     return (
         rows.select("user_id", "item_id", "score", "vector")
         .groupBy("user_id")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tastelake.operators import cf
 from tastelake.operators.ordering import quantile_codebook
-from tastelake.plans.oracle import sql
+from tastelake.plans.oracle import sql, unseen_draws
 from tastelake.plans.profiles import genre_alignment
 from tastelake.plans.registry import query
 
@@ -140,11 +140,8 @@ def markov_second_order(v):
 @query(
     "negative_samples",
     "R24",
-    sql("""SELECT p.user_id, p.item_id, d::INTEGER AS draw, i.item_id AS negative
-           FROM ratings p JOIN range(1, 5) AS t(d) ON true
-           JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM items) i
-             ON idx = ('0x' || substr(md5('neg:' || p.user_id || ':' || p.item_id || ':' || d), 1, 8))::BIGINT % (SELECT count(*) FROM items)
-           WHERE p.rating >= 4 AND NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = p.user_id AND r.item_id = i.item_id)"""),
+    sql("SELECT user_id, positive AS item_id, d::INTEGER AS draw, item_id AS negative FROM drawn",
+        {"drawn": unseen_draws("SELECT user_id, item_id AS positive FROM ratings WHERE rating >= 4", "ratings", 4, "'neg:' || k.user_id || ':' || k.positive")}),
 )
 def negative_samples(v):
     return cf.negatives(v.stored_ratings.filter("rating >= 4"), v.stored_ratings, v.items)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tastelake.operators import evaluate, hybrid, profile, trending
 from tastelake.operators.ordering import top_n
-from tastelake.plans.oracle import sql
+from tastelake.plans.oracle import sql, unseen_draws
 from tastelake.plans.recommend import cf_lists
 from tastelake.plans.registry import query
 from tastelake.session import stored
@@ -195,22 +195,17 @@ def fold_assignment(v):
            WHERE k = 10 GROUP BY k
            UNION ALL SELECT 'random', 10, round(avg(h / 10::DOUBLE), 6), round(avg(CASE WHEN n_rel > 0 THEN
              dcg / list_sum([1 / log2(i + 1) FOR i IN range(1, least(n_rel, 10) + 1)]) ELSE 0 END), 6)
-           FROM (SELECT b.user_id, count(v.item_id) AS h, sum(CASE WHEN v.item_id IS NULL THEN 0 ELSE 1 / log2(b.rank + 1) END) AS dcg
+           FROM (SELECT b.user_id, count(v.item_id) AS h, sum(CASE WHEN v.item_id IS NULL THEN 0 ELSE 1 / log2(b.d + 1) END) AS dcg
                  FROM random_recs b LEFT JOIN relevant v ON v.user_id = b.user_id AND v.item_id = b.item_id GROUP BY b.user_id)
            LEFT JOIN n_relevant USING (user_id)""",
         {**_HITS,
-         "random_recs": """SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY d) AS rank FROM (
-             SELECT u.user_id, i.item_id, min(d) AS d FROM (SELECT DISTINCT user_id FROM train) u JOIN range(1, 31) AS t(d) ON true
-             JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM items) i
-               ON idx = ('0x' || substr(md5('base:' || u.user_id || ':' || d), 1, 8))::BIGINT % (SELECT count(*) FROM items)
-             WHERE NOT EXISTS (SELECT 1 FROM train r WHERE r.user_id = u.user_id AND r.item_id = i.item_id)
-             GROUP BY u.user_id, i.item_id) QUALIFY rank <= 10"""}),
+         "random_recs": unseen_draws("SELECT DISTINCT user_id FROM train", "train", 10, "'base:' || k.user_id")}),
 )
 def baseline_comparison(v):
     train, test = split(v)
     relevant = relevant_of(test)
     users = train.select("user_id").distinct()
-    lists = {"popular": popular_lists(train), "random": evaluate.random_baseline(users, v.items, train, 10, 30)}
+    lists = {"popular": popular_lists(train), "random": evaluate.random_baseline(users, v.items, train, 10)}
     out = None
     for name, recs in lists.items():
         row = evaluate.report(recs, relevant, (10,)).select(F.lit(name).alias("baseline"), "k", "precision", "ndcg")

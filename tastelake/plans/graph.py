@@ -17,7 +17,7 @@ def meta_paths(v):
     return graph.meta_paths(v.ratings, v.item_genres)
 
 
-_STRONG = {"strong": "SELECT user_id, item_id FROM ratings WHERE rating = 5"}
+_EDGES = {"rated": "SELECT user_id, item_id FROM ratings"}
 
 
 @query(
@@ -25,15 +25,15 @@ _STRONG = {"strong": "SELECT user_id, item_id FROM ratings WHERE rating = 5"}
     "G2",
     sql("""SELECT 'item' AS kind, item_id AS id, 0 AS hop FROM s0 UNION ALL SELECT 'user', id, 1 FROM u1
            UNION ALL SELECT 'item', id, 2 FROM i2 UNION ALL SELECT 'user', id, 3 FROM u3""",
-        {**_STRONG, "s0": "SELECT item_id FROM trending_top WHERE rank <= 10",
-         "u1": "SELECT DISTINCT user_id AS id FROM strong WHERE item_id IN (SELECT item_id FROM s0)",
-         "i2": "SELECT DISTINCT item_id AS id FROM strong WHERE user_id IN (SELECT id FROM u1) AND item_id NOT IN (SELECT item_id FROM s0)",
-         "u3": "SELECT DISTINCT user_id AS id FROM strong WHERE item_id IN (SELECT id FROM i2) AND user_id NOT IN (SELECT id FROM u1)"}),
+        {**_EDGES, "s0": "SELECT item_id FROM trending_top WHERE rank <= 10",
+         "u1": "SELECT DISTINCT user_id AS id FROM rated WHERE item_id IN (SELECT item_id FROM s0)",
+         "i2": "SELECT DISTINCT item_id AS id FROM rated WHERE user_id IN (SELECT id FROM u1) AND item_id NOT IN (SELECT item_id FROM s0)",
+         "u3": "SELECT DISTINCT user_id AS id FROM rated WHERE item_id IN (SELECT id FROM i2) AND user_id NOT IN (SELECT id FROM u1)"}),
 )
 def reach_from_trending(v):
-    strong = v.ratings.filter("rating = 5").select("user_id", "item_id")
+    edges = v.stored_ratings.select("user_id", "item_id")
     seeds = trending.top(trending.scores(v.ratings_raw, v.items), 10)
-    return graph.reach(strong, seeds, 3)
+    return graph.reach(edges, seeds, 3)
 
 
 @query(
@@ -57,12 +57,12 @@ def _vote(previous: str) -> str:
     "communities",
     "G4",
     sql("SELECT node, label FROM l3",
-        {**_STRONG,
-         "links": "SELECT item_id AS src, -user_id - 1 AS node FROM strong UNION ALL SELECT -user_id - 1, item_id FROM strong",
+        {**_EDGES,
+         "links": "SELECT item_id AS src, -user_id - 1 AS node FROM rated UNION ALL SELECT -user_id - 1, item_id FROM rated",
          "l0": "SELECT DISTINCT node, node AS label FROM links", "l1": _vote("l0"), "l2": _vote("l1"), "l3": _vote("l2")}),
 )
 def communities(v):
-    return graph.communities(v.ratings.filter("rating = 5").select("user_id", "item_id"), 3)
+    return graph.communities(v.stored_ratings.select("user_id", "item_id"), 3)
 
 
 @query(

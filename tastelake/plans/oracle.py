@@ -86,7 +86,7 @@ CTES: dict[str, str] = {
           WHERE t.trank <= 500 AND NOT EXISTS (SELECT 1 FROM train r WHERE r.user_id = u.user_id AND r.item_id = t.item_id))
         WHERE rank <= 20""",
     "tokens": """
-        SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS term FROM documents""",
+        SELECT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS term FROM documents""",
     "doc_terms": "SELECT doc_id, term, count(*) AS tf FROM tokens WHERE term <> '' GROUP BY doc_id, term",
 }
 
@@ -108,3 +108,17 @@ def sql(body: str, extra: dict[str, str] | None = None) -> str:
             text += " " + known[name]
     used = [f"{name} AS ({known[name].strip()})" for name in names if name in needed]
     return ("WITH " + ",\n".join(used) + "\n" + body.strip()) if used else body.strip()
+
+
+def unseen_draws(keys: str, seen: str, n: int, text: str) -> str:
+    """SQL of ``n`` different unseen items per row of ``keys`` (k): its columns, d and item_id."""
+    return f"""SELECT * FROM (
+        WITH numbered AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM items),
+        known AS (SELECT user_id, idx - row_number() OVER (PARTITION BY user_id ORDER BY idx) + 1 AS place
+                  FROM (SELECT DISTINCT user_id, idx FROM {seen} JOIN numbered USING (item_id))),
+        free AS (SELECT k.*, (SELECT count(*) FROM items) - coalesce(c, 0) AS f, ('0x' || substr(md5({text}), 1, 8))::BIGINT AS start
+                 FROM ({keys}) k LEFT JOIN (SELECT user_id, count(*) AS c FROM known GROUP BY user_id) USING (user_id)),
+        places AS (SELECT free.*, d, (start + (d - 1) * greatest(1, f // {n})) % f AS place FROM free JOIN range(1, {n + 1}) AS t(d) ON d <= f)
+        SELECT p.* EXCLUDE (f, start, place), i.item_id
+        FROM (SELECT places.*, (SELECT count(*) FROM known WHERE known.user_id = places.user_id AND known.place <= places.place) AS skip FROM places) p
+        JOIN numbered i ON i.idx = p.place + p.skip)"""

@@ -363,14 +363,15 @@ def diversity_rerank(v):
 @query(
     "because_you_rated",
     "R17",
-    sql("""SELECT user_id, item_id, neighbor_id AS because_item, round(strength, 6) AS strength FROM (
-             SELECT c.user_id, c.item_id, s.neighbor_id, s.score * r.rating AS strength,
-                    row_number() OVER (PARTITION BY c.user_id, c.item_id ORDER BY round(s.score * r.rating, 8) DESC, s.neighbor_id) AS rn
-             FROM cf_recs c JOIN cf_similar s ON s.item_id = c.item_id
-             JOIN ratings r ON r.user_id = c.user_id AND r.item_id = s.neighbor_id) WHERE rn = 1"""),
+    sql("""SELECT c.user_id, c.item_id, because_item, strength FROM cf_recs c LEFT JOIN (
+             SELECT user_id, item_id, rated_id AS because_item, round(s, 6) AS strength FROM (
+               SELECT c.user_id, c.item_id, r.item_id AS rated_id, list_cosine_similarity(x.vector, y.vector) * r.rating AS s
+               FROM cf_recs c JOIN ratings r USING (user_id) JOIN item_vectors x ON x.item_id = c.item_id JOIN item_vectors y ON y.item_id = r.item_id)
+             QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY round(s, 8) DESC, rated_id) = 1) b
+           ON b.user_id = c.user_id AND b.item_id = c.item_id"""),
 )
 def because_you_rated(v):
-    return hybrid.explain_by_item(cf_lists(v), v.stored_ratings, cf_neighbors(v))
+    return hybrid.explain_by_item(cf_lists(v), v.stored_ratings, v.item_vectors)
 
 
 @query(

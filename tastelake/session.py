@@ -26,7 +26,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, name: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (local tests) a fresh folder is made and set.
+    Only where the session names none and runs locally (tests) a fresh folder is made and set; on a cluster such a folder
+    would lie on the driver's own disk, so there the setting is required.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -34,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = context.getCheckpointDir()
     if folder is None:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
     return folder
