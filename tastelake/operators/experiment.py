@@ -90,18 +90,19 @@ def bootstrap_means(values: DataFrame, keys: Sequence[str], metric: str, bags: i
 
 
 def rank_sum(values: DataFrame, metric: str) -> DataFrame:
-    """Wilcoxon rank-sum of treatment against control with average ranks; normal approximation without tie correction."""
+    """Wilcoxon rank-sum of treatment against control with average ranks; normal approximation, corrected for ties."""
     treated = F.sum((F.col("group") == "treatment").cast("bigint"))
     counts = values.groupBy(metric).agg(treated.alias("t"), F.count(F.lit(1)).alias("all"))
     ranks = value_ranks(counts, metric, weight=F.col("all")).join(counts.select(metric, "t"), metric)
     sums = ranks.agg(
         F.sum("t").alias("n_treatment"),
         F.sum("n").alias("n_all"),
+        F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("ties"),
         F.sum(F.col("t") * (F.col("before") + (F.col("n") + 1) / 2)).alias("w"),
     )
     nt = F.col("n_treatment").cast("double")
     n = F.col("n_all").cast("double")
-    centre, spread = nt * (n + 1) / 2, F.sqrt(nt * (n - nt) * (n + 1) / 12)
+    centre, spread = nt * (n + 1) / 2, F.sqrt(nt * (n - nt) / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
     out = sums.select("n_treatment", "n_all", F.col("w").alias("rank_sum"), ((F.col("w") - centre) / spread).alias("z"))
     return out.withColumn("p_normal", two_sided_p(F.col("z")))
 

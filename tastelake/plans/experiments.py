@@ -120,10 +120,10 @@ def bootstrap_means(v):
     "B7",
     sql(f"""SELECT n_treatment, n_all, rank_sum, round(z, 6) AS z, round({two_sided_p_sql('z')}, 6) AS p_normal FROM (
               SELECT *, (rank_sum - n_treatment * (n_all + 1) / 2::DOUBLE)
-                        / sqrt(n_treatment::DOUBLE * (n_all - n_treatment) * (n_all + 1) / 12) AS z FROM (
+                        / sqrt(n_treatment::DOUBLE * (n_all - n_treatment) / 12 * (n_all + 1 - ties / (n_all::DOUBLE * (n_all - 1)))) AS z FROM (
                 SELECT count(*) FILTER (WHERE grp = 'treatment') AS n_treatment, count(*) AS n_all,
-                       sum(r) FILTER (WHERE grp = 'treatment') AS rank_sum FROM (
-                  SELECT grp, rank() OVER (ORDER BY rating) + (count(*) OVER (PARTITION BY rating) - 1) / 2::DOUBLE AS r FROM ab_values)))""", _AB),
+                       sum(r) FILTER (WHERE grp = 'treatment') AS rank_sum, sum(m::DOUBLE * m - 1) AS ties FROM (
+                  SELECT grp, count(*) OVER (PARTITION BY rating) AS m, rank() OVER (ORDER BY rating) + (count(*) OVER (PARTITION BY rating) - 1) / 2::DOUBLE AS r FROM ab_values)))""", _AB),
 )
 def rank_sum_test(v):
     out = experiment.rank_sum(_values(v), "rating")

@@ -81,15 +81,15 @@ def sliding_rate(v):
 @query(
     "session_stream",
     "T5 T6",
-    sql("""SELECT user_id, min(at_us) AS start_us, max(at_us) + 1800000000 AS end_us, count(*) AS n_events FROM (
+    sql("""SELECT user_id, min(at_us) AS start_us, max(at_us) + 1800000000 AS end_us, count(*) AS n_events,
+             max(at_us) + 1800000000 > (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM interactions) - 3600000000 AS is_open FROM (
              SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY at_us, event_id) AS session_no FROM (
                SELECT user_id, event_id, epoch_us(ts) AS at_us, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - lag(epoch_us(ts)) OVER w > 1800000000
                       THEN 1 ELSE 0 END AS new FROM interactions WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))
-           GROUP BY user_id, session_no HAVING max(at_us) + 1800000000 <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM interactions) - 3600000000"""),
+           GROUP BY user_id, session_no"""),
 )
 def session_stream(v):
-    rows = jobs.delivered(v.spark, jobs.sessions(event_stream(v)), "append", "sessions")
-    return rows.drop("batch_id")
+    return jobs.all_sessions(v.spark, event_stream(v))
 
 
 @query(

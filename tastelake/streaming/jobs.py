@@ -89,6 +89,23 @@ def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour
     )
 
 
+def all_sessions(spark: SparkSession, events: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
+    """Sessions of one run over all available input: the closed ones as delivered, and, with ``is_open``, those that the watermark
+    has not passed yet, which are read from the state that the run has left."""
+    path, state = work_path(spark, "sessions"), work_path(spark, "sessions-state")
+    deliver(sessions(events, gap, lateness), "append", path, state)
+    schema = "user_id bigint, start_us bigint, end_us bigint, n_events bigint"
+    closed = spark.read.schema(schema).option("basePath", path).parquet(path).select("*", F.lit(False).alias("is_open"))
+    waiting = spark.read.format("statestore").load(state).select(
+        "value.user_id",
+        F.unix_micros("value.session_window.start").alias("start_us"),
+        F.unix_micros("value.session_window.end").alias("end_us"),
+        F.col("value.count").alias("n_events"),
+        F.lit(True).alias("is_open"),
+    )
+    return closed.select(*waiting.columns).unionByName(waiting)
+
+
 def enriched(events: DataFrame, items: DataFrame) -> DataFrame:
     """Events with the genres of their item; the static side may be broadcast if Spark finds it small."""
     return events.join(items.select("item_id", "genres"), "item_id")
