@@ -1,6 +1,6 @@
 """Check SQL of the text operators, for DuckDB over the same tables."""
 
-from tastelake.llm.quality import MAX_FALSE_REJECTIONS, RISK, TOP
+from tastelake.llm.quality import COST, MAX_FALSE_REJECTIONS, RISK, TOP
 
 QUALITY = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, lang AS stratum, coalesce(text, '') AS text FROM documents),
@@ -36,8 +36,8 @@ tail AS (SELECT stratum, rule, value, sum(exp(coalesce(lgamma(g_all + 1) - lgamm
 oks AS (SELECT cum.*, min((coalesce(p, 1) <= {RISK} / (4 * s))::INT) OVER (PARTITION BY cum.stratum, cum.rule ORDER BY cum.value DESC ROWS UNBOUNDED PRECEDING) AS ok
         FROM cum LEFT JOIN tail ON cum.rule = tail.rule AND cum.value = tail.value AND cum.stratum IS NOT DISTINCT FROM tail.stratum, strata
         WHERE cum.value > 0),
-best AS (SELECT stratum, rule, arg_max(value, (b_out * g_all - g_out * b_all, value)) AS cutoff
-         FROM oks WHERE ok = 1 AND b_out * g_all - g_out * b_all > 0 GROUP BY ALL),
+best AS (SELECT stratum, rule, arg_max(value, (b_out * g_all - {COST} * g_out * b_all, value)) AS cutoff
+         FROM oks WHERE ok = 1 AND b_out * g_all - {COST} * g_out * b_all > 0 GROUP BY ALL),
 bad AS (SELECT rules.doc_id, rules.stratum, bool_or(CASE rule WHEN 'symbols' THEN symbols WHEN 'repeats' THEN repeats
                                         WHEN 'lines' THEN lines ELSE length END >= cutoff) AS rejected
         FROM rules JOIN best ON rules.stratum IS NOT DISTINCT FROM best.stratum GROUP BY ALL)

@@ -24,6 +24,8 @@ from tastelake.session import stored
 
 #: Share of a stratum's good documents that all rules together may reject, and the risk that this is exceeded anywhere.
 MAX_FALSE_REJECTIONS, RISK = 0.02, 0.05
+#: Lost shares of good documents count this many times as much as rejected shares of bad ones.
+COST = 10
 #: Largest cutoff of a rule; larger values count as this one.
 TOP = 200
 #: Labels that may travel to every task; with more, features of all documents are stored and joined by key.
@@ -158,7 +160,7 @@ def cutoffs(
     level = risk / (n_strata * len(RULES))
     p = binomial_tail("n_good_all", "n_good_out", max_false / len(RULES))
     passed = tested.withColumn("ok", (p <= F.lit(level)).cast("int")).withColumn("ok", F.min("ok").over(upto))
-    surplus = F.expr("n_bad_out * n_good_all - n_good_out * n_bad_all")
+    surplus = F.expr(f"n_bad_out * n_good_all - {COST} * n_good_out * n_bad_all")
     best = passed.filter((F.col("ok") == 1) & (surplus > 0)).groupBy("stratum", "rule").agg(
         F.max_by("value", F.struct(surplus.cast("decimal(38,0)"), "value")).alias("cutoff")
     )
