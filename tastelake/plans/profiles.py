@@ -179,6 +179,19 @@ def interaction_pivot(v):
     )
 
 
+@query(
+    "interaction_counts",
+    "A17",
+    sql("""SELECT user_id, item_id, interaction_type, count(*) AS n, round(sum(intensity), 4) AS intensity_sum
+           FROM interactions GROUP BY user_id, item_id, interaction_type"""),
+)
+def interaction_counts(v):
+    """Count and intensity per user, item and type, for every type that occurs."""
+    return v.interactions.groupBy("user_id", "item_id", "interaction_type").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("intensity"), 4).alias("intensity_sum")
+    )
+
+
 @query(
     "heavy_hitters",
     "A18",

@@ -186,12 +186,15 @@ def recommend_trending(v):
 @query(
     "recommendation_log",
     "S9 P23",
-    sql("""SELECT user_id, 'collaborative' AS algorithm, '[' || string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY rank) || ']' AS recommended_ids
-           FROM cf_recs WHERE rank <= 10 GROUP BY user_id"""),
+    sql("""SELECT user_id, 'collaborative' AS algorithm, '[' || string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY rank) || ']' AS recommended_ids, any_value(l.latency_ms) AS latency_ms
+           FROM cf_recs LEFT JOIN (SELECT user_id, round(avg(latency_ms), 4) AS latency_ms FROM
+             (SELECT user_id, intensity AS latency_ms FROM interactions) GROUP BY user_id) l USING (user_id) WHERE rank <= 10 GROUP BY user_id"""),
 )
 def recommendation_log(v):
-    rows = tables.log_rows(cf_lists(v).filter("rank <= 10"), "collaborative")
-    return rows.select("user_id", "algorithm", "recommended_ids")
+    """One log row per served list, with the mean latency of the user's requests."""
+    rows = tables.log_rows(cf_lists(v).filter("rank <= 10"), "collaborative").drop("latency_ms")
+    latency = v.interactions.groupBy("user_id").agg(F.round(F.avg("intensity"), 4).alias("latency_ms"))
+    return rows.join(latency, "user_id", "left").select("user_id", "algorithm", "recommended_ids", "latency_ms")
 
 
 @query(
@@ -316,7 +319,7 @@ def switching_hybrid(v):
                             SELECT user_id, genre, w, sum(w) OVER (PARTITION BY user_id) AS t FROM genre_w)
                           JOIN item_genres USING (genre) GROUP BY user_id, item_id) g ON g.user_id = u.user_id AND g.item_id = i.item_id
                WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = u.user_id AND r.item_id = i.item_id)
-               QUALIFY row_number() OVER (PARTITION BY u.user_id ORDER BY round(list_dot_product(u.vector, i.vector), 10) DESC, i.item_id) <= 100))
+               QUALIFY row_number() OVER (PARTITION BY u.user_id ORDER BY round(list_dot_product(u.vector, i.vector), 10) DESC, i.item_id) <= 500))
            WHERE rank <= 20""", _GENRE),
 )
 def two_stage_rerank(v):
@@ -324,7 +327,7 @@ def two_stage_rerank(v):
     from tastelake.operators.ordering import top_n
     from tastelake.operators.profile import genre_preferences
 
-    candidates = stored(hybrid.score_unseen(v.user_vectors, v.item_vectors, v.stored_ratings, 100).drop("rank"), "candidates")
+    candidates = stored(hybrid.score_unseen(v.user_vectors, v.item_vectors, v.stored_ratings, 500).drop("rank"), "candidates")
     shares = genre_preferences(v.stored_ratings, v.item_genres, None)
     aligned = candidates.join(v.item_genres, "item_id").join(shares, ["user_id", "genre"]).groupBy("user_id", "item_id").agg(
         F.sum("share").alias("share")
