@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tastelake.functions.scalar import clamp_score, confidence, explanation, round_to
 from tastelake.operators.blocks import vector_top_k
-from tastelake.operators.ordering import top_n
+from tastelake.operators.ordering import position, running_total, top_n
+from tastelake.session import stored
 
 # Weights of the built-in fusions.
 CF_WEIGHT = 0.60
@@ -55,8 +56,30 @@ def with_trending(cf: DataFrame, trending_top: DataFrame, seen: DataFrame, n: in
     return _best(scored, "raw", n).select("user_id", "rank", "item_id", round_to("raw", 4).alias("score"))
 
 
-def trending_lists(users: DataFrame, trending_top: DataFrame, seen: DataFrame | None, n: int) -> DataFrame:
-    """The trending list for every user, without seen items: each user gets the first n + (number of seen) entries."""
+def first_unseen(users: DataFrame, ranking: DataFrame, seen: DataFrame, n: int) -> DataFrame:
+    """The first n items of a whole ranking (item_id, rank from 1, score) that each user has not seen.
+
+    The p-th unseen place is p plus the number of seen items before it, found by a running total over the user's seen ranks.
+    """
+    ranks = ranking.select("item_id", F.col("rank").cast("bigint").alias("_at"))
+    mine = seen.join(users, "user_id", "left_semi").select("user_id", "item_id").distinct().join(ranks, "item_id")
+    mine = position(mine.withColumn("_part", F.floor(F.col("_at") / 4096)), ["user_id"], "_part", [F.col("_at")], "_n")
+    known = mine.select("user_id", (F.col("_at") - F.col("_n")).alias("place"), F.lit(0).alias("_own"))
+    asked = users.select("user_id").distinct().withColumn("place", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    both = asked.withColumn("_own", F.lit(1)).unionByName(known).withColumn("_part", F.floor(F.col("place") / 4096))
+    counted = running_total(both, ["user_id"], "_part", [F.col("place"), F.col("_own")], (1 - F.col("_own")).cast("bigint"), "_before")
+    found = counted.filter("_own = 1").select("user_id", (F.col("place") + F.col("_before") + 1).alias("_at"))
+    return found.join(ranking.withColumn("_at", F.col("rank").cast("bigint")), "_at").select("user_id", "rank", "item_id", "score")
+
+
+def trending_lists(
+    users: DataFrame, trending_top: DataFrame, seen: DataFrame | None, n: int, ranking: DataFrame | None = None
+) -> DataFrame:
+    """The trending list for every user, without seen items: each user gets the first n + (number of seen) entries.
+
+    ``ranking`` is the whole ranking of which ``trending_top`` is the beginning: users who have seen so much of the beginning that
+    fewer than n entries are left get their first n from the whole.
+    """
     entries = F.array_sort(F.collect_list(F.struct("rank", "item_id", "score")))
     pool = trending_top.agg(entries.alias("entries")).scalar()
     keys = users.select("user_id").distinct()
@@ -68,6 +91,12 @@ def trending_lists(users: DataFrame, trending_top: DataFrame, seen: DataFrame |
     rows = asked.select("user_id", F.explode(F.slice(pool, F.lit(1), F.col("_want"))).alias("e")).select("user_id", "e.*")
     if seen is not None:
         rows = rows.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    if seen is not None and ranking is not None:
+        used = seen.join(trending_top.select("item_id"), "item_id").groupBy("user_id").agg(F.count_distinct("item_id").alias("_used"))
+        short = stored(used.join(keys, "user_id", "left_semi").filter(F.col("_used") > F.size(pool) - n).select("user_id"), "short-lists")
+        if not short.isEmpty():
+            whole = first_unseen(short, ranking, seen, n).select(*rows.columns)
+            rows = rows.join(short, "user_id", "left_anti").unionByName(whole)
     return rows
 
 

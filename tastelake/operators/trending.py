@@ -23,6 +23,14 @@ def top(scored: DataFrame, n: int = 500) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "item_id")))
 
 
+def ranked(scored: DataFrame) -> DataFrame:
+    """All items with their rank; score ranges are ordered apart from each other."""
+    from tastelake.operators.ordering import position, value_chunk
+
+    down = scored.withColumn("_down", -F.col("score").cast("double")).withColumn("_part", value_chunk("_down"))
+    return position(down, [], "_part", [F.col("_down"), F.col("item_id")], "rank").drop("_down", "_part")
+
+
 def in_window(ratings: DataFrame, as_of: str, days: int) -> DataFrame:
     """Ratings of the last ``days`` before ``as_of``; the filter reaches the scan of the order dates."""
     end = F.lit(as_of).cast("timestamp")

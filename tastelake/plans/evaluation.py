@@ -29,7 +29,7 @@ def popular_lists(train, n=20):
     scored = train.groupBy("item_id").agg(F.avg("rating").alias("mean"), F.count(F.lit(1)).alias("n_ratings"))
     scored = scored.select("item_id", F.round(F.col("mean") * F.log1p(F.col("n_ratings").cast("double")), 4).alias("score"))
     pool = trending.top(scored, 500)
-    lists = hybrid.trending_lists(train, pool, train, n)
+    lists = hybrid.trending_lists(train, pool, train, n, trending.ranked(scored))
     return stored(top_n(lists.withColumnRenamed("rank", "place"), ["user_id"], [F.col("place")], n), "popular-lists")
 
 

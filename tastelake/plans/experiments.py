@@ -143,7 +143,7 @@ def rank_sum_test(v):
            WHERE place <= 10 GROUP BY team""",
         {"count_recs": """SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY place) AS rank FROM (
             SELECT u.user_id, t.item_id, t.place FROM (SELECT DISTINCT user_id FROM train) u,
-              (SELECT item_id, row_number() OVER (ORDER BY pop DESC, item_id) AS place FROM popularity QUALIFY place <= 500) t
+              (SELECT item_id, row_number() OVER (ORDER BY pop DESC, item_id) AS place FROM popularity) t
             WHERE NOT EXISTS (SELECT 1 FROM train r WHERE r.user_id = u.user_id AND r.item_id = t.item_id)) QUALIFY rank <= 20"""}),
 )
 def interleaving(v):
@@ -151,8 +151,8 @@ def interleaving(v):
     from tastelake.operators.ordering import top_n
 
     train, test = split(v)
-    by_count = trending.top(popularity_of(train).select("item_id", F.col("pop").cast("double").alias("score")), 500)
-    counted = hybrid.trending_lists(train, by_count, train, 20).withColumnRenamed("rank", "place")
+    counts = popularity_of(train).select("item_id", F.col("pop").cast("double").alias("score"))
+    counted = hybrid.trending_lists(train, trending.top(counts, 500), train, 20, trending.ranked(counts)).withColumnRenamed("rank", "place")
     counted = top_n(counted, ["user_id"], [F.col("place")], 20)
     return experiment.interleave(popular_lists(train), counted, relevant_of(test))
 

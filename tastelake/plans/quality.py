@@ -183,7 +183,7 @@ _RUNS = {
     "champ": "SELECT k, round(avg(ndcg), 6) AS champion FROM user_metrics GROUP BY k",
     "count_recs": """SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY place) AS rank FROM (
         SELECT u.user_id, t.item_id, t.place FROM (SELECT DISTINCT user_id FROM train) u,
-          (SELECT item_id, row_number() OVER (ORDER BY pop DESC, item_id) AS place FROM popularity QUALIFY place <= 500) t
+          (SELECT item_id, row_number() OVER (ORDER BY pop DESC, item_id) AS place FROM popularity) t
         WHERE NOT EXISTS (SELECT 1 FROM train r WHERE r.user_id = u.user_id AND r.item_id = t.item_id)) QUALIFY rank <= 20""",
     "chall": """SELECT k, round(avg(CASE WHEN n_rel > 0 THEN dcg / list_sum([1 / log2(i + 1) FOR i IN range(1, least(n_rel, k) + 1)]) ELSE 0 END), 6) AS challenger
         FROM (SELECT c.user_id, k, sum(CASE WHEN c.rank <= k AND v.item_id IS NOT NULL THEN 1 / log2(c.rank + 1) ELSE 0 END) AS dcg
@@ -198,8 +198,8 @@ _RUNS = {
 def _runs(v):
     train, test = split(v)
     relevant = relevant_of(test)
-    by_count = trending.top(popularity_of(train).select("item_id", F.col("pop").cast("double").alias("score")), 500)
-    counted = hybrid.trending_lists(train, by_count, train, 20).withColumnRenamed("rank", "place")
+    counts = popularity_of(train).select("item_id", F.col("pop").cast("double").alias("score"))
+    counted = hybrid.trending_lists(train, trending.top(counts, 500), train, 20, trending.ranked(counts)).withColumnRenamed("rank", "place")
     counted = top_n(counted, ["user_id"], [F.col("place")], 20)
     return quality.compare_runs(evaluate.report(popular_lists(train), relevant), evaluate.report(counted, relevant))
 

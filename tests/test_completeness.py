@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tastelake.operators import cf, evaluate, hybrid, text
+from tastelake.operators import cf, evaluate, hybrid, text, trending
 from tastelake.session import shared_dir, work_path
 from tastelake.streaming import jobs
 
@@ -34,6 +34,18 @@ def test_unseen_items_for_a_user_who_has_seen_nearly_all(spark):
     assert {r["user_id"]: r["count"] for r in lists} == {1: 7, 2: 10, 3: 10}
 
 
+def test_lists_beyond_the_trending_pool(spark):
+    scored = spark.range(1, 61).select(F.col("id").alias("item_id"), (100.0 - F.floor(F.col("id") / 2)).alias("score"))
+    whole = trending.ranked(scored)
+    assert [(r["rank"], r["item_id"]) for r in whole.orderBy("rank").collect()] == [(i, i) for i in range(1, 61)]
+    seen = spark.createDataFrame([(1, i) for i in [*range(1, 10), 12, 13]] + [(2, 1)] + [(3, i) for i in range(1, 60)], "user_id bigint, item_id bigint")
+    lists = hybrid.trending_lists(seen, trending.top(scored, 10), seen, 3, whole)
+    got = {}
+    for r in lists.orderBy("rank").collect():
+        got.setdefault(r["user_id"], []).append(r["item_id"])
+    assert got[1] == [10, 11, 14] and got[2][:3] == [2, 3, 4] and got[3] == [60]
+
+
 def test_every_recommendation_is_explained(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [3.0, 3.0]), (4, [0.0, 0.0])], "item_id bigint, vector array<double>")
     ratings = spark.createDataFrame([(7, 1, 5.0), (7, 2, 1.0), (8, 9, 5.0)], "user_id bigint, item_id bigint, rating double")
