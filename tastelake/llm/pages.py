@@ -359,8 +359,13 @@ def altered(page: list[Block], labels: list[int], sentences: list[list[str]], r:
 
 def train(pages: DataFrame, limit: int = TRAIN_PAGES, forms: int = 3) -> Labeller:
     """A labeller from weak labels of a bounded sample."""
-    rows = pages.filter((F.length("html") > 0) & (F.length("html") <= TRAIN_CHARS)).select("html", F.xxhash64("html").alias("_h"))
-    sample = [r["html"] for r in rows.dropDuplicates(["_h"]).orderBy("_h").limit(limit).collect()]
+    fraction = min(1.0, 20 * limit / max(pages.count(), 1))
+    hashed = pages.select("html", F.xxhash64("html").alias("_h"))
+    hashed = hashed.filter((F.pmod("_h", F.lit(1_000_000)) < int(fraction * 1_000_000) + 1) & (F.length("html") > 0) & (F.length("html") <= TRAIN_CHARS))
+    # Hashes first, then the pages of the chosen ones: no task sends more than ``limit`` numbers or its share of ``limit`` pages.
+    chosen = [r["_h"] for r in hashed.select("_h").distinct().orderBy("_h").limit(limit).collect()]
+    rows = hashed.filter(F.col("_h").isin(chosen)).groupBy("_h").agg(F.first("html").alias("html"))
+    sample = [r["html"] for r in sorted(rows.collect(), key=lambda r: r["_h"])]
     r = np.random.default_rng(11)
     read = [p for p in map(blocks, sample) if p]
     sentences = [b.text.split() for p in read for b in p] or [["text"]]
