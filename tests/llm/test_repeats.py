@@ -137,3 +137,16 @@ def test_one_of_each(docs, rows, nothing):
     want = sorted({least for _, n, least, _ in groups if n and least is not None}) + [i for i, n, _, _ in groups if not n]
     assert ids == sorted(want, key=repr)
     assert near.one_of_each(nothing).collect() == []
+
+
+def test_hot_group_meets_a_member_with_many_own_values(spark):
+    base = " ".join(hashlib.sha1(b"%d" % i).hexdigest()[:8] for i in range(302))
+    own = "array_join(transform(sequence(1, {n}), j -> substr(sha1(concat(id, ' ', j)), 1, 8)), ' ')"
+    made = spark.range(80_000).selectExpr("id AS doc_id", f"concat('{base} ', {own.format(n=50)}) AS text")
+    shared = near.featured(spark.range(1).selectExpr("id AS doc_id", f"'{base}' AS text"), 3).first()["set"]
+    sketches = near.featured(made, 3).selectExpr("doc_id", "slice(set, 1, 32) AS s").join(spark.createDataFrame([(shared,)], "b array<bigint>"))
+    rare = sketches.filter("size(array_except(s, b)) >= 13").select("doc_id").limit(1)  # 13 of 32 values that nobody shares
+    hot = spark.range(100_000, 100_060).selectExpr("id AS doc_id", f"concat('{base} ', {own.format(n=1)}) AS text")
+    got = near.near_groups(hot.union(made.join(rare, "doc_id").select("doc_id", "text")).localCheckpoint()).collect()
+    assert len(got) == 61 and len({x["component_id"] for x in got}) == 1
+    assert near.apart(85, 32) == 26 and near.apart(80, 32) == 28
