@@ -3,8 +3,8 @@
 Both classes predict the bytes of each word from the four bytes before it (padded at the start). The top order has counts per class; all lower
 orders are continuation counts that both classes share, so a rare expression gets the same backoff probability from both
 and its ratio tells only what the top order knows. Counts come from all labelled training rows, summed by Spark. The log ratio of
-a byte in its context, weighted by counts, goes to a table of 2 ** SLOT_BITS hash slots, and that of a byte which neither class has seen to one per
-context: 12 MB, whatever the corpus.
+a byte in its context has an entry of its own for each gram, and that of a byte which neither class has seen one for each context: 12 bytes an
+entry, so the model grows with the different grams of the labelled rows.
 
 A document is described by the length-normalised log ratio of the whole text and by the log ratios of its two most toxic
 words, raw and per byte. A logistic curve over these is fitted on a fold of the labels that the counts did not use (at most ``FIT_ROWS`` rows)
@@ -25,11 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastelake.llm.common import bytes_of, offsets_of, slices, small_batches, spread, words
-from tastelake.llm.segments import mixed
 from tastelake.session import stored
 
 ORDER, DISCOUNT = 5, 0.75
-SLOT_BITS, CONTEXT_BITS = 21, 20
 #: Rows for fitting the curve; more labels are sampled by hash.
 FIT_ROWS = 50_000
 #: Labels that may travel to every task; with more, they are joined by key.
@@ -60,10 +58,6 @@ def spelled(unique: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams[at], np.repeat(np.arange(len(size)), size + 1), size + 1
 
 
-def slot(grams: np.ndarray, bits: int) -> np.ndarray:
-    return (mixed(grams.view(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
-
-
 def coded(part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Different words of a slice, the word number of every place, and the document bounds."""
     col = part.column("w")
@@ -110,18 +104,34 @@ def shared_backoff(grams: DataFrame) -> DataFrame:
     return p
 
 
+class Ratios:
+    """Log ratios by key, told apart exactly."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def of(self, keys: np.ndarray, missing: float) -> np.ndarray:
+        out = np.full(len(keys), missing)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            found = self.keys[at] == keys
+            out[found] = self.values[at[found]]
+        return out
+
+
 class Model:
-    """Log ratios by slot; a gram's empty slot (NaN) leaves its context's value."""
+    """Log ratios by gram; a gram without one has its context's value, and 0 in an unknown context."""
 
-    def __init__(self, grams: np.ndarray, contexts: np.ndarray):
+    def __init__(self, grams: Ratios, contexts: Ratios):
         self.grams, self.contexts = grams, contexts
 
     def words(self, unique: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Log ratio and number of bytes of each word."""
         grams, word, size = spelled(unique)
-        value = self.grams[slot(grams, SLOT_BITS)]
+        value = self.grams.of(grams, np.nan)
         empty = np.isnan(value)
-        value[empty] = self.contexts[slot(grams[empty] >> 8, CONTEXT_BITS)]
+        value[empty] = self.contexts.of(grams[empty] >> 8, 0.0)
         return np.bincount(word, weights=value, minlength=len(unique)), size
 
     def features(self, part: pa.RecordBatch) -> np.ndarray:
@@ -145,7 +155,7 @@ class Model:
 
 
 def train(docs: DataFrame) -> Model:
-    """docs: w (words), toxic. At most one row per slot comes to the driver."""
+    """docs: w (words), toxic. One row per gram and one per context come to the driver."""
     grams = stored(gram_counts(docs), "grams").withColumn("h", F.shiftright("g", 8))
     context = grams.groupBy("h").agg(
         *[F.sum(f"c{y}").alias(f"s{y}") for y in (1, 0)], *[F.count(F.when(F.col(f"c{y}") > 0, 1)).alias(f"n{y}") for y in (1, 0)]
@@ -160,24 +170,14 @@ def train(docs: DataFrame) -> Model:
         top = F.when(F.col(f"s{y}") > 0, F.greatest(F.col(f"c{y}") - DISCOUNT, F.lit(0.0)) / F.col(f"s{y}")).otherwise(F.lit(0.0))
         return top + weight[y] * F.col("p")
 
-    ratios = joined.select("g", (F.col("c1") + F.col("c0")).alias("n"), F.log(p(1) / p(0)).alias("v"))
-    unseen = context.select(F.col("h").alias("g"), (F.col("s1") + F.col("s0")).alias("n"), F.log(weight[1] / weight[0]).alias("v"))
-    return Model(_slots(ratios, SLOT_BITS, np.nan), _slots(unseen, CONTEXT_BITS, 0.0))
-
-
-def _slots(values: DataFrame, bits: int, empty: float) -> np.ndarray:
-    """Mean of v by slot, weighted by n."""
+    ratios = joined.select("g", F.log(p(1) / p(0)).alias("v"))
+    unseen = context.select(F.col("h").alias("g"), F.log(weight[1] / weight[0]).alias("v"))
+    return Model(_collected(ratios), _collected(unseen))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = slot(b.column("g").to_numpy(), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(at), b.column("n"), b.column("v")], ["slot", "n", "v"])
 
-    rows = values.select("g", "n", "v").mapInArrow(place, "slot bigint, n bigint, v double").groupBy("slot")
-    found = rows.agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).cast("float").alias("v")).toArrow()
-    out = np.full(1 << bits, empty, np.float32)
-    out[found.column("slot").to_numpy()] = found.column("v").to_numpy()
-    return out
+def _collected(values: DataFrame) -> Ratios:
+    found = values.select("g", F.col("v").cast("float").alias("v")).toArrow()
+    return Ratios(found.column("g").to_numpy(), found.column("v").to_numpy())
 
 
 def described(docs: DataFrame, model, keep: tuple[str, ...]) -> DataFrame:

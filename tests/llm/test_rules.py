@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +147,22 @@ def test_toxicity_held_out(spark, docs, nothing):
     assert toxicity.toxicity(nothing, made.select("doc_id", "toxic")).collect() == []
     none = toxicity.toxicity(docs, made.select("doc_id", "toxic").limit(0)).collect()
     assert {r["predicted"] for r in none} == {0}
+
+
+def test_toxicity_grams_never_share_an_entry(spark):
+    from tastelake.llm.segments import mixed
+
+    def place(grams):  # the hash slot of a gram among 2 ** 21
+        return mixed(grams.astype(np.uint64)) & np.uint64((1 << 21) - 1)
+
+    rare = toxicity.spelled(pa.array(["qzxjk"]))[0][1:]
+    letters = np.frombuffer(b"abcdefghilmnoprstuvwy", np.uint8).astype(np.int64)
+    common = np.zeros(1, np.int64)
+    for _ in range(5):
+        common = (common[:, None] << 8 | letters).ravel()
+    common = common[np.isin(place(common), place(rare))]
+    assert len(set(place(common))) >= 4
+    ordinary = " ".join(int(g).to_bytes(5, "big").decode() for g in common)
+    docs = spark.createDataFrame([("qzxjk other", 1)] + [(ordinary, 0)] * 300, "text string, toxic int")
+    ratio, _ = toxicity.train(docs.select(F.split("text", " ").alias("w"), "toxic")).words(pa.array(["qzxjk"]))
+    assert ratio[0] > 5
