@@ -2,13 +2,13 @@
 
 Both classes predict the bytes of each word from the four bytes before it (padded at the start). The top order has counts per class; all lower
 orders are continuation counts that both classes share, so a rare expression gets the same backoff probability from both
-and its ratio tells only what the top order knows. Counts come from all labelled training rows, summed by Spark. The log ratio of
+and its ratio tells only what the top order knows. Counts come from all labelled rows that may be learned from (folds 1 to 4), summed by Spark. The log ratio of
 a byte in its context has an entry of its own for each gram, and that of a byte which neither class has seen one for each context: 12 bytes an
 entry, so the model grows with the different grams of the labelled rows.
 
 A document is described by the length-normalised log ratio of the whole text and by the log ratios of its two most toxic
-words, raw and per byte. A logistic curve over these is fitted on a fold of the labels that the counts did not use (at most ``FIT_ROWS`` rows)
-and gives the score.
+words, raw and per byte. A logistic curve over these is fitted on fold 1 (at most ``FIT_ROWS`` rows) with a model of the counts of folds 2 to 4; the curve
+over the features by the model of all counts gives the score.
 
 Null texts are empty. Empty texts have no evidence and get the curve's value there. Without labels of both classes every text
 gets the smoothed share of toxic labels. Repeated rows score alike; a doc_id with several labels counts as toxic if any says so. A null
@@ -67,7 +67,7 @@ def coded(part: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """g, c1, c0: places of each gram in toxic and ordinary rows. docs: w, toxic."""
+    """first, g, c1, c0: places of each gram in toxic and ordinary rows. docs: w, toxic, first (of fold 1)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "w"):
@@ -75,15 +75,19 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             if not len(index):
                 continue
             toxic = np.repeat(part.column("toxic").to_numpy() == 1, np.diff(bounds))
-            one = np.bincount(index[toxic], minlength=len(unique))
-            zero = np.bincount(index[~toxic], minlength=len(unique))
+            first = np.repeat(part.column("first").to_numpy(zero_copy_only=False), np.diff(bounds))
             grams, word, _ = spelled(unique)
             g, where = np.unique(grams, return_inverse=True)
-            sums = [np.bincount(where, weights=c[word]).astype(np.int64) for c in (one, zero)]
-            yield pa.RecordBatch.from_arrays([pa.array(g), *(pa.array(x) for x in sums)], ["g", "c1", "c0"])
+            for own in (True, False):
+                counts = [np.bincount(index[(first == own) & (toxic == y)], minlength=len(unique)) for y in (True, False)]
+                sums = [np.bincount(where, weights=c[word]).astype(np.int64) for c in counts]
+                seen = sums[0] + sums[1] > 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(int(seen.sum()), own)), pa.array(g[seen]), *(pa.array(x[seen]) for x in sums)], ["first", "g", "c1", "c0"]
+                )
 
-    rows = docs.select("w", "toxic").mapInArrow(count, "g bigint, c1 bigint, c0 bigint")
-    return rows.groupBy("g").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+    rows = docs.select("w", "toxic", "first").mapInArrow(count, "first boolean, g bigint, c1 bigint, c0 bigint")
+    return rows.groupBy("first", "g").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
 
 
 def shared_backoff(grams: DataFrame) -> DataFrame:
@@ -155,8 +159,14 @@ class Model:
 
 
 def train(docs: DataFrame) -> Model:
-    """docs: w (words), toxic. One row per gram and one per context come to the driver."""
-    grams = stored(gram_counts(docs), "grams").withColumn("h", F.shiftright("g", 8))
+    """docs: w (words), toxic."""
+    return modelled(gram_counts(docs.withColumn("first", F.lit(False))))
+
+
+def modelled(counts: DataFrame) -> Model:
+    """counts: g, c1, c0, with as many rows per g as may be. One row per gram and one per context come to the driver."""
+    grams = counts.groupBy("g").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+    grams = stored(grams, "grams").withColumn("h", F.shiftright("g", 8))
     context = grams.groupBy("h").agg(
         *[F.sum(f"c{y}").alias(f"s{y}") for y in (1, 0)], *[F.count(F.when(F.col(f"c{y}") > 0, 1)).alias(f"n{y}") for y in (1, 0)]
     )
@@ -222,12 +232,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = stored(known, "labels")
     few = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
     labelled = split.join(F.broadcast(known) if few else known, "doc_id")
-    model = docs.sparkSession.sparkContext.broadcast(train(labelled.filter(fold() != 1)))
+    counts = stored(gram_counts(labelled.withColumn("first", fold() == 1)), "counts")
+    share = docs.sparkSession.sparkContext.broadcast
+    fitting, model = share(modelled(counts.filter(~F.col("first")))), share(modelled(counts))
     second = known.filter(fold() == 1)
     n = second.count()
     if n > FIT_ROWS:
         second = second.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(FIT_ROWS / n * (1 << 20)))
-    sample = described(split.join(F.broadcast(second), "doc_id").select("toxic", "w"), model, ("toxic",)).limit(FIT_ROWS).toPandas()
+    sample = described(split.join(F.broadcast(second), "doc_id").select("toxic", "w"), fitting, ("toxic",)).limit(FIT_ROWS).toPandas()
     curve = fit_curve(sample[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), sample["toxic"].to_numpy(float))
     line = F.lit(float(curve[-1]))
     for name, weight in zip(FEATURES, curve[:-1].tolist()):

@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -166,3 +167,18 @@ def test_toxicity_grams_never_share_an_entry(spark):
     docs = spark.createDataFrame([("qzxjk other", 1)] + [(ordinary, 0)] * 300, "text string, toxic int")
     ratio, _ = toxicity.train(docs.select(F.split("text", " ").alias("w"), "toxic")).words(pa.array(["qzxjk"]))
     assert ratio[0] > 5
+
+
+def test_toxicity_learns_spellings_of_the_curves_fold(spark):
+    r = random.Random(3)
+    data = []
+    for i in range(1200):
+        w, k = sentence(r, 30).split(), zlib.crc32(str(i).encode()) % 5
+        toxic = int(i % 4 == 1)
+        if toxic:  # one spelling is labelled in fold 1 only
+            w[r.randrange(30)] = "wokkipuz" if k == 0 or k == 1 and i % 8 == 1 else "grumvash"
+        data.append((i, " ".join(w), toxic))
+    made = spark.createDataFrame(data, "doc_id bigint, text string, toxic int")
+    got = toxicity.toxicity(made.select("doc_id", "text"), made.select("doc_id", "toxic")).filter("held_out").join(made, "doc_id").collect()
+    assert sum(x["predicted"] for x in got if x["toxic"]) >= 0.9 * sum(x["toxic"] for x in got)
+    assert sum(x["predicted"] for x in got if not x["toxic"]) <= 0.1 * len(got)
