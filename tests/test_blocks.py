@@ -117,3 +117,37 @@ def test_als_lists_hold_no_seen_item(views):
     lists = hybrid.score_unseen(users, items, views.ratings, 5)
     assert lists.join(views.ratings, ["user_id", "item_id"], "left_semi").count() == 0
     assert lists.groupBy("user_id").agg(F.max("rank").alias("m")).filter("m <> 5").count() == 0
+
+
+def test_queries_train_with_the_documented_settings(views, monkeypatch):
+    from inspect import signature
+
+    from tastelake.plans import learned as plans
+
+    asked = {}
+
+    class Asked(Exception):
+        pass
+
+    def noted(name, real):
+        def call(*args, **kwargs):
+            bound = signature(real).bind(*args, **kwargs)
+            bound.apply_defaults()
+            asked.setdefault(name, []).append(bound.arguments)
+            if name != "search_grid":
+                raise Asked
+            return [(f, r, 1.0) for f in bound.arguments["factors"] for r in bound.arguments["regs"]]
+
+        monkeypatch.setattr(learned, name, call)
+
+    for name in ("als_factors", "truncated_svd", "boosted_ranker", "search_grid"):
+        noted(name, getattr(learned, name))
+    monkeypatch.setattr(plans, "_folded", lambda v: v.ratings.withColumn("fold", F.lit(0)))
+    for query in (plans.als_recommendations, plans.truncated_svd, plans.boosted_ranking):
+        with pytest.raises(Asked):
+            query(views)
+    assert (asked["als_factors"][0]["factors"], asked["als_factors"][0]["iterations"]) == (128, 50)
+    assert asked["truncated_svd"][0]["rounds"] == 8 and asked["boosted_ranker"][0]["trees"] == 20
+    assert plans.parameter_search(views).count() == 27
+    points = {(f, r, x["iterations"]) for x in asked["search_grid"] for f in x["factors"] for r in x["regs"]}
+    assert points == {(f, r, n) for f in (64, 128, 256) for r in (0.001, 0.01, 0.1) for n in (30, 50, 100)}
