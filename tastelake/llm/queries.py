@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tastelake.llm import decontam, near, oracle, packing, pages, quality, secrets, substrings, suffixes, token_files, toxicity
+from tastelake.llm import (
+    decontam, near, negatives, oracle, packing, pages, quality, search, secrets, substrings, suffixes, token_files, toxicity, warc,
+)
 from tastelake.llm.common import table
 from tastelake.session import work_path
 
@@ -56,6 +59,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.listing(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the labels of every seventh row moved on by one, which makes near rows of other labels."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_extraction": op2_html_extraction,
@@ -67,10 +86,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_files": op9_token_files,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_warc": op11_warc,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": oracle.QUALITY,
     "op4_decontamination": oracle.DECONTAMINATION,
     "op6_near_dedup": oracle.NEAR,
     "op7_secret_scan": oracle.secrets_sql(),
+    "op11_warc": oracle.WARC,
+    "op12_hard_negatives": oracle.HARD_NEGATIVES,
+    "op13_ranked_search": oracle.RANKED_SEARCH,
 }
