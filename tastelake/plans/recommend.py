@@ -363,16 +363,17 @@ def diversity_rerank(v):
     return hybrid.diversify(cf_lists(v), v.item_vectors)
 
 
-@query(
-    "because_you_rated",
-    "R17",
-    sql("""SELECT c.user_id, c.item_id, because_item, strength FROM cf_recs c LEFT JOIN (
-             SELECT user_id, item_id, rated_id AS because_item, round(s, 6) AS strength FROM (
-               SELECT c.user_id, c.item_id, r.item_id AS rated_id, list_cosine_similarity(x.vector, y.vector) * r.rating AS s
-               FROM cf_recs c JOIN ratings r USING (user_id) JOIN item_vectors x ON x.item_id = c.item_id JOIN item_vectors y ON y.item_id = r.item_id)
-             QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY round(s, 8) DESC, rated_id) = 1) b
-           ON b.user_id = c.user_id AND b.item_id = c.item_id"""),
-)
+_BECAUSE = """SELECT * FROM (
+    WITH lists AS MATERIALIZED (SELECT user_id, item_id FROM cf_recs),
+    history AS MATERIALIZED (SELECT user_id, item_id AS rated_id, rating FROM ratings WHERE item_id IN (SELECT item_id FROM item_vectors)),
+    sims AS MATERIALIZED (SELECT x.item_id, y.item_id AS rated_id, list_cosine_similarity(x.vector, y.vector) AS sim FROM item_vectors x, item_vectors y),
+    reasons AS (SELECT user_id, item_id, rated_id, sim * rating AS s FROM lists JOIN history USING (user_id) JOIN sims USING (item_id, rated_id)),
+    best AS (SELECT user_id, item_id, arg_max(rated_id, {'s': round(s, 8), 'least': -rated_id}) AS because_item, round(max(s), 6) AS strength
+             FROM reasons GROUP BY user_id, item_id)
+    SELECT user_id, item_id, because_item, strength FROM lists LEFT JOIN best USING (user_id, item_id))"""
+
+
+@query("because_you_rated", "R17", sql(_BECAUSE))
 def because_you_rated(v):
     return hybrid.explain_by_item(cf_lists(v), v.stored_ratings, v.item_vectors)
 

@@ -30,4 +30,11 @@ def test_entry_points():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
-    assert len(e.queries()) == len(ENTRIES)
+    extra = set(e.queries()) - set(ENTRIES)
+    assert set(ENTRIES) <= set(e.queries())
+    if e.WITH_TEXT:
+        from importlib import import_module
+
+        assert extra == set(import_module("tastelake.llm.queries").QUERIES) | {"pipeline"}
+    else:
+        assert not extra
