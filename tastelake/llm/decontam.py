@@ -8,6 +8,7 @@ Python walks through candidate runs only.
 
 Null texts have no words, items without words match nothing, repeated rows are judged alike, an empty benchmark or document
 table gives zero hits or no rows. ``item_id`` counts as text; rows of one item_id are separate texts of the same item.
+Windows of a null item_id count as hits, but it has no name, so it is not among the items.
 Of the documents only the columns that are asked for are read, and the added columns have fixed names.
 """
 
@@ -39,7 +40,7 @@ def item_words(text: str = "text"):
 class Automaton:
     """Suffix automaton of several word sequences, with the items of every window and of every short item."""
 
-    def __init__(self, items: Sequence[tuple[str, Sequence[str]]], window: int = WINDOW):
+    def __init__(self, items: Sequence[tuple[str | None, Sequence[str]]], window: int = WINDOW):
         self.window = window
         self.ids: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -57,6 +58,10 @@ class Automaton:
                     self.windows.setdefault(self._of_length(state, window), set()).add(name)
             if len(words) < window:
                 self.shorts.setdefault(self._of_length(state, len(words)), []).append((len(words), name))
+        # The nearest state on the way to the root, itself included, that ends a short item.
+        self.nearest = [0] * len(self.link)
+        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__) if self.shorts else ():
+            self.nearest[state] = state if state in self.shorts else self.nearest[self.link[state]]
         self.shortest = min([window, *(len(w) for _, w in coded)])
         pairs = {(a, b) for _, w in coded for a, b in zip(w, w[1:])}
         self.bits = max(16, (8 * len(pairs)).bit_length())
@@ -120,11 +125,12 @@ class Automaton:
         for at, state, length in self._walk(words):
             if length >= self.window:
                 yield at + 1 - self.window, at + 1, self.windows[self._of_length(state, self.window)]
-            while self.shorts and state > 0:
-                for n, name in self.shorts.get(state, ()):
+            state = self.nearest[state]
+            while state > 0:
+                for n, name in self.shorts[state]:
                     if n <= length:
                         yield at + 1 - n, at + 1, (name,)
-                state = self.link[state]
+                state = self.nearest[self.link[state]]
 
 
 def scan_words(automaton: Automaton, vocabulary: pa.Array, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, dict[int, set[str]]]:
@@ -160,15 +166,15 @@ def runs(flags: np.ndarray) -> list[dict[str, int]]:
     return [{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)]
 
 
-def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, list[str]]]]:
+def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, list[str]]]]:
     """Items with their words in blocks; one block at a time is on the driver."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("name"), item_words().alias("words")).filter("size(words) > 0 AND name IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("string").alias("name"), item_words().alias("words")).filter("size(words) > 0")
     items = stored(items, "items")
     total = items.agg(F.sum(F.size("words"))).first()[0] or 0
     n = max(1, -(-total // block_words))
     for block in range(n):
         rows = items.filter(F.pmod(F.xxhash64("name", "words"), F.lit(n)) == block).collect()
-        yield sorted((r["name"], r["words"]) for r in rows)
+        yield sorted(((r["name"], r["words"]) for r in rows), key=lambda x: (x[0] is None, x[0] or "", x[1]))
 
 
 HITS = "array<struct<start:int,end:int>>"
@@ -227,7 +233,7 @@ def _scanned(docs: DataFrame, automaton, keep: str) -> DataFrame:
             spans = [runs(hit[offsets[i] : offsets[i + 1]]) if i in found else [] for i in range(part.num_rows)]
             columns = [part.column(keep), pa.array(np.diff(offsets), pa.int64())]
             columns.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
-            columns.append(pa.array([sorted(found.get(i, ())) for i in range(part.num_rows)], pa.list_(pa.string())))
+            columns.append(pa.array([sorted(x for x in found.get(i, ()) if x is not None) for i in range(part.num_rows)], pa.list_(pa.string())))
             yield pa.RecordBatch.from_arrays(columns, [keep, "n_words", "hits", "items"])
 
     kind = docs.schema[keep].dataType.simpleString()

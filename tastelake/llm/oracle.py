@@ -78,14 +78,15 @@ DECONTAMINATION = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id,
                      list_filter(string_split_regex({LOWER.format("coalesce(text, '')")}, '{NO_WORD}'), lambda x: x <> '') AS w FROM documents),
 items AS (SELECT item_id::VARCHAR AS item_id, list_filter(string_split_regex({LOWER.format("coalesce(text, '')")}, '{NO_WORD}'), lambda x: x <> '') AS w
-          FROM benchmark WHERE item_id IS NOT NULL),
+          FROM benchmark),
 wins AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, w[i:i + least(len(w), 10) - 1] AS win
          FROM items, LATERAL (SELECT unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i) WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT n FROM wins),
 places AS (SELECT r, n, i, w[i:i + n - 1] AS win FROM docs, sizes, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i) WHERE len(w) >= n),
 hits AS (SELECT r, places.n, i, item_id FROM places JOIN wins ON places.n = wins.n AND places.win = wins.win),
 covered AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT r, n, i FROM hits), range(10) AS t(k) WHERE k < n GROUP BY r),
-named AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r)
+named AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s
+          FROM (SELECT DISTINCT r, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
@@ -125,26 +126,27 @@ WITH e AS (
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
       FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
-pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
-        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place
+        FROM s WHERE same QUALIFY place <= 5)
 SELECT pos.anchor_id, positive_id, (row_number() OVER near)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
 FROM pos JOIN s ON s.anchor_id = pos.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
-WINDOW near AS (PARTITION BY pos.anchor_id, positive_id ORDER BY score DESC, id)
+WINDOW near AS (PARTITION BY pos.anchor_id, place ORDER BY score DESC, id)
 QUALIFY row_number() OVER near <= 10
 """
 
 _TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
 RANKED_SEARCH = f"""
-WITH d AS (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, {_TERMS} AS w FROM documents) WHERE len(w) > 0),
+WITH d AS (SELECT r, doc_id, w, len(w) AS n FROM (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents) WHERE len(w) > 0),
 total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM d),
-q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
-tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM d) GROUP BY ALL),
+q AS (SELECT i, item_id, term, count(*) AS times
+      FROM (SELECT i, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark)) GROUP BY ALL),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(w) AS term FROM d) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-gain AS (SELECT doc_id, term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+gain AS (SELECT r, doc_id, term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT
                 * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // words)))) AS gain
          FROM tf JOIN df USING (term), total),
-scores AS (SELECT item_id, doc_id, sum(times * gain)::BIGINT AS score FROM q JOIN gain USING (term) GROUP BY ALL)
+scores AS (SELECT i, item_id, r, doc_id, sum(times * gain)::BIGINT AS score FROM q JOIN gain USING (term) GROUP BY ALL)
 SELECT item_id, (row_number() OVER best)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0
-WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 20
+WINDOW best AS (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, r) QUALIFY row_number() OVER best <= 20
 """

@@ -3,7 +3,8 @@
 The plan needs only how many pieces there are of each length, a table of at most ``capacity`` rows. Lengths are taken from the
 longest down. The gap that is left is looked up in an index of single lengths, of pair sums and of triple sums; a combination
 that fills it exactly is used as often as the counts allow. What finds no complement goes to the fullest place it fits in
-(best fit, longest first). The plan says for every length which ranks go to which sequences; pieces are then ranked within
+(best fit, longest first). Taking triples early can use up the short pieces that later gaps need, so plans are made from the same table for
+several orders of the three kinds of combination, best fit alone among them, and the one with fewest sequences is used. The plan says for every length which ranks go to which sequences; pieces are then ranked within
 their length by a two-level count and looked up in the plan. No piece but those of one slice is ever in Python.
 
 Null texts are empty; an empty document is its end id alone. Repeated rows are packed as often as they occur. A null doc_id
@@ -56,10 +57,14 @@ def uses(left: np.ndarray, lengths: tuple[int, ...]) -> int:
     return min(int(left[x]) // lengths.count(x) for x in lengths)
 
 
-def complement(left: np.ndarray, length: int, gap: int) -> tuple[int, ...] | None:
-    """One, two or three lengths that together fill ``gap`` exactly beside one piece of ``length``; the longest first."""
+#: Orders in which combinations of one, two and three pieces are tried; each inner tuple is one run from the longest length down.
+ORDERS = (((1, 2, 3),), ((1,), (2,), (3,)), ((1,), (2, 3)), ((1, 2), (3,)), ((1, 2),), ((1,),), ())
+
+
+def complement(left: np.ndarray, length: int, gap: int, kinds: tuple[int, ...] = (1, 2, 3)) -> tuple[int, ...] | None:
+    """One, two or three lengths (as ``kinds`` says) that together fill ``gap`` exactly beside one piece of ``length``; the longest first."""
     there = left > 0
-    if there[gap] and uses(left, (length, gap)):
+    if 1 in kinds and there[gap] and uses(left, (length, gap)):
         return (gap,)
 
     def pair(total: int, taken: tuple[int, ...]) -> tuple[int, ...] | None:
@@ -70,8 +75,10 @@ def complement(left: np.ndarray, length: int, gap: int) -> tuple[int, ...] | Non
                 return found
         return None
 
-    if found := pair(gap, (length,)):
+    if 2 in kinds and (found := pair(gap, (length,))):
         return found
+    if 3 not in kinds:
+        return None
     index = np.flatnonzero(there[: gap + 1])
     if not len(index):
         return None
@@ -86,20 +93,33 @@ def complement(left: np.ndarray, length: int, gap: int) -> tuple[int, ...] | Non
 
 
 def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """counts: pieces by length, 1 to ``capacity``."""
+    """counts: pieces by length, 1 to ``capacity``. The plan with fewest sequences of all ``ORDERS``."""
+    bound = -(-sum(length * count for length, count in counts.items()) // capacity)
+    best = None
+    for order in ORDERS:
+        plan = plan_in_order(counts, capacity, order)
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+        if best.sequences == bound:
+            break
+    return best
+
+
+def plan_in_order(counts: dict[int, int], capacity: int, order: tuple[tuple[int, ...], ...]) -> Plan:
     plan, left = Plan(capacity), np.zeros(capacity + 1, np.int64)
     for length, count in counts.items():
         left[length] = count
-    for length in range(capacity, 0, -1):
-        while left[length]:
-            found = () if length == capacity else complement(left, length, capacity - length)
-            if found is None:
-                break
-            taken = (length, *found)
-            bins = uses(left, taken)
-            plan.open(list(taken), bins)
-            for x in taken:
-                left[x] -= bins
+    if left[capacity]:
+        plan.open([capacity], int(left[capacity]))
+        left[capacity] = 0
+    for kinds in order:
+        for length in range(capacity - 1, 0, -1):
+            while left[length] and (found := complement(left, length, capacity - length, kinds)) is not None:
+                taken = (length, *found)
+                bins = uses(left, taken)
+                plan.open(list(taken), bins)
+                for x in taken:
+                    left[x] -= bins
     free: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # (first sequence, bins) by free places
     for length in range(capacity, 0, -1):
         while left[length]:

@@ -52,23 +52,25 @@ ADDED = (
     Rule("url_login", 1, "[a-z][a-z0-9+]*://[A-Za-z0-9._-]+:[^\\x00-\\x20/@]+@", needs="://"),
 )
 RULES = BASE + ADDED
+#: Spans in the ledger carry their rule version; ``rank`` is the place of the rule among those asked for.
+FOUND = "array<struct<start:bigint,end:bigint,rule:string>>"
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
-LEDGER = f"blob string, scanned array<string>, spans {SPAN}"
+LEDGER = f"blob string, scanned array<string>, spans {FOUND}"
 
 
-def rule_spans(rule: Rule, rank: int, text: str = "text") -> Column:
+def rule_spans(rule: Rule, text: str = "text") -> Column:
     """Spans of one rule. Between two matches lies one piece of the split text, so running lengths give the places."""
     t, pattern = F.col(text), F.lit(rule.pattern)
     there = t.contains(rule.needs) & t.rlike(rule.pattern) if rule.needs else t.rlike(rule.pattern)
     between = F.transform(F.split(t, rule.pattern, -1), lambda x: F.length(x).cast("bigint"))
     whole = F.transform(F.regexp_extract_all(t, pattern, F.lit(0)), lambda x: F.length(x).cast("bigint"))
     part = F.transform(F.regexp_extract_all(t, pattern, F.lit(rule.group)), F.length)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(FOUND).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["between"]
         end = begin + x["whole"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(rule.key).alias("rule"))
         out = F.when(x["part"] >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"])
         return F.struct(end.alias("at"), out.alias("out"))
 
@@ -76,7 +78,7 @@ def rule_spans(rule: Rule, rank: int, text: str = "text") -> Column:
     rows = F.filter(
         F.arrays_zip(between.alias("between"), whole.alias("whole"), part.alias("part")), lambda x: x["whole"].isNotNull()
     )
-    return F.when(there, F.aggregate(rows, start, step)["out"]).otherwise(F.array().cast(SPAN))
+    return F.when(there, F.aggregate(rows, start, step)["out"]).otherwise(F.array().cast(FOUND))
 
 
 def blob() -> Column:
@@ -109,23 +111,28 @@ def unseen(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataF
 
 def update_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> None:
     """Scans the unseen (blob, rule version) pairs and appends them."""
-    nothing = F.array().cast(SPAN)
+    nothing = F.array().cast(FOUND)
     keys = F.array(*[F.lit(r.key) for r in rules])
-    found = [
-        F.when(F.array_contains("known", r.key), nothing).otherwise(rule_spans(r, RULES.index(r) if r in RULES else len(RULES)))
-        for r in rules
-    ]
+    found = [F.when(F.array_contains("known", r.key), nothing).otherwise(rule_spans(r)) for r in rules]
     scanned = unseen(docs, path, rules).select("blob", F.array_except(keys, F.col("known")).alias("scanned"), F.concat(*found).alias("spans"))
     scanned.write.mode("append").parquet(path)
 
 
+def blob_spans(spark, path: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """blob and the sorted spans of exactly the given rule versions, of blobs that have any row with spans."""
+    hits = ledger(spark, path).filter(F.size("spans") > 0)
+    # A blob has one row per scan; each scan has other rules. Versions that are not asked for stay in the ledger unseen.
+    own = hits.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    asked = F.filter("spans", lambda s: s["rule"].isin([r.key for r in rules]))
+    rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))])
+    kind = F.create_map(*[x for r in rules for x in (F.lit(r.key), F.lit(r.kind))])
+    named = F.transform(asked, lambda s: F.struct(s["start"].alias("start"), rank[s["rule"]].alias("rank"), s["end"].alias("end"), kind[s["rule"]].alias("kind")))
+    return own.select("blob", F.sort_array(F.array_distinct(named)).alias("spans"))
+
+
 def findings(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, blob and the sorted spans of the given rule versions, for every row of docs."""
-    kinds = [r.kind for r in rules]
-    hits = ledger(docs.sparkSession, path).filter(F.size("spans") > 0)
-    # A blob has one row per scan; each scan has other rules.
-    own = hits.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
-    own = own.select("blob", F.filter("spans", lambda s: s["kind"].isin(kinds)).alias("spans"))
+    own = blob_spans(docs.sparkSession, path, rules)
     return (
         docs.select("doc_id", blob().alias("blob"))
         .join(own, "blob", "left")
@@ -146,7 +153,7 @@ def scan(docs: DataFrame, path: str | None = None, rules: tuple[Rule, ...] = RUL
 
 def report(found: DataFrame) -> DataFrame:
     """Counts, digest and text form of the spans of ``findings``."""
-    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE]))
 
     def count(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
@@ -176,9 +183,7 @@ def masked(docs: DataFrame, path: str | None = None, mark: str = "[SECRET]") ->
     """The rows of docs, with all their columns, whose secrets are replaced by ``mark``; an ``n_chars`` column follows the text."""
     at = path or work_path(docs.sparkSession, "blob-ledger")
     update_ledger(docs, at)
-    kinds = [r.kind for r in RULES]
-    hits = ledger(docs.sparkSession, at).filter(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    hits = hits.select(F.col("blob").alias("_blob"), F.sort_array(F.filter("spans", lambda s: s["kind"].isin(kinds))).alias("_spans"))
+    hits = blob_spans(docs.sparkSession, at, RULES).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     few = hits.limit(BROADCAST_BLOBS + 1).count() <= BROADCAST_BLOBS
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     joined = docs.select(blob().alias("_key"), row).join(F.broadcast(hits) if few else hits, F.col("_key") == F.col("_blob"), "left")

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tastelake.llm.common import offsets_of, slices, small_batches, spread, texts
@@ -162,6 +162,12 @@ def rank_table(ranks: DataFrame) -> np.ndarray:
     return table
 
 
+def file_number(path: Column) -> Column:
+    """Spark's number in a file name, as five digits are not always enough, with the number of the split file behind it."""
+    name = F.substring_index(path, "/", -1)
+    return F.struct(F.regexp_extract(name, "part-([0-9]+)", 1).cast("bigint"), F.regexp_extract(name, "-c([0-9]+)", 1).cast("string"), name)
+
+
 def read(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids) of every document, in file order: start counts all ids before it."""
     small_batches(spark)
@@ -188,7 +194,7 @@ def read(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, ["path", "doc_id", "inside", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
     rows = stored(files.mapInArrow(decode, schema), "decoded")
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    before = Window.orderBy(file_number(F.col("path"))).rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     firsts = rows.groupBy("path").agg(F.sum("n_tokens").alias("_n"))
     firsts = firsts.select("path", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     kept = ["n_tokens", "ids_crc32", *(["ids"] if keep_ids else [])]

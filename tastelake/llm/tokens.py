@@ -3,6 +3,7 @@
 Natural text repeats its words, so a batch is cut at blanks, line ends and marks where no rule of the tokenizer looks across,
 each different piece is encoded once, and the ids are put together again with NumPy. Cuts are left out next to
 anything unusual (further white space, characters that may be white space), where the longer piece goes to the library as it is.
+Strings of added tokens (such as an end mark) in a text become those tokens, as the library does it.
 """
 
 from __future__ import annotations
@@ -79,7 +80,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.memo: dict[str, bytes] = {}
         kind = json.loads(self.tokenizer.to_str())
         before, split = kind["normalizer"], kind["pre_tokenizer"] or {}
@@ -90,6 +90,12 @@ class Encoder:
             and [x["type"] for x in before.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
             and steps == ["Split", "ByteLevel"]
         )
+        # The library takes added tokens out of a text first; texts are cut only if no cut can fall into one of them.
+        plain = all(
+            not (t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]) and not set(t["content"]) & set(" \n.,;:!?")
+            for t in kind["added_tokens"]
+        )
+        self.byte_level, self.word_level = self.byte_level and plain, self.word_level and plain
         letters = byte_alphabet()
         self.letters = {i: "".join(letters[b] for b in chr(i).encode()) for i in range(256)}
 

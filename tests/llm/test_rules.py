@@ -29,8 +29,15 @@ def test_check_sql_on_special_rows(spark, docs, rows, name, tmp_path):
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, None), (None, "x y"), (5, "one"), (6, rows[7][1]), (7, ""), (6, "Twice B")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(10, 1, 0), (10, 0, None), (41, None, 1), (None, 1, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    big = "<p>" + "é" * 600
+    pages = [(1, "u", big), (4, None, big), (None, "u", big), (2, "u", None), (3, "u", "short"), (5, "u", "short"), (4, "u", big)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    r = random.Random(9)
+    vectors = [(i, i % 3, [r.choice((0.1, 0.2, 0.4)) for _ in range(5)]) for i in range(320)]
+    vectors += [(400, None, [0.1] * 5), (500, 1, None), (501, 1, [None] * 5), (502, 1, [float("nan")] * 5), (None, 1, [0.1] * 5), (503, 0, [0.4] * 5)] * 2
+    spark.createDataFrame(vectors, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     names, got = spark_rows(QUERIES[name](spark, str(tmp_path)))
     want_names, want, _ = duck_rows(con, ORACLE_SQL[name])
@@ -182,3 +189,27 @@ def test_toxicity_learns_spellings_of_the_curves_fold(spark):
     got = toxicity.toxicity(made.select("doc_id", "text"), made.select("doc_id", "toxic")).filter("held_out").join(made, "doc_id").collect()
     assert sum(x["predicted"] for x in got if x["toxic"]) >= 0.9 * sum(x["toxic"] for x in got)
     assert sum(x["predicted"] for x in got if not x["toxic"]) <= 0.1 * len(got)
+
+
+def test_raised_rule_version_gives_its_own_spans(spark):
+    from dataclasses import replace
+
+    docs = spark.createDataFrame([(1, "0123456789abcdef01234567 " + "0123456789abcdef" * 3)], "doc_id bigint, text string")
+    path = work_path(spark, "ledger")
+    first = secrets.Rule("hex", 1, "[0-9a-f]{24,}", 0, 24)
+    raised = replace(first, version=2, pattern="[0-9a-f]{40,}", least=40)
+    own, more = secrets.Rule("one", 1, "0123"), secrets.Rule("two", 1, "0123")
+    assert secrets.report(secrets.scan(docs, path, (first,))).first()["spans"] == "hex:0:24,hex:25:73"
+    assert secrets.report(secrets.scan(docs, path, (raised,))).first()["spans"] == "hex:25:73"
+    assert secrets.report(secrets.scan(docs, path, (first,))).first()["spans"] == "hex:0:24,hex:25:73"
+    both = secrets.report(secrets.scan(docs, path, (more, own))).first()["spans"]
+    assert both.startswith("two:0:4,one:0:4,two:16:20") or both.startswith("two:0:4,one:0:4")
+
+
+def test_windows_of_a_null_item_count(spark):
+    text = " ".join(f"word{chr(97 + i)}" for i in range(14))
+    docs = spark.createDataFrame([(1, f"before {text} after"), (2, "nothing here")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, text), (None, "single"), (7, "here")], "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in decontam.report(decontam.scan(docs, items)).collect()}
+    assert got[1]["n_hit"] == 14 and got[1]["contaminated"] and got[1]["n_items"] == 0
+    assert got[2]["n_hit"] == 1 and got[2]["n_items"] == 1

@@ -18,7 +18,6 @@ def plain_ids(path, texts):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     return [x.ids + [0] for x in own.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -29,7 +28,7 @@ def crc(ids):
 @pytest.mark.parametrize("path", PATHS)
 def test_encoder_equals_library(path):
     r = random.Random(1)
-    parts = [" ", "  ", "\n", "a", "Foo", "é", "É", "1", ".", ",", "'s", " ", "\t", "　", "́", "中文", "\x1c", "ß", "<|endoftext|>", "👍", "\x85", "İ"]
+    parts = [" ", "  ", "\n", "a", "Foo", "é", "É", "1", ".", ",", "'s", " ", "\t", "　", "́", "中文", "\x1c", "ß", "<|endoftext|>", "<|startoftext|>", "<|endof", "|>", "👍", "\x85", "İ"]
     texts = ["", " ", "x.\n\ny"] + ["".join(r.choices(parts, k=r.randint(0, 25))) for _ in range(3000)]
     ids, ends = Encoder(path).encode(pa.array(texts))
     assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == plain_ids(path, texts)
@@ -98,3 +97,34 @@ def test_token_files(spark, docs, rows, nothing):
     empty = work_path(spark, "t")
     token_files.write(nothing, PATHS[1], empty)
     assert token_files.read(spark, empty).collect() == []
+
+
+def best_fit_decreasing(lengths, capacity=2048):
+    from bisect import bisect_left, insort
+
+    gaps, n = [], 0
+    for x in sorted(lengths, reverse=True):
+        at = bisect_left(gaps, x)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        n += gap == capacity
+        if gap > x:
+            insort(gaps, gap - x)
+    return n
+
+
+@pytest.mark.parametrize("low, high, n", [(1, 2048, 5000), (600, 760, 2750), (20, 500, 4000), (900, 1200, 3000), (1, 30, 3000), (500, 2048, 2000)])
+def test_never_more_sequences_than_best_fit(low, high, n):
+    r = random.Random(low)
+    lengths = [r.randint(low, high) for _ in range(n)]
+    plan = packing.plan_packing({x: lengths.count(x) for x in set(lengths)})
+    bound = -(-sum(lengths) // 2048)
+    print(low, high, n, "sequences", plan.sequences, "best fit", best_fit_decreasing(lengths), "bound", bound)
+    assert bound <= plan.sequences <= best_fit_decreasing(lengths)
+
+
+def test_files_are_ordered_by_number(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(100_001).select(F.format_string("file:/a/part-%05d-0f3c-c000.txt", "id").alias("path"), "id")
+    last = rows.orderBy(token_files.file_number(F.col("path")).desc()).limit(3).collect()
+    assert [r["id"] for r in last] == [100_000, 99_999, 99_998]
