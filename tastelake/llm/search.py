@@ -41,8 +41,8 @@ PIECE = 1 << 20
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 GAP = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 _LOWER = {c: c + 32 for c in range(65, 91)}
-#: Scores of one batch of classes.
-_CELLS = 2_000_000
+#: Scores and item terms that are worked on at once.
+_CELLS = 400_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -128,6 +128,18 @@ def lists(col: pa.Array, kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
     return col.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]].astype(kind), bounds - bounds[0]
 
 
+def bounded(own: Items, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The classes in parts of at most ``_CELLS`` scores and item terms; a class that has more comes alone."""
+    ids, bounds = lists(batch.column("ids"))
+    done = np.append(0, np.cumsum(own.starts[ids + 1] - own.starts[ids]))[bounds]
+    done += np.arange(len(done)) * len(own.places)
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(done, done[start] + _CELLS, side="right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def scored(table: DataFrame, items, weights, k: int) -> DataFrame:
     """place, score and members of the best k classes per item and task."""
 
@@ -138,9 +150,7 @@ def scored(table: DataFrame, items, weights, k: int) -> DataFrame:
         members: dict[int, list] = {}
         seen = 0
         for batch in batches:
-            step = max(1, _CELLS // max(n, 1))
-            for begin in range(0, batch.num_rows, step):
-                part = batch.slice(begin, step)
+            for part in bounded(own, batch):
                 ids, bounds = lists(part.column("ids"))
                 tfs, _ = lists(part.column("tfs"))
                 owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
@@ -158,7 +168,7 @@ def scored(table: DataFrame, items, weights, k: int) -> DataFrame:
                 for i in np.unique(row).tolist():
                     members[i + seen] = docs[i]
                 seen += part.num_rows
-                if len(members) > 4 * n * k + step:
+                if len(members) > 2 * n * k + _CELLS // max(n, 1):
                     live = set(heaps.cut()[3].tolist())
                     members = {i: d for i, d in members.items() if i in live}
         item, score, _, extra = heaps.cut()
