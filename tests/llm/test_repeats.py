@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -150,3 +151,16 @@ def test_hot_group_meets_a_member_with_many_own_values(spark):
     got = near.near_groups(hot.union(made.join(rare, "doc_id").select("doc_id", "text")).localCheckpoint()).collect()
     assert len(got) == 61 and len({x["component_id"] for x in got}) == 1
     assert near.apart(85, 32) == 26 and near.apart(80, 32) == 28
+
+
+def test_contracted_edges_keep_components(spark):
+    r = random.Random(11)
+    edges = [(g * 1000 + r.randint(0, 60), g * 1000 + r.randint(0, 60)) for g in range(30) for _ in range(900)]
+    edges += [(100_000 + i, 100_001 + i) for i in range(300)] + [(5, 5)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(8)
+    want = {x["id"]: x["root"] for x in near.connected(df).collect()}
+    few = near.contracted(df)
+    got = {x["id"]: x["root"] for x in near.connected(few).collect()}
+    assert {i: x for i, x in want.items() if i != x} == {i: x for i, x in got.items() if i != x}
+    assert few.count() <= 2 * len(want) < len(edges) / 5
+    assert near.contracted(df.limit(0)).count() == 0
