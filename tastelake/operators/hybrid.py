@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastelake.functions.scalar import clamp_score, confidence, explanation, round_to
-from tastelake.operators.blocks import vector_top_k
 from tastelake.operators.ordering import position, running_total, top_n
+from tastelake.operators.scoring import vector_top_k
 from tastelake.session import stored
 
 # Weights of the built-in fusions.

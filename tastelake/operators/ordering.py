@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tastelake.session import stored
+
 _BEFORE = (Window.unboundedPreceding, -1)
 _UPTO = (Window.unboundedPreceding, 0)
 
@@ -94,25 +96,34 @@ def carry_forward(
     )
 
 
-def value_chunk(value: str) -> Column:
-    """Monotone range number of a numeric value: 1024 ranges per power of two, both signs."""
-    v = F.col(value).cast("double")
-    return F.floor(F.signum(v) * F.log2(F.lit(1.0) + F.abs(v)) * 1024)
+def ranged(df: DataFrame, order: Sequence[Column], label: str = "ranges") -> DataFrame:
+    """The rows, stored, with ``_range``: consecutive numbers of ranges of ``order`` with about equally many rows.
+
+    Spark draws the splitters from a sample, so ranges follow the data, wherever its values lie, and there are as many as shuffle
+    partitions. Rows equal in ``order`` share a range: hand in distinct rows. The last step of ``df`` runs twice, once for the sample.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), label)
+
+
+def range_starts(placed: DataFrame, amount: Column | None = None) -> DataFrame:
+    """_range and the number of rows (or the sum of ``amount``) in all ranges before it: a window over one row a range."""
+    total = F.count(F.lit(1)) if amount is None else F.sum(amount)
+    sizes = placed.groupBy("_range").agg(total.alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(*_BEFORE)
+    return sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
 
 
 def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
     """Value table per key: (keys, value, n, before), where ``before`` is the weight of all smaller values.
 
-    Rows are counted per value before anything is ordered, then ordered range by range.
+    Rows are counted per value before anything is ordered; the table of values is then stored in ranges from sampled splitters, which
+    are ordered one by one.
     """
     amount = F.sum(weight) if weight is not None else F.count(F.lit(1))
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(amount.alias("n"))
-        .withColumn("_range", value_chunk(value))
-    )
-    summed = running_total(counted, keys, "_range", [F.col(value)], F.col("n"), "_upto")
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(amount.alias("n"))
+    placed = ranged(counted, [F.col(c) for c in (*keys, value)], "values")
+    summed = running_total(placed, keys, "_range", [F.col(value)], F.col("n"), "_upto")
     return summed.select(*keys, value, "n", (F.col("_upto") - F.col("n")).alias("before"))
 
 

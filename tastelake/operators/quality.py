@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastelake.functions.scalar import ratio
-from tastelake.operators.ordering import exact_quantiles, value_chunk, running_total
+from tastelake.operators.ordering import exact_quantiles, ranged, running_total
 from tastelake.sources.tables import keep_first
 
 # Limits of the drift and degradation rules.
@@ -89,8 +89,8 @@ def ks_test(base: DataFrame, current: DataFrame, value: str) -> DataFrame:
         .unionByName(current.select(value, F.lit(0).alias("a"), F.lit(1).alias("b")))
         .groupBy(value)
         .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        .withColumn("_range", value_chunk(value))
     )
+    counts = ranged(counts, [F.col(value)], "values")
     totals = counts.agg(F.struct(F.sum("a").alias("a"), F.sum("b").alias("b"))).scalar()
     upto_a = running_total(counts, [], "_range", [F.col(value)], F.col("a"), "cum_a")
     upto_b = running_total(upto_a, [], "_range", [F.col(value)], F.col("b"), "cum_b")

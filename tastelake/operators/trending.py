@@ -24,11 +24,11 @@ def top(scored: DataFrame, n: int = 500) -> DataFrame:
 
 
 def ranked(scored: DataFrame) -> DataFrame:
-    """All items with their rank; score ranges are ordered apart from each other."""
-    from tastelake.operators.ordering import position, value_chunk
+    """All items with their rank; ranges of scores are ordered apart from each other."""
+    from tastelake.operators.ordering import position, ranged
 
-    down = scored.withColumn("_down", -F.col("score").cast("double")).withColumn("_part", value_chunk("_down"))
-    return position(down, [], "_part", [F.col("_down"), F.col("item_id")], "rank").drop("_down", "_part")
+    order = [F.col("score").desc(), F.col("item_id")]
+    return position(ranged(scored, order), [], "_range", order, "rank").drop("_range")
 
 
 def in_window(ratings: DataFrame, as_of: str, days: int) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tastelake.operators import blocks, graph, hybrid, learned, similarity
+from tastelake.operators import blocks, graph, hybrid, learned, scoring, similarity
 
 
 def test_shared_row_sums(spark):
@@ -29,7 +29,8 @@ def test_shared_row_sums(spark):
         assert got[k] == pytest.approx(want[k])
 
 
-def test_vector_top_k_masks_seen_before_the_cut(spark):
+@pytest.mark.parametrize("block_items", [None, 9])
+def test_vector_top_k_masks_seen_before_the_cut(spark, block_items):
     rng = np.random.default_rng(1)
     q, i = rng.normal(size=(25, 6)), rng.normal(size=(60, 6))
     i[10] = i[11]  # a tie
@@ -39,13 +40,32 @@ def test_vector_top_k_masks_seen_before_the_cut(spark):
     best = {(u, int(np.argmax(scores[u]))) for u in range(25)} | {(0, n) for n in range(57)}
     seen = spark.createDataFrame(sorted(best), "key bigint, item_id bigint")
     got = {}
-    for r in blocks.vector_top_k(queries, items, 5, seen=seen, query_block=7, item_block=9).collect():
+    for r in scoring.vector_top_k(queries, items, 5, seen=seen, block_items=block_items, part_queries=7).collect():
         got.setdefault(r["key"], []).append((r["rank"], r["item_id"]))
     for u in range(25):
         order = sorted((n for n in range(60) if (u, n) not in best), key=lambda n: (-round(scores[u, n], 10), n))[:5]
         assert [n for _, n in sorted(got[u])] == order
 
 
+@pytest.mark.parametrize("positive", [False, True])
+def test_vector_top_k_stops_by_norms(spark, positive):
+    """Falling norms end the rounds early; queries without vectors of their own and negative scores included."""
+    rng = np.random.default_rng(8)
+    q = np.vstack([rng.normal(size=(30, 4)), np.zeros((1, 4))])
+    i = rng.normal(size=(90, 4)) * (0.9 ** np.arange(90))[:, None]
+    queries = spark.createDataFrame([(n, row.tolist()) for n, row in enumerate(q)], "key bigint, vector array<double>")
+    items = spark.createDataFrame([(n, row.tolist()) for n, row in enumerate(i)], "item_id bigint, vector array<double>")
+    found = scoring.vector_top_k(queries, items, 3, exclude_self=True, positive=positive, block_items=8, part_queries=10)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["key"], []).append((r["rank"], r["item_id"]))
+    scores = q @ i.T
+    for u in range(31):
+        order = sorted((n for n in range(90) if n != u), key=lambda n: (-round(scores[u, n], 10), n))
+        want = [n for n in order if not positive or scores[u, n] > 5e-11][:3]
+        assert [n for _, n in sorted(got.get(u, []))] == want
+
+
 def test_sparse_neighbors(spark):
     rng = np.random.default_rng(2)
     dense = rng.integers(0, 3, size=(40, 15)).astype(float)

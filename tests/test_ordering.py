@@ -55,10 +55,22 @@ def test_quantiles(rows):
         assert got[k] == pytest.approx(tuple(np.quantile(values, [0.25, 0.9])))
 
 
-def test_value_chunk_is_monotone(spark):
-    values = [-1e9, -5.5, -1.0, -1e-3, 0.0, 1e-9, 0.5, 1.0, 1.001, 7.0, 1e12]
-    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(o.value_chunk("v")).collect()]
-    assert got == sorted(got)
+def test_ranges_follow_the_data(spark):
+    """A month of epoch seconds, which is a sliver of all values, fills every range; ranges never overlap."""
+    start = 1_700_000_000
+    df = spark.range(20_000).select((F.lit(start) + F.pmod(F.col("id") * 7919, F.lit(2_592_000))).alias("ts")).distinct()
+    placed = o.ranged(df, [F.col("ts")])
+    spans = [(r["lo"], r["hi"], r["n"]) for r in placed.groupBy("_range").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count("*").alias("n")).orderBy("_range").collect()]
+    assert len(spans) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and max(s[2] for s in spans) < 3 * 20_000 / len(spans)
+    starts = [r["_start"] for r in o.range_starts(placed).orderBy("_range").collect()]
+    assert starts == [sum(s[2] for s in spans[:i]) for i in range(len(spans))]
+
+
+def test_ranks_of_values_of_every_kind(spark):
+    values = [-1e9, -5.5, -1.0, -1e-3, 0.0, 1e-9, 0.5, 1.0, 1.001, 7.0, 1e12, 7.0, -5.5]
+    got = {r["v"]: (r["n"], r["before"]) for r in o.value_ranks(spark.createDataFrame([(v,) for v in values], "v double"), "v").collect()}
+    assert got == {v: (values.count(v), sum(x < v for x in values)) for v in values}
 
 
 def test_top_n_is_limited_before_the_shuffle(rows):
