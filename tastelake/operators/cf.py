@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastelake.functions.scalar import draw
-from tastelake.operators.blocks import shared_row_sums
+from tastelake.operators.blocks import COSINE, JACCARD, PEARSON, SUPPORT, PairScore, shared_row_top
 from tastelake.operators.ordering import following, position, running_total, top_n
-from tastelake.operators.similarity import neighbors_from_pairs
+from tastelake.session import stored
 
 # Cumulative Poisson(1) probabilities for 0, 1, 2, ... events.
 POISSON_ONE = (
@@ -28,66 +28,30 @@ POISSON_ONE = (
 
 
 def bought_together(ratings: DataFrame, n: int) -> DataFrame:
-    pairs = shared_row_sums(ratings, "user_id", "item_id", "rating", measures=("n",)).select("a", "b", F.col("n").cast("bigint").alias("support"))
-    return pairs.orderBy(F.col("support").desc(), "a", "b").limit(n)
+    found = shared_row_top(ratings, "user_id", "item_id", "rating", SUPPORT, n, pairs=True)
+    best = found.orderBy(F.col("score").desc(), "key", "item_id").limit(n)
+    return best.select(F.col("key").alias("a"), F.col("item_id").alias("b"), F.col("score").cast("bigint").alias("support"))
 
 
-def _with_lengths(pairs: DataFrame, entries: DataFrame, column: str, value: str) -> DataFrame:
-    lengths = entries.groupBy(column).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("len"))
-    left = lengths.select(F.col(column).alias("a"), F.col("len").alias("len_a"))
-    right = lengths.select(F.col(column).alias("b"), F.col("len").alias("len_b"))
-    return pairs.join(left, "a").join(right, "b")
-
-
-def cosine_pairs(entries: DataFrame, row: str, column: str, value: str, min_support: int) -> DataFrame:
-    """Cosine of whole columns, for pairs with enough shared rows."""
-    pairs = shared_row_sums(entries, row, column, value, measures=("n", "sxy")).filter(F.col("n") >= min_support)
-    both = _with_lengths(pairs, entries, column, value).filter("len_a > 1e-9 AND len_b > 1e-9")
-    return both.select("a", "b", (F.col("sxy") / (F.col("len_a") * F.col("len_b"))).alias("score"))
-
-
-def pearson_pairs(entries: DataFrame, row: str, column: str, value: str, min_support: int) -> DataFrame:
-    """Pearson correlation over the shared rows."""
-    pairs = shared_row_sums(entries, row, column, value).filter(F.col("n") >= min_support)
-    n, x, y = F.col("n"), F.col("sx"), F.col("sy")
-    spread_x, spread_y = n * F.col("sxx") - x * x, n * F.col("syy") - y * y
-    return pairs.filter((spread_x > 1e-9) & (spread_y > 1e-9)).select(
-        "a", "b", ((n * F.col("sxy") - x * y) / F.sqrt(spread_x * spread_y)).alias("score")
-    )
-
-
-def jaccard_pairs(entries: DataFrame, row: str, column: str, min_support: int) -> DataFrame:
-    pairs = shared_row_sums(entries.withColumn("_one", F.lit(1.0)), row, column, "_one", measures=("n",)).filter(F.col("n") >= min_support)
-    sizes = entries.groupBy(column).agg(F.count(F.lit(1)).alias("size"))
-    left = sizes.select(F.col(column).alias("a"), F.col("size").alias("size_a"))
-    right = sizes.select(F.col(column).alias("b"), F.col("size").alias("size_b"))
-    return pairs.join(left, "a").join(right, "b").select(
-        "a", "b", (F.col("n") / (F.col("size_a") + F.col("size_b") - F.col("n"))).alias("score")
-    )
+def _neighbors(entries: DataFrame, row: str, column: str, value: str, score: PairScore, k: int, min_support: int) -> DataFrame:
+    found = shared_row_top(entries, row, column, value, score, k, min_support=min_support)
+    best = top_n(found, ["key"], [F.round("score", 10).desc(), F.col("item_id")], k)
+    return best.select(F.col("key").alias(column), "rank", F.col("item_id").alias("neighbor_id"), "score")
 
 
 def item_neighbors(ratings: DataFrame, measure: str, k: int = 20, min_support: int = 3) -> DataFrame:
     """Item neighbours by cosine, adjusted cosine (user means removed) or Pearson over co-raters."""
-    if measure == "pearson":
-        pairs = pearson_pairs(ratings, "user_id", "item_id", "rating", min_support)
-    else:
-        entries = ratings
-        if measure == "adjusted":
-            means = ratings.groupBy("user_id").agg(F.avg("rating").alias("mean"))
-            entries = ratings.join(means, "user_id").withColumn("rating", F.col("rating") - F.col("mean"))
-        pairs = cosine_pairs(entries, "user_id", "item_id", "rating", min_support)
-    return neighbors_from_pairs(pairs, k)
+    entries = ratings
+    if measure == "adjusted":
+        means = ratings.groupBy("user_id").agg(F.avg("rating").alias("mean"))
+        entries = stored(ratings.join(means, "user_id").select("user_id", "item_id", (F.col("rating") - F.col("mean")).alias("rating")), "centred")
+    return _neighbors(entries, "user_id", "item_id", "rating", PEARSON if measure == "pearson" else COSINE, k, min_support)
 
 
 def user_neighbors(ratings: DataFrame, measure: str, k: int = 10, min_support: int = 2) -> DataFrame:
-    """User neighbours (user_id, rank, neighbor_id, score)."""
-    if measure == "jaccard":
-        pairs = jaccard_pairs(ratings, "item_id", "user_id", min_support)
-    elif measure == "pearson":
-        pairs = pearson_pairs(ratings, "item_id", "user_id", "rating", min_support)
-    else:
-        pairs = cosine_pairs(ratings, "item_id", "user_id", "rating", min_support)
-    return neighbors_from_pairs(pairs, k).withColumnRenamed("item_id", "user_id")
+    """User neighbours (user_id, rank, neighbor_id, score) by overlap of items, Pearson or cosine."""
+    score = {"jaccard": JACCARD, "pearson": PEARSON}.get(measure, COSINE)
+    return _neighbors(ratings, "item_id", "user_id", "rating", score, k, min_support)
 
 
 def predict_from_neighbors(neighbors: DataFrame, ratings: DataFrame, n: int = 10) -> DataFrame:

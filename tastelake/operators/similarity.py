@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastelake.functions.scalar import round_to, unit
-from tastelake.operators.blocks import both_ways, sparse_top_k
+from tastelake.operators.blocks import sparse_top_k
 from tastelake.operators.ordering import top_n
 from tastelake.operators.scoring import vector_top_k
 
@@ -30,14 +30,6 @@ def cosine_neighbors(vectors: DataFrame, k: int = 20) -> DataFrame:
     )
 
 
-def neighbors_from_pairs(pairs: DataFrame, k: int, score: str = "score") -> DataFrame:
-    """Top k neighbours per item from unordered pairs (a, b, score)."""
-    directed = both_ways(pairs, score)
-    return top_n(directed, ["item_id"], [F.round(score, 10).desc(), F.col("neighbor_id")], k).select(
-        "item_id", "rank", "neighbor_id", score
-    )
-
-
 def sparse_neighbors(weights: DataFrame, column: str, feature: str, weight: str, k: int = 20) -> DataFrame:
     """Exact k nearest ids by cosine of sparse vectors (item_id, rank, neighbor_id, score); only positive scores."""
     lengths = weights.groupBy(column).agg(F.sqrt(F.sum(F.col(weight) * F.col(weight))).alias("_len"))

@@ -7,26 +7,65 @@ from pyspark.sql import functions as F
 from tastelake.operators import blocks, graph, hybrid, learned, scoring, similarity
 
 
-def test_shared_row_sums(spark):
+def rated_cells():
     rng = np.random.default_rng(5)
     cells = {(int(r), int(c)): float(rng.integers(1, 10)) / 2 for r, c in zip(rng.integers(0, 40, 500), rng.integers(0, 30, 500))}
     cells |= {(3, c): 1.5 for c in range(30)}  # a row with every column
-    cells |= {(r, 7): 2.5 for r in range(40)}  # a column with every row
+    return cells | {(r, 7): float(1 + r % 4) for r in range(40)}  # a column with every row
+
+
+def direct_scores(cells, measure, support):
+    """Score of every ordered column pair."""
+    own = {c: {r: v for (r, k), v in cells.items() if k == c} for c in {c for _, c in cells}}
+    out = {}
+    for a in own:
+        for b in own:
+            rows = own[a].keys() & own[b].keys()
+            if a == b or len(rows) < support:
+                continue
+            x, y = (np.array([own[i][r] for r in sorted(rows)]) for i in (a, b))
+            if measure == "cosine":
+                out[a, b] = float(x @ y / np.sqrt(sum(v * v for v in own[a].values()) * sum(v * v for v in own[b].values())))
+            elif measure == "jaccard":
+                out[a, b] = len(rows) / (len(own[a]) + len(own[b]) - len(rows))
+            elif (n := len(rows)) * (x @ x) - x.sum() ** 2 > 1e-9 and n * (y @ y) - y.sum() ** 2 > 1e-9:
+                out[a, b] = float((n * (x @ y) - x.sum() * y.sum()) / np.sqrt((n * (x @ x) - x.sum() ** 2) * (n * (y @ y) - y.sum() ** 2)))
+    return out
+
+
+@pytest.mark.parametrize("block", [8, 2048])
+@pytest.mark.parametrize("measure", ["cosine", "pearson", "jaccard"])
+def test_shared_row_top(spark, measure, block):
+    """The best k of every column are among the candidates, with their final scores, and a cell hands on no more than k per id and direction."""
+    cells, k, support = rated_cells(), 4, 3
     df = spark.createDataFrame([(r, c, v) for (r, c), v in cells.items()], "r bigint, c bigint, v double")
-    got = {
-        (x["a"], x["b"]): tuple(x[m] for m in ("n", "sxy", "sx", "sy", "sxx", "syy"))
-        for x in blocks.shared_row_sums(df, "r", "c", "v", column_block=8, row_block=16).collect()
-    }
-    want = {}
+    score = {"cosine": blocks.COSINE, "pearson": blocks.PEARSON, "jaccard": blocks.JACCARD}[measure]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)  # rows that go on in the next batch
+    try:
+        rows = blocks.shared_row_top(df, "r", "c", "v", score, k, min_support=support, column_block=block).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = direct_scores(cells, measure, support)
+    got = {(x["key"], x["item_id"]): x["score"] for x in rows}
+    assert len(got) == len(rows) <= k * 30 * -(-30 // block)
+    for pair, value in got.items():
+        assert value == pytest.approx(want[pair])
     for a in range(30):
-        for b in range(a + 1, 30):
-            pairs = [(cells[r, a], cells[r, b]) for r in range(40) if (r, a) in cells and (r, b) in cells]
-            if pairs:
-                x, y = np.array(pairs).T
-                want[a, b] = (len(pairs), (x * y).sum(), x.sum(), y.sum(), (x * x).sum(), (y * y).sum())
-    assert got.keys() == want.keys()
-    for k in want:
-        assert got[k] == pytest.approx(want[k])
+        best = sorted((b for (x, b) in want if x == a), key=lambda b: (-round(want[a, b], 10), b))[:k]
+        assert all((a, b) in got for b in best)
+
+
+def test_hot_item_hands_on_k_pairs_per_id(spark):
+    """An item with a third of all ratings: the pairs that leave the cells are bounded by k x ids, not by its raters."""
+    rng = np.random.default_rng(6)
+    pairs = {(u, 0) for u in range(600)} | {(int(u), int(i)) for u, i in zip(rng.integers(0, 600, 1300), rng.integers(1, 80, 1300))}
+    df = spark.createDataFrame([(u, i, 1.0 + (u + i) % 5) for u, i in sorted(pairs)], "user_id bigint, item_id bigint, rating double")
+    for entries, row, column in ((df, "user_id", "item_id"), (df, "item_id", "user_id")):
+        n = entries.select(column).distinct().count()
+        found = blocks.shared_row_top(entries, row, column, "rating", blocks.COSINE, 5)
+        assert found.count() <= 5 * n * max(1, -(-n // 256))
+    best = blocks.shared_row_top(df, "user_id", "item_id", "rating", blocks.SUPPORT, 7, pairs=True, column_block=16).collect()
+    assert len(best) <= 7 * 15 and all(r["key"] < r["item_id"] for r in best)
 
 
 @pytest.mark.parametrize("block_items", [None, 9])
