@@ -222,12 +222,18 @@ def quantised(vectors: DataFrame, codebook: Column, key: str = "item_id") -> Dat
     return ready.select(key, F.transform("vector", code).alias("codes"))
 
 
-def feature_table(ratings: DataFrame, user_vectors: DataFrame, item_vectors: DataFrame, alignment: DataFrame) -> DataFrame:
-    """Factor score, genre alignment and history features of every rating whose item has a vector."""
+def feature_table(
+    ratings: DataFrame, user_vectors: DataFrame, item_vectors: DataFrame, alignment: DataFrame, history: DataFrame | None = None
+) -> DataFrame:
+    """Factor score, genre alignment and history features of every rating whose user and item have a vector and a history.
+
+    ``history``: the ratings that means and counts come from, where a model is judged on ratings it must not know; all by default.
+    """
     from tastelake.functions.scalar import dot
 
-    per_user = ratings.groupBy("user_id").agg(F.avg("rating").alias("user_mean"), F.count(F.lit(1)).alias("user_n"))
-    per_item = ratings.groupBy("item_id").agg(F.avg("rating").alias("item_mean"), F.count(F.lit(1)).alias("item_n"))
+    known = ratings if history is None else history
+    per_user = known.groupBy("user_id").agg(F.avg("rating").alias("user_mean"), F.count(F.lit(1)).alias("user_n"))
+    per_item = known.groupBy("item_id").agg(F.avg("rating").alias("item_mean"), F.count(F.lit(1)).alias("item_n"))
     left = user_vectors.withColumnRenamed("vector", "user_vector")
     right = item_vectors.select("item_id", F.col("vector").alias("item_vector"))
     joined = ratings.join(right, "item_id").join(left, "user_id").join(per_user, "user_id").join(per_item, "item_id")
