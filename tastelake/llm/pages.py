@@ -7,10 +7,11 @@ links, how many path words name page parts), and labels every block with the who
 There are no labelled pages, so the labeller is trained on weak labels: names of elements and classes that say what a block is. The sample
 is at most ``TRAIN_PAGES`` pages of at most ``TRAIN_CHARS`` characters, chosen by hash; each also takes part in altered forms, with other
 containers of the article and with added menus, notices, forms, comments and the like around and inside it (their texts are words of the
-sample), so that the labeller knows page parts that the sample lacks.
+sample), so that the labeller knows page parts that the sample lacks, and part of these forms lack the labelling names altogether.
 
-A null page is empty. Pages without blocks, or without article blocks, give an empty text. Unclosed, misplaced and cut-off tags
-are tolerated; text inside scripts, styles and similar elements, comments and declarations is never a block. Repeated rows give equal rows. An
+A null page is empty. Pages without blocks, or without article blocks, give an empty text. A page of many blocks is labelled in parts with the
+state carried on, so memory grows with its text and 32 numbers a block. Unclosed, misplaced and cut-off tags are tolerated, and a
+silent element that was left open ends with an element around it; text inside scripts, styles and similar elements, comments and declarations is never a block. Repeated rows give equal rows. An
 empty table gives an empty result. Columns beside page_id, url and html are not read.
 """
 
@@ -30,21 +31,29 @@ from pyspark.sql import functions as F
 from tastelake.llm.common import slices, small_batches
 
 TRAIN_PAGES, TRAIN_CHARS = 300, 100_000
-HIDDEN, PATH_DIMS, WORD_DIMS, SIZES = 16, 256, 64, 6
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Share of the altered training pages without the names that weak labels come from.
+HIDE = 0.25
+HIDDEN, PATH_DIMS, WORD_DIMS, SIZES = 16, 256, 64, 7
+#: A quote begins a value only right after ``=``; elsewhere it is a character like others.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 PART = re.compile(r"[a-z0-9]+")
-#: Elements whose content is not text of the page.
-SILENT = frozenset("script style template textarea title head noscript iframe object svg math select option button canvas audio video".split())
+#: Elements whose content is not text of the page. The first four hold plain text up to their own end tag.
+RAW = frozenset("script style textarea title".split())
+SILENT = RAW | frozenset("template noscript iframe object svg annotation select datalist optgroup option button canvas audio video".split())
+#: Silent elements that hold phrases only, and the start tags that show that one of them was left open.
+PHRASE = frozenset("select optgroup option button".split())
+SECTION = frozenset("article main section nav aside header footer form body h1 h2 h3 h4 h5 h6 p table ul ol blockquote pre".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var wbr br input".split()
+    "time tt u var wbr br input math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mtable mtr mtd "
+    "mstyle mspace mpadded mphantom semantics".split()
 )
 #: Start tags that end an open element of these names.
 CLOSES = {
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"},
-    "th": {"td", "th", "p"}, "option": {"option"},
+    "th": {"td", "th", "p"}, "option": {"option"}, "optgroup": {"option", "optgroup"},
 } | {x: {"p"} for x in "article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
 #: Containers that an implied end does not reach across.
 BARRIER = frozenset("ul ol dl table article section div body main aside nav header footer form".split())
@@ -79,32 +88,38 @@ class Block:
 
 
 def path_words(name: str, attributes: str) -> list[str]:
+    """Names on html and body are of the page as a whole and say nothing about a block."""
     found = ["t" + name]
-    if "=" in attributes:
+    if "=" in attributes and name not in ("html", "body"):
         for m in NAMES.finditer(attributes):
             found += ["c" + x for x in PART.findall(m[1].lower())]
     return found
 
 
 def blocks(page: str) -> list[Block]:
+    """Silent elements are on the stack like others, so an end tag around them ends them too; text below one is no text."""
     out: list[Block] = []
     stack: list[tuple[str, list[str]]] = []
     parts: list[str] = []
-    links = linked = 0
-    silent = ""
-    at = 0
+    links = linked = silent = at = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(tuple(w for _, own in stack for w in own), text, linked))
+            path: list[str] = []
+            for name, own in stack:
+                if name in SILENT:
+                    break
+                path += own
+            out.append(Block(tuple(path), text, linked))
         parts.clear()
         linked = 0
 
     def close(to: int) -> None:
-        nonlocal links
+        nonlocal links, silent
         links -= sum(n == "a" for n, _ in stack[to:])
+        silent -= sum(n in SILENT for n, _ in stack[to:])
         del stack[to:]
 
     while at < len(page):
@@ -119,46 +134,54 @@ def blocks(page: str) -> list[Block]:
         if not m[2]:
             continue
         name, ends = m[2].lower(), bool(m[1])
-        if silent:
-            if ends and name == silent:
-                silent = ""
-            continue
-        if name not in INLINE:
-            flush()
-        elif name == "br":
-            parts.append(" ")
+        breaks = name not in INLINE and name not in SILENT
         if ends:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
+                    if breaks and not any(n in SILENT for n, _ in stack[:k]):
+                        flush()
                     close(k)
                     break
                 if name in INLINE and stack[k][0] not in INLINE:
                     break
+            else:
+                if breaks and not silent:
+                    flush()
             continue
-        if name in SILENT:
+        if name in RAW:
+            # Their content is text to the parser: it ends at their own end tag only.
             if not m[0].endswith("/>"):
-                if name in ("script", "style", "textarea", "title"):
-                    # Their content is text to the parser: it ends at their own end tag only.
-                    end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                    at = end.end() if end else len(page)
-                elif name != "head":
-                    silent = name
+                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
             continue
+        if silent and name in SECTION:
+            for k, (open_, _) in enumerate(stack):
+                if open_ in SILENT:
+                    if all(n in PHRASE or n not in SILENT for n, _ in stack[k:]):
+                        close(k)
+                    break
+        if breaks and not silent:
+            flush()
+        elif name == "br" and not silent:
+            parts.append(" ")
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in CLOSES.get(name, ()):
                 close(k)
                 break
             if stack[k][0] in BARRIER:
                 break
-        if name not in VOID:
+        if name not in VOID and not (name in SILENT and m[0].endswith("/>")):
             stack.append((name, path_words(name, m[3])))
             links += name == "a"
+            silent += name in SILENT
     flush()
     return out
 
 
 def weak_label(path: Sequence[str], words: int) -> int:
-    names = {w[1:] for w in path}
+    """Whether names say that a block is article text. A header inside the article is its own, with its title."""
+    inner = path.index("tarticle") if "tarticle" in path else len(path)
+    names = {w[1:] for i, w in enumerate(path) if not (w == "theader" and i > inner)}
     if names & AROUND:
         return 0
     return int(bool((names - {"body"}) & INSIDE) or ("cbody" in path) or words >= 5)
@@ -180,10 +203,19 @@ def bucket(word: str) -> int:
     return b
 
 
-def vectors(page: Sequence[Block]) -> np.ndarray:
-    """One row per block."""
+def is_named(page: Sequence[Block]) -> bool:
+    """Whether a page names any of its parts."""
+    return any(w[1:] in AROUND or w[1:] in INSIDE for b in page for w in b.path)
+
+
+def vectors(page: Sequence[Block], hidden: bool = False, start: int = 0, total: int | None = None, named: bool | None = None) -> np.ndarray:
+    """One row per block. ``hidden``: without the names that weak labels are made of.
+
+    A part of a page is told its ``start``, the ``total`` of the page's blocks and whether the page is ``named``.
+    """
     n = len(page)
-    path = [(i, bucket(w) % PATH_DIMS) for i, b in enumerate(page) for w in set(b.path)]
+    paths = [[w for w in b.path if w[1:] not in AROUND and w[1:] not in INSIDE] if hidden else b.path for b in page]
+    path = [(i, bucket(w) % PATH_DIMS) for i, own in enumerate(paths) for w in set(own)]
     split = [b.text.split() for b in page]
     word = [(i, bucket(w) % WORD_DIMS) for i, ws in enumerate(split) for w in ws]
     out = np.zeros((n, PATH_DIMS + WORD_DIMS + SIZES), np.float32)
@@ -195,13 +227,14 @@ def vectors(page: Sequence[Block]) -> np.ndarray:
         size = np.array([len(ws) for ws in split], np.float32)
         chars = np.array([max(len(b.text), 1) for b in page], np.float32)
         out[:, PATH_DIMS : PATH_DIMS + WORD_DIMS] = counts / np.sqrt(size[:, None])
-        names = [{w[1:] for w in b.path} for b in page]
+        names = [{w[1:] for i, w in enumerate(own) if not (w == "theader" and "tarticle" in own[:i])} for own in paths]
+        out[:, -7] = not hidden and (is_named(page) if named is None else named)
         out[:, -6] = [len(x & AROUND) for x in names]
         out[:, -5] = [len(x & INSIDE) for x in names]
         out[:, -4] = np.log1p(size) / 4
         out[:, -3] = [min(b.linked / c, 1) for b, c in zip(page, chars)]
         out[:, -2] = [sum(map(b.text.count, ".,;!?")) / c * 10 for b, c in zip(page, chars)]
-        out[:, -1] = np.arange(n) / n
+        out[:, -1] = (start + np.arange(n)) / (total or n)
     return out
 
 
@@ -224,12 +257,17 @@ class Labeller:
             self.weights["c" + d][h : 2 * h] = 1  # gates start out remembering
         self.weights |= {"o": normal(2 * h), "z": np.zeros(1, np.float32)}
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """Hidden states in reading order of direction d; masked places leave the state as it is."""
+    def _run(
+        self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = True, begin: tuple[np.ndarray, np.ndarray] | None = None
+    ) -> tuple[np.ndarray, list, tuple[np.ndarray, np.ndarray]]:
+        """Hidden states in reading order of direction d, the tape of all steps (if it is to ``keep``), and the last state to go on from.
+
+        Masked places leave the state as it is.
+        """
         w, h = self.weights, HIDDEN
         steps = x.shape[0]
         pre = x @ w["w" + d] + w["c" + d]
-        state = cell = np.zeros((x.shape[1], h), np.float32)
+        state, cell = begin or (np.zeros((x.shape[1], h), np.float32),) * 2
         out, tape = np.zeros((steps, x.shape[1], h), np.float32), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             gates = pre[t] + state @ w["u" + d]
@@ -238,14 +276,28 @@ class Labeller:
             new = s[:, h : 2 * h] * cell + s[:, :h] * g
             tanh = np.tanh(new)
             m = mask[t][:, None]
-            tape.append((t, s, g, cell, tanh, state))
+            if keep:
+                tape.append((t, s, g, cell, tanh, state))
             state = np.where(m, s[:, 2 * h :] * tanh, state)
             cell = np.where(m, new, cell)
             out[t] = state
-        return out, tape
+        return out, tape, (state, cell)
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(x, mask, d)[0] for d in "fb"], axis=2)
+        both = np.concatenate([self._run(x, mask, d, keep=False)[0] for d in "fb"], axis=2)
+        return both @ self.weights["o"] + self.weights["z"]
+
+    def long_scores(self, page: Sequence[Block], places: int) -> np.ndarray:
+        """Scores of one page of any length: its vectors are made part by part, in both directions, only states go on."""
+        n, named = len(page), is_named(page)
+        both = np.zeros((n, 2 * HIDDEN), np.float32)
+        for i, d in enumerate("fb"):
+            state = None
+            starts = range(0, n, places)
+            for at in starts if d == "f" else reversed(starts):
+                x = vectors(page[at : at + places], False, at, n, named)[:, None, :]
+                found, _, state = self._run(x, np.ones((len(x), 1), bool), d, False, state)
+                both[at : at + places, i * HIDDEN : (i + 1) * HIDDEN] = found[:, 0]
         return both @ self.weights["o"] + self.weights["z"]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -294,15 +346,19 @@ class Labeller:
                     self.weights[k] = (self.weights[k] - step).astype(np.float32)
         return self
 
-    def label(self, pages: Sequence[np.ndarray], places: int = 4096) -> list[np.ndarray]:
-        """True for article blocks, page by page; pages of similar length run together, ``places`` places at a time."""
+    def label(self, pages: Sequence[Sequence[Block]], places: int = 4096) -> list[np.ndarray]:
+        """True for article blocks, page by page; pages of similar length run together, ``places`` places at a time, longer ones in parts."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = [i for i in np.argsort([len(p) for p in pages], kind="stable") if len(pages[i])]
         while order:
             longest = len(pages[order[-1]])
+            if longest > places:
+                i = order.pop()
+                out[i] = self.long_scores(pages[i], places) > 0
+                continue
             n = max(1, places // longest)
             own, order = order[-n:], order[:-n]
-            x, mask, _ = padded([(pages[i], np.zeros(len(pages[i]))) for i in own])
+            x, mask, _ = padded([(vectors(pages[i]), np.zeros(len(pages[i]))) for i in own])
             found = self.scores(x, mask) > 0
             for k, i in enumerate(own):
                 out[i] = found[: len(pages[i]), k]
@@ -357,7 +413,7 @@ def altered(page: list[Block], labels: list[int], sentences: list[list[str]], r:
     return [b for b, _ in out], [y for _, y in out]
 
 
-def train(pages: DataFrame, limit: int = TRAIN_PAGES, forms: int = 3) -> Labeller:
+def train(pages: DataFrame, limit: int = TRAIN_PAGES, forms: int = 4) -> Labeller:
     """A labeller from weak labels of a bounded sample."""
     fraction = min(1.0, 20 * limit / max(pages.count(), 1))
     hashed = pages.select("html", F.xxhash64("html").alias("_h"))
@@ -375,7 +431,8 @@ def train(pages: DataFrame, limit: int = TRAIN_PAGES, forms: int = 3) -> Labelle
         out.append((vectors(page), np.array(labels, np.float32)))
         for _ in range(forms):
             changed, y = altered(page, labels, sentences, r)
-            out.append((vectors(changed), np.array(y, np.float32)))
+            # Names are hidden in part of the forms, so that sizes, words and neighbours must tell the parts too.
+            out.append((vectors(changed, hidden=r.random() < HIDE), np.array(y, np.float32)))
     return Labeller().fit(out) if out else Labeller()
 
 
@@ -390,7 +447,7 @@ def main_text(pages: DataFrame, labeller: Labeller | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html", 1 << 20):
             read = [blocks(p) for p in part.column("html").to_pylist()]
-            chosen = model.value.label([vectors(p) for p in read])
+            chosen = model.value.label(read)
             texts = ["\n".join(b.text for b, y in zip(p, own) if y) for p, own in zip(read, chosen)]
             yield pa.RecordBatch.from_arrays(
                 [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

@@ -24,6 +24,19 @@ def test_blocks():
     assert path == ("tdiv", "cmain", "ctext", "ca", "tp")
 
 
+def test_silent_elements_end_with_what_is_around_them():
+    assert texts("<datalist><option value=a>A<option value=b>B</datalist><article><p>kept</p></article>") == ["kept"]
+    assert texts("<button>go<article><p>kept</p></article>") == ["kept"]
+    assert texts("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p>") == ["let x=1 be"]
+    assert texts("<img alt=Bob's><p>kept</p>") == ["kept"]
+    assert texts("<div><noscript>no<p>no</div><p>kept") == ["kept"]
+    assert texts("<p>a <svg><text>no</text></svg>b <select><option>no<option>no</select>c</p>") == ["a b c"]
+    assert texts("<video>no<p>no</video>yes<iframe>no</iframe> too") == ["yes too"]
+    assert texts("<a title='x>y\" z' href=\"b>c\">in</a>") == ["in"]
+    assert texts("<object>no</section><p>no") == []
+    assert pages.blocks("<body class=has-sidebar><p>x")[0].path == ("tbody", "tp")
+
+
 def test_gradients_are_right():
     r = np.random.default_rng(0)
     model = pages.Labeller()
@@ -61,6 +74,29 @@ def test_given_pages(spark, labeller):
         assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want)
 
 
+def test_long_pages_are_labelled_in_parts(spark, labeller):
+    """Parts of any length give what the page as a whole gives."""
+    page = pages.blocks(spark.read.parquet(f"{FOLDER}/pages.parquet").first()["html"] * 3)
+    whole = labeller.label([page])[0]
+    assert len(page) > 20 and (labeller.label([page], places=7)[0] == whole).all()
+
+
+def test_names_that_no_list_has(spark, labeller):
+    """Without any known name, sizes, links and neighbours decide; and names are not obeyed blindly."""
+    source = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    right = total = agree = 0
+    for r in source.collect():
+        own = pages.blocks(r["html"])
+        want = [pages.weak_label(b.path, len(b.text.split())) for b in own]
+        bare = [pages.Block(tuple(w for w in b.path if w[1:] not in pages.AROUND | pages.INSIDE), b.text, b.linked) for b in own]
+        found = labeller.label([bare])[0]
+        right += sum(bool(f) == bool(y) for f, y in zip(found, want))
+        agree += sum(bool(f) == bool(pages.weak_label(b.path, len(b.text.split()))) for f, b in zip(found, bare))
+        total += len(want)
+    print("blocks right without names", right, "of", total, "weak labels of the bare paths would give", agree)
+    assert right >= 0.97 * total and agree < total
+
+
 def test_parts_the_pages_lack(spark, labeller):
     source = spark.read.parquet(f"{FOLDER}/pages.parquet").first()["html"]
     inner = source[source.index("<article>") + 9 : source.index("</article>")]
