@@ -270,5 +270,5 @@ def test_queries_train_with_the_documented_settings(views, monkeypatch):
     assert (asked["als_factors"][0]["factors"], asked["als_factors"][0]["iterations"]) == (128, 50)
     assert asked["truncated_svd"][0]["rounds"] == 8 and asked["boosted_ranker"][0]["trees"] == 20
     assert plans.parameter_search(views).count() == 8
-    assert asked["halving_search"][0]["rungs"] == (2, 5, 10)
+    assert asked["halving_search"][0]["rungs"] == (1, 3, 8)
     assert all(32 <= x.factors <= 256 and 0.001 <= x.reg <= 0.101 for x in asked["halving_search"][0]["settings"])
