@@ -1,4 +1,4 @@
-"""Exact best items per query by inner product, with norm bounds.
+"""Exact best items per query by inner product: dense vectors with norm bounds, sparse ones through inverted indexes.
 
 Items are stored in blocks of falling norm. A round takes one block: its items go to each part of the queries and stay in memory there, the part's
 queries stream past with their best list so far, are multiplied by NumPy and go on with the better list. A query whose k-th score is
@@ -8,14 +8,15 @@ once in all, and each item once per part, of which there are at most ``PARTS``:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastelake.operators.ordering import ranged, range_starts
+from tastelake.operators.ordering import position, range_starts, ranged
 from tastelake.session import stored
 
 #: Most parts of the queries, and least queries of one.
@@ -35,42 +36,101 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1) if len(col) else np.zeros((0, 0))
 
 
-class _Block:
-    """The items of one block in ascending id order, against tiles of queries."""
+def _best(scores: np.ndarray, ids: np.ndarray, keys: np.ndarray, held: list[np.ndarray], k: int, positive: bool) -> list[np.ndarray]:
+    """Row, item and score of the best k per row of a score tile (-inf: no pair) and of what the rows ``held`` (row, item, score)."""
+    floor = np.full(len(keys), 5e-11 if positive else -np.inf)
+    if scores.shape[1] > k:
+        floor = np.maximum(floor, np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] - 1e-9)
+    row, at = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
+    rows, items, values = (np.concatenate(x) for x in zip(held, (row, ids[at], scores[row, at])))
+    order = np.lexsort((items, -np.round(values, 10), rows))
+    rows, items, values = rows[order], items[order], values[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, "left") < k
+    return [rows[keep], items[keep], values[keep]]
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool, positive: bool):
+
+class _Dense:
+    """Items with dense vectors."""
+
+    fields = {"vector": "array<double>"}
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        ids = np.concatenate([b.column("item_id").to_numpy() for b in batches]) if batches else np.zeros(0, np.int64)
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.k, self.exclude_self, self.positive = k, exclude_self, positive
-
-    def better(self, keys: np.ndarray, vectors: np.ndarray, seen: tuple[np.ndarray, np.ndarray], held: list[np.ndarray]) -> list[np.ndarray]:
-        """Row, item and score of the best k per query, of this block and what the query ``held`` (row, item, score)."""
-        scores = vectors @ self.vectors.T if len(self.ids) else np.zeros((len(keys), 0))
-        if self.exclude_self:
-            scores[keys[:, None] == self.ids[None, :]] = -np.inf
-        row, item = seen
-        if len(row) and len(self.ids):
-            at = np.searchsorted(self.ids, item).clip(max=len(self.ids) - 1)
-            known = self.ids[at] == item
-            scores[row[known], at[known]] = -np.inf
-        floor = np.full(len(keys), 5e-11 if self.positive else -np.inf)
-        if scores.shape[1] > self.k:
-            floor = np.maximum(floor, np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k] - 1e-9)
-        row, at = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
-        rows, items, values = (np.concatenate(x) for x in zip(held, (row, self.ids[at], scores[row, at])))
-        order = np.lexsort((items, -np.round(values, 10), rows))
-        rows, items, values = rows[order], items[order], values[order]
-        keep = np.arange(len(rows)) - np.searchsorted(rows, rows, "left") < self.k
-        return [rows[keep], items[keep], values[keep]]
+        self.ids = ids[order]
+        self.vectors = np.concatenate([_matrix(b.column("vector")) for b in batches])[order] if batches else np.zeros((0, 0))
+
+    def scores(self, queries: pa.RecordBatch) -> np.ndarray:
+        return _matrix(queries.column("vector")) @ self.vectors.T if len(self.ids) else np.zeros((queries.num_rows, 0))
+
+
+class _Postings:
+    """Items with sparse vectors, as an inverted index: the entries of each feature one after another."""
+
+    fields = {"codes": "array<bigint>", "weights": "array<double>", "size": "double"}
+
+    def __init__(self, batches: list[pa.RecordBatch], overlap: bool):
+        self.overlap = overlap
+        ids, sizes, codes, weights, counts = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        for b in batches:
+            ids.append(b.column("item_id").to_numpy())
+            sizes.append(b.column("size").to_numpy())
+            codes.append(b.column("codes").flatten().to_numpy())
+            weights.append(b.column("weights").flatten().to_numpy())
+            counts.append(np.diff(np.asarray(b.column("codes").offsets)))
+        self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
+        order = np.argsort(self.ids, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.ids, self.sizes = self.ids[order], self.sizes[order]
+        owner = np.repeat(place, np.concatenate(counts))
+        code = np.concatenate(codes)
+        by_code = np.argsort(code, kind="stable")
+        self.item, self.weight = owner[by_code], np.concatenate(weights)[by_code]
+        self.codes, self.starts = np.unique(code[by_code], return_index=True)
+        self.counts = np.diff(np.append(self.starts, len(code)))
+
+    def scores(self, queries: pa.RecordBatch) -> np.ndarray:
+        n, m = queries.num_rows, len(self.ids)
+        out = np.zeros(n * m)
+        lists = queries.column("codes")
+        code, weight = lists.flatten().to_numpy(), queries.column("weights").flatten().to_numpy()
+        owner = np.repeat(np.arange(n), np.diff(np.asarray(lists.offsets)))
+        if m and len(self.codes):
+            at = np.searchsorted(self.codes, code).clip(max=len(self.codes) - 1)
+            known = np.flatnonzero(self.codes[at] == code)
+            at, owner, weight = at[known], owner[known], weight[known]
+            done = np.cumsum(self.counts[at])
+            for first, stop in _cuts(done, _TILE):
+                count = self.counts[at[first:stop]]
+                place = np.arange(count.sum()) + np.repeat(self.starts[at[first:stop]] - (np.cumsum(count) - count), count)
+                out += np.bincount(np.repeat(owner[first:stop] * m, count) + self.item[place], np.repeat(weight[first:stop], count) * self.weight[place], n * m)
+        out = out.reshape(n, m)
+        if self.overlap:
+            out = out / np.maximum(queries.column("size").to_numpy()[:, None] + self.sizes[None, :] - out, 1e-300)
+        return out
+
+
+def _cuts(done: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of entries with about ``limit`` in all, from running totals."""
+    start = 0
+    while start < len(done):
+        base = done[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(done, base + limit, side="right")))
+        yield start, stop
+        start = stop
 
 
 def _lists(rows: np.ndarray, n: int, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
 
-def _round(queries: DataFrame, items: DataFrame, seen: DataFrame | None, parts: int, k: int, exclude_self: bool, positive: bool) -> DataFrame:
-    """queries(part, key, vector, norm, ids, scores) with their lists after the items(item_id, vector) of one block."""
-    none = {"key": "bigint", "item_id": "bigint", "vector": "array<double>", "norm": "double", "ids": "array<bigint>", "scores": "array<double>"}
+def _round(
+    queries: DataFrame, items: DataFrame, seen: DataFrame | None, parts: int, k: int, exclude_self: bool, positive: bool,
+    block_of: Callable[[list[pa.RecordBatch]], object], fields: dict[str, str],
+) -> DataFrame:
+    """queries(part, key, *fields, norm, ids, scores) with their lists after the items(item_id, *fields) of one block."""
+    none = {"key": "bigint", "item_id": "bigint", **fields, "norm": "double", "ids": "array<bigint>", "scores": "array<double>"}
 
     def row(kind: int, df: DataFrame, part: Column) -> DataFrame:
         rest = [F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()]
@@ -80,7 +140,7 @@ def _round(queries: DataFrame, items: DataFrame, seen: DataFrame | None, parts:
     rows = row(0, items, every).unionByName(row(2, queries, F.col("part")))
     if seen is not None:
         rows = rows.unionByName(row(1, seen, F.col("part")))
-    names = ["key", "vector", "norm", "ids", "scores"]
+    kept = ["key", *fields, "norm"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -88,12 +148,10 @@ def _round(queries: DataFrame, items: DataFrame, seen: DataFrame | None, parts:
         for batch in batches:
             kind = batch.column("kind").to_numpy()
             if (kind == 0).any():
-                held.append(batch.filter(pa.array(kind == 0)).select(["item_id", "vector"]))
+                held.append(batch.filter(pa.array(kind == 0)).select(["item_id", *fields]))
             own = batch.filter(pa.array(kind == 2))
             if block is None and (kind > 0).any():
-                ids = np.concatenate([b.column("item_id").to_numpy() for b in held]) if held else np.zeros(0, np.int64)
-                block = _Block(ids, np.concatenate([_matrix(b.column("vector")) for b in held]) if held else np.zeros((0, 0)), k, exclude_self, positive)
-                held = []
+                block, held = block_of(held), []
             pairs = batch.filter(pa.array(kind == 1))
             # Seen pairs come right before their query, which may be in the next batch.
             seen_key = np.concatenate([before[0], pairs.column("key").to_numpy()])
@@ -104,23 +162,36 @@ def _round(queries: DataFrame, items: DataFrame, seen: DataFrame | None, parts:
             step = max(1, _TILE // max(1, len(block.ids)))
             for start in range(0, own.num_rows, step):
                 part = own.slice(start, step)
+                part = pa.RecordBatch.from_arrays([c.take(pa.array(np.arange(len(c)))) for c in part.columns], part.schema.names)
                 keys = part.column("key").to_numpy()
+                scores = block.scores(part)
+                if exclude_self:
+                    scores[keys[:, None] == block.ids[None, :]] = -np.inf
                 bounds = np.searchsorted(seen_key, keys, "left"), np.searchsorted(seen_key, keys, "right")
                 count = bounds[1] - bounds[0]
-                at = np.arange(count.sum()) + np.repeat(bounds[0] - (np.cumsum(count) - count), count)
+                if count.any() and len(block.ids):
+                    at = np.arange(count.sum()) + np.repeat(bounds[0] - (np.cumsum(count) - count), count)
+                    row_, item = np.repeat(np.arange(len(keys)), count), seen_item[at]
+                    place = np.searchsorted(block.ids, item).clip(max=len(block.ids) - 1)
+                    known = block.ids[place] == item
+                    scores[row_[known], place[known]] = -np.inf
                 lists = part.column("ids"), part.column("scores")
-                sizes = np.diff(np.asarray(lists[0].offsets)) if len(part) else np.zeros(0, int)
-                old = [np.repeat(np.arange(len(keys)), sizes), lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy()]
-                found = block.better(keys, _matrix(part.column("vector")), (np.repeat(np.arange(len(keys)), count), seen_item[at]), old)
+                old = [np.repeat(np.arange(len(keys)), np.diff(np.asarray(lists[0].offsets))), lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy()]
+                found = _best(scores, block.ids, keys, old, k, positive)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in names[:3]), _lists(found[0], len(keys), found[1]), _lists(found[0], len(keys), found[2])], names
+                    [*(part.column(c) for c in kept), _lists(found[0], len(keys), found[1]), _lists(found[0], len(keys), found[2])], [*kept, "ids", "scores"]
                 )
             last = own.column("key")[-1].as_py()
             left = seen_key > last
             before = (seen_key[left], seen_item[left])
 
     dealt = rows.repartitionById(parts, "part").sortWithinPartitions(F.col("kind") > 0, "key", "kind")
-    return dealt.mapInArrow(run, f"key bigint, vector array<double>, norm double, {_LIST}")
+    return dealt.mapInArrow(run, ", ".join(f"{c} {none[c]}" for c in kept) + f", {_LIST}")
+
+
+def _ranked(lists: DataFrame) -> DataFrame:
+    each = F.posexplode(F.arrays_zip("ids", "scores")).alias("pos", "x")
+    return lists.select("key", each).select("key", (F.col("pos") + 1).alias("rank"), F.col("x.ids").alias("item_id"), F.col("x.scores").alias("score"))
 
 
 def _blocks(items: DataFrame, block_items: int) -> tuple[DataFrame, list[float]]:
@@ -185,10 +256,57 @@ def vector_top_k(
                 break
         block = blocks.filter(F.col("block") == number).select("item_id", "vector")
         own = None if known is None else known.filter(F.col("block") == number).select("key", "item_id", part.alias("part"))
-        state = _round(state.withColumn("part", part), block, own, parts, k, exclude_self, positive)
+        state = _round(state.withColumn("part", part), block, own, parts, k, exclude_self, positive, _Dense, _Dense.fields)
     finished.append(state.select("key", "ids", "scores"))
     lists = finished[0]
     for more in finished[1:]:
         lists = lists.unionByName(more)
-    each = F.posexplode(F.arrays_zip("ids", "scores")).alias("pos", "x")
-    return lists.select("key", each).select("key", (F.col("pos") + 1).alias("rank"), F.col("x.ids").alias("item_id"), F.col("x.scores").alias("score"))
+    return _ranked(lists)
+
+
+#: Items and entries of the inverted index that a task holds at most, about.
+INDEX_ITEMS, INDEX_ENTRIES = 65_536, 4_000_000
+
+
+def _sparse_rows(entries: DataFrame, codes: DataFrame, name: str) -> DataFrame:
+    """One row per id: feature codes, weights and the sum of squared weights."""
+    pair = F.struct("code", F.col("weight").cast("double").alias("w"))
+    rows = entries.select(F.col("id").cast("bigint").alias(name), "feature", "weight").join(codes, "feature")
+    rows = rows.groupBy(name).agg(F.array_sort(F.collect_list(pair)).alias("_v"), F.sum(F.col("weight") * F.col("weight")).cast("double").alias("size"))
+    return rows.select(name, F.col("_v.code").alias("codes"), F.col("_v.w").alias("weights"), "size")
+
+
+def sparse_top_k(
+    queries: DataFrame, items: DataFrame, k: int, *, exclude_self: bool = False, overlap: bool = False,
+    index_items: int = INDEX_ITEMS, index_entries: int = INDEX_ENTRIES, part_queries: int = PART_QUERIES,
+) -> DataFrame:
+    """Exact best k items per query by the dot product of sparse vectors that share a feature; only scores above 0.
+
+    ``overlap`` divides by the size of the union, which with weights of 1 is the Jaccard measure of two sets. Both sides hold one
+    (id, feature, weight) per entry, the feature being any value. Result: key, rank, item_id, score.
+
+    Features get exact numbers. Items are cut into as few inverted indexes as their number and entries allow; an index goes to each part of the
+    queries, whose sparse vectors stream past it and touch only the entries of their own features. A query is shuffled once per index (of tens of
+    thousands of items), an item once per part, of which there are at most ``PARTS``; no pair of ids leaves a task but the k best.
+    """
+    same = queries is items
+    items = stored(items.select("id", "feature", "weight"), "entries")
+    queries = items if same else stored(queries.select("id", "feature", "weight"), "entries")
+    known = items.groupBy("feature").agg(F.count(F.lit(1)).alias("df"))
+    order = [F.col("df"), F.col("feature")]
+    codes = position(ranged(known, order, "features"), [], "_range", order, "code").select("feature", F.col("code").cast("bigint").alias("code"))
+    codes = stored(codes, "features")
+    index = stored(_sparse_rows(items, codes, "item_id"), "index")
+    asked = stored(index.withColumnRenamed("item_id", "key") if same else _sparse_rows(queries, codes, "key"), "asked")
+    n, entries = index.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()
+    blocks = max(1, -(-n // index_items), -(-entries // index_entries))
+    parts = max(1, min(PARTS, -(-asked.count() // part_queries)))
+    part = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part")
+    state = asked.select("key", *_Postings.fields, F.lit(0.0).alias("norm"), F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<double>").alias("scores"))
+    for number in range(blocks):
+        if number:
+            state = stored(state, "lists")
+        block = index.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number)
+        make = partial(_Postings, overlap=overlap)
+        state = _round(state.select(part, "*"), block, None, parts, k, exclude_self, True, make, _Postings.fields)
+    return _ranked(state.select("key", "ids", "scores"))

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastelake.functions.scalar import round_to, unit
-from tastelake.operators.blocks import sparse_top_k
 from tastelake.operators.ordering import top_n
-from tastelake.operators.scoring import vector_top_k
+from tastelake.operators.scoring import sparse_top_k, vector_top_k
 
 
 def weighted_mean_vectors(ratings: DataFrame, item_vectors: DataFrame, key: str = "user_id") -> DataFrame:

@@ -124,6 +124,31 @@ def test_sparse_neighbors(spark):
         assert [b for _, b in sorted(got[a])] == order
 
 
+@pytest.mark.parametrize("overlap", [False, True])
+def test_sparse_top_k_over_several_indexes(spark, overlap):
+    """Two sides, features of any type, one of them everywhere, items without shared features, and several rounds."""
+    rng = np.random.default_rng(12)
+    q, i = (np.where(rng.random((n, 25)) < 0.2, rng.integers(1, 5, (n, 25)), 0).astype(float) for n in (30, 70))
+    if overlap:
+        q, i = (q > 0).astype(float), (i > 0).astype(float)
+    q[:, 0] = i[:60, 0] = 1.0
+    i[69] = 0.0
+
+    def frame(m):
+        return spark.createDataFrame([(a, f"word {f}", float(m[a, f])) for a in range(len(m)) for f in range(25) if m[a, f]], "id bigint, feature string, weight double")
+
+    scores = q @ i.T
+    if overlap:
+        scores = scores / ((q * q).sum(axis=1)[:, None] + (i * i).sum(axis=1)[None, :] - scores)
+    for limits in ({}, {"index_items": 20, "part_queries": 9}, {"index_entries": 60}):
+        got = {}
+        for r in scoring.sparse_top_k(frame(q), frame(i), 5, overlap=overlap, **limits).collect():
+            got.setdefault(r["key"], []).append((r["rank"], r["item_id"]))
+        for u in range(30):
+            order = sorted((n for n in range(70) if scores[u, n] > 5e-11), key=lambda n: (-round(scores[u, n], 10), n))[:5]
+            assert [n for _, n in sorted(got.get(u, []))] == order
+
+
 def test_zero_vector_and_duplicates(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [-1.0, 0.0])], "item_id bigint, vector array<double>")
     got = {(r["item_id"], r["rank"]): (r["neighbor_id"], r["score"]) for r in similarity.cosine_neighbors(df, 3).collect()}
