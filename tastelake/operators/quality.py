@@ -134,9 +134,3 @@ def busy_users(access: DataFrame, limit: int, window: str = "1 hour", slide: str
     """Users with more than ``limit`` accesses in a sliding window."""
     counts = access.groupBy("user_id", F.window("ts", window, slide).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return counts.filter(F.col("n") > limit).select("user_id", F.unix_timestamp("w.start").alias("window_start"), "n")
-
-
-def recompute_touched(stored: DataFrame, rows: DataFrame, touched: DataFrame, key: str, compute) -> DataFrame:
-    """Stored results with the touched keys computed again from their rows."""
-    fresh = compute(rows.join(touched.select(key).distinct(), key, "left_semi"))
-    return stored.join(touched.select(key), key, "left_anti").unionByName(fresh)

@@ -133,12 +133,17 @@ def latency_by_hour(v):
     return out.select("slot", *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")])
 
 
-@query("latency_sketch_rollup", "M8 A13")
+@query("latency_sketch_rollup", "M8 A13", sql("SELECT endpoint, count(*) AS n, true AS rank_within FROM requests GROUP BY endpoint"))
 def latency_sketch_rollup(v):
-    """Hourly sketches merged to one estimate per endpoint."""
+    """Hourly sketches merged to one 95 % quantile per endpoint, and whether its true rank is within two percent of that."""
     hourly = metrics.latency_sketches(v.requests.withColumn("slot", metrics.slot("ts", 60)), ["slot", "endpoint"])
     merged = hourly.groupBy("endpoint").agg(F.sum("n").alias("n"), F.expr("kll_merge_agg_double(sketch)").alias("sketch"))
-    return merged.select("endpoint", "n", F.expr("kll_sketch_get_quantile_double(sketch, 0.95D)").alias("p95"))
+    merged = merged.select("endpoint", "n", F.expr("kll_sketch_get_quantile_double(sketch, 0.95D)").alias("p95"))
+    ranks = v.requests.join(merged, "endpoint").groupBy("endpoint", "n").agg(
+        F.count_if(F.col("latency_ms") <= F.col("p95")).alias("upto"), F.count_if(F.col("latency_ms") < F.col("p95")).alias("below")
+    )
+    within = (F.col("upto") / F.col("n") >= 0.93) & (F.col("below") / F.col("n") <= 0.97)
+    return ranks.select("endpoint", "n", within.alias("rank_within"))
 
 
 @query(

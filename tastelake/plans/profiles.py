@@ -3,10 +3,11 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tastelake.operators import profile
+from tastelake.operators import incremental, profile
 from tastelake.operators.ordering import previous, top_n
 from tastelake.plans.oracle import sql
 from tastelake.plans.registry import query
+from tastelake.session import stored
 
 
 @query(
@@ -113,15 +114,26 @@ def item_features(v):
     return profile.item_features(v.items, v.ratings)
 
 
-@query("approx_distinct_items", "A13")
+@query(
+    "approx_distinct_items",
+    "A13",
+    sql("""SELECT count(DISTINCT user_id) AS n_users, true AS users_within, count(DISTINCT item_id) AS n_items, true AS items_within
+           FROM ratings_raw"""),
+)
 def approx_distinct_items(v):
-    """Mergeable sketches per year, united into one estimate beside the direct one (about 2% error)."""
+    """Sketches per year merged to one estimate: exact counts, and whether the merged estimates are within five percent of them."""
     yearly = v.ratings_raw.groupBy(F.year("ts").alias("year")).agg(
-        F.hll_sketch_agg("user_id", 12).alias("users"), F.approx_count_distinct("item_id", 0.02).alias("n_items")
-    )
-    return yearly.agg(
-        F.hll_sketch_estimate(F.hll_union_agg("users")).alias("n_users"), F.max("n_items").alias("n_items_best_year")
+        F.hll_sketch_agg("user_id", 12).alias("users"), F.hll_sketch_agg("item_id", 12).alias("items")
     )
+    merged = yearly.agg(
+        F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"), F.hll_sketch_estimate(F.hll_union_agg("items")).alias("items")
+    ).agg(F.first(F.struct("users", "items"))).scalar()
+    exact = v.ratings_raw.select("user_id", "item_id")
+    users = exact.select("user_id").distinct().agg(F.count(F.lit(1)).alias("n_users"))
+    n_items = exact.select("item_id").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    both = users.withColumn("n_items", n_items).withColumn("_e", merged)
+    within = [(F.abs(F.col(f"_e.{c}") - F.col(f"n_{c}")) <= 0.05 * F.col(f"n_{c}")).alias(f"{c}_within") for c in ("users", "items")]
+    return both.select("n_users", within[0], "n_items", within[1])
 
 
 @query(
@@ -202,6 +214,29 @@ def heavy_hitters(v):
     return counts.orderBy(F.col("n").desc(), "item_id").limit(25)
 
 
+_DAILY, _MERGED = 40, 50
+
+
+@query(
+    "frequent_items",
+    "A18 A13",
+    sql(f"""SELECT item_id, lower, upper, bound FROM (
+        WITH counts AS (SELECT ts::DATE AS day, item_id, count(*) AS n FROM interactions GROUP BY ALL),
+        ranks AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, item_id) AS r FROM counts),
+        days AS (SELECT day, coalesce(max(n) FILTER (WHERE r = {_DAILY + 1}), 0) AS b FROM ranks GROUP BY day),
+        kept AS (SELECT item_id, sum(n)::BIGINT AS lower, sum(b)::BIGINT AS met FROM ranks JOIN days USING (day) WHERE r <= {_DAILY} GROUP BY item_id),
+        sized AS (SELECT item_id, lower, (lower + (SELECT sum(b) FROM days) - met)::BIGINT AS upper,
+                         row_number() OVER (ORDER BY lower DESC, item_id) AS r FROM kept)
+        SELECT item_id, lower, upper,
+               greatest((SELECT sum(b) FROM days), (SELECT coalesce(max(upper), 0) FROM sized WHERE r > {_MERGED}))::BIGINT AS bound
+        FROM sized WHERE r <= {_MERGED})"""),
+)
+def frequent_items(v):
+    """Daily summaries of bounded size merged to one: sure count, most it can be, and most that an unlisted item can have."""
+    daily = incremental.frequent_items(v.interactions.withColumn("day", F.to_date("ts")), "day", "item_id", _DAILY)
+    return incremental.merged_frequent_items(stored(daily, "daily"), "day", "item_id", _MERGED)
+
+
 @query(
     "iqr_outliers",
     "F10",

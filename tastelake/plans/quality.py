@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from tastelake.operators import evaluate, hybrid, quality, trending
+from tastelake.operators import evaluate, hybrid, incremental, quality, trending
 from tastelake.operators.ordering import top_n
 from tastelake.plans.evaluation import _HITS, popular_lists, popularity_of, relevant_of, split
 from tastelake.plans.oracle import sql
 from tastelake.plans.registry import query
+from tastelake.session import work_path
 
 
 def _with_gaps(v):
@@ -303,12 +304,14 @@ def access_anomalies(v):
     sql("SELECT item_id, score, n_ratings FROM trending"),
 )
 def incremental_recompute(v):
-    """Scores stored before a date, brought up to date for the items touched since."""
+    """Scores from stored sums and counts: ratings before a date are folded in once, those since as a second batch of their own."""
+    path = work_path(v.spark, "item-totals")
     cut = F.lit("2001-06-01").cast("timestamp")
-    stored = trending.scores(v.ratings_raw.filter(F.col("ts") < cut), v.items)
-    touched = v.ratings_raw.filter(F.col("ts") >= cut)
-    known = v.ratings_raw.join(v.items.select("item_id"), "item_id", "left_semi")
-    return quality.recompute_touched(stored, known, touched, "item_id", trending.scores).select("item_id", "score", "n_ratings")
+    sums = {"total": F.col("rating"), "n_ratings": F.lit(1)}
+    for number, part in enumerate((v.ratings_raw.filter(F.col("ts") < cut), v.ratings_raw.filter(F.col("ts") >= cut))):
+        incremental.fold_in(path, part.join(v.items.select("item_id"), "item_id", "left_semi"), ["item_id"], sums, number)
+    score = F.col("total") / F.col("n_ratings") * F.log1p(F.col("n_ratings").cast("double"))
+    return incremental.totals(v.spark, path).select("item_id", F.round(score, 4).alias("score"), "n_ratings")
 
 
 @query(

@@ -118,14 +118,49 @@ def attributed_clicks(v):
     return rows.drop("batch_id")
 
 
+@query(
+    "late_rows",
+    "T6",
+    sql("""SELECT window_start, count(*) FILTER (WHERE NOT late) AS n_counted, count(*) FILTER (WHERE late) AS n_late FROM (
+             SELECT day * 86400 AS window_start, event_id % 10 = 0 AND (day + 1) * 86400000000 <= top - 86400000000 AS late FROM (
+               SELECT event_id, (epoch_us(ts) // 86400000000)::BIGINT AS day,
+                      (SELECT max(epoch_us(ts)) FROM interactions WHERE event_id % 10 <> 0) AS top FROM interactions)) GROUP BY window_start"""),
+)
+def late_rows(v):
+    """Every tenth event arrives after all others: rows a day behind the watermark are left out of the daily counts, and counted apart."""
+    feed, counted, split = (work_path(v.spark, x) for x in ("feed", "counted", "split"))
+    events = v.table("events")
+    for part in (events.filter("event_id % 10 <> 0"), events.filter("event_id % 10 = 0")):
+        part.write.mode("append").parquet(feed)
+        stream = v.spark.readStream.schema(events.schema).parquet(feed).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+        jobs.deliver(jobs.rates(stream, "1 day", "1 day", "1 day"), "update", counted, f"{counted}-state")
+        jobs.split_late(stream, split, f"{split}-state", "1 day", "1 day")
+    on_time = jobs.latest(v.spark.read.option("basePath", counted).parquet(counted), ["window_start"])
+    late = v.spark.read.option("basePath", f"{split}/late").parquet(f"{split}/late")
+    late = late.groupBy(F.unix_timestamp("window_start").alias("window_start")).agg(F.count(F.lit(1)).alias("late"))
+    both = on_time.join(late, "window_start", "full")
+    return both.select("window_start", F.coalesce("n", F.lit(0)).alias("n_counted"), F.coalesce("late", F.lit(0)).alias("n_late"))
+
+
 @query(
     "online_profile",
     "T9",
-    sql("""SELECT user_id, count(*) AS n_events, count(*) FILTER (WHERE interaction_type = 'purchase') AS n_purchases,
-             max(epoch_us(ts) // 1000000)::BIGINT AS last_seen FROM interactions GROUP BY user_id"""),
+    sql("""SELECT user_id, n_events, n_purchases, last_seen, favourite_genre, genre_weight FROM (
+             SELECT user_id, count(*) AS n_events, count(*) FILTER (WHERE interaction_type = 'purchase') AS n_purchases,
+                    max(epoch_us(ts) // 1000000)::BIGINT AS last_seen FROM interactions GROUP BY user_id)
+           LEFT JOIN (SELECT user_id, genre AS favourite_genre, w AS genre_weight FROM (
+             SELECT user_id, genre, round(sum(intensity), 4) AS w FROM interactions JOIN item_genres USING (item_id) GROUP BY user_id, genre)
+             QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY w DESC, genre) = 1) USING (user_id)"""),
 )
 def online_profile(v):
-    return jobs.latest(jobs.delivered(v.spark, jobs.running_profiles(event_stream(v)), "update", "profile"), ["user_id"])
+    """Activity and the genre with the largest weight of every user, from two running aggregations of the stream."""
+    from tastelake.operators.ordering import top_n
+
+    seen = jobs.latest(jobs.delivered(v.spark, jobs.running_profiles(event_stream(v)), "update", "profile"), ["user_id"])
+    weights = jobs.delivered(v.spark, jobs.running_genre_weights(event_stream(v), v.items), "update", "genre-weights")
+    weights = jobs.latest(weights, ["user_id", "genre"]).select("user_id", F.col("genre").alias("favourite_genre"), F.round("weight", 4).alias("genre_weight"))
+    best = top_n(weights, ["user_id"], [F.col("genre_weight").desc(), F.col("favourite_genre")], 1).drop("rank")
+    return seen.join(best, "user_id", "left")
 
 
 @query(

@@ -132,6 +132,34 @@ def running_profiles(events: DataFrame) -> DataFrame:
     )
 
 
+def running_genre_weights(events: DataFrame, items: DataFrame) -> DataFrame:
+    """Summed intensity per user and genre of the items so far: one row of state per pair, with partial sums before the shuffle."""
+    each = enriched(events, items).select("user_id", F.explode(F.split("genres", r"\|")).alias("genre"), "intensity")
+    return each.groupBy("user_id", "genre").agg(F.sum("intensity").alias("weight"))
+
+
+def split_late(stream: DataFrame, path: str, checkpoint: str, window: str, lateness: str) -> None:
+    """Processes all available input and writes, per batch, the rows that a windowed aggregation with this ``lateness`` leaves out.
+
+    Such a row's window ends at or before the watermark, which is the latest time of all earlier batches less ``lateness``. Each batch leaves its latest
+    time as a mark of one row, so the marks of earlier batches give the watermark also after a restart or a replay.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        top = None
+        if batch_id:
+            earlier = spark.read.schema("top timestamp, batch_id bigint").option("basePath", f"{path}/marks").parquet(f"{path}/marks")
+            top = earlier.filter(F.col("batch_id") < batch_id).agg(F.max("top")).first()[0]
+        batch.agg(F.max("ts").alias("top")).write.mode("overwrite").parquet(f"{path}/marks/batch_id={batch_id}")
+        late = F.lit(False) if top is None else F.window("ts", window)["end"] <= F.lit(top) - F.expr(f"interval {lateness}")
+        spans = batch.select("*", F.window("ts", window)["start"].alias("window_start"))
+        spans.filter(late).write.mode("overwrite").parquet(f"{path}/late/batch_id={batch_id}")
+
+    run = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    run.awaitTermination()
+
+
 def expiring_profiles(events: DataFrame, idle: str = "7 days", lateness: str = "1 day") -> DataFrame:
     """Per-user activity that is closed and forgotten after a period without events (event time).
 

@@ -88,3 +88,46 @@ def test_shared_folder_is_required_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_fold_in_reads_only_its_own_rows(spark):
+    """The rows of the first batch are gone when the second comes, only touched partitions change, and a batch counts once."""
+    from pathlib import Path
+
+    from tastelake.operators import incremental
+
+    path, source = work_path(spark, "totals"), work_path(spark, "source")
+    sums = {"total": F.col("x"), "n": F.lit(1)}
+    spark.createDataFrame([(i % 20, float(i)) for i in range(200)], "id bigint, x double").write.parquet(f"{source}/one")
+    assert len(incremental.fold_in(path, spark.read.parquet(f"{source}/one"), ["id"], sums, 0, buckets=8)) > 2
+    for file in Path(f"{source}/one").glob("*.parquet"):
+        file.write_bytes(b"gone")
+    before = {p: p.stat().st_mtime_ns for p in Path(path).glob("bucket=*/*.parquet")}
+    delta = spark.createDataFrame([(3, 1000.0), (3, 1.0), (99, 5.0)], "id bigint, x double")
+    written = incremental.fold_in(path, delta, ["id"], sums, 1, buckets=8)
+    assert 1 <= len(written) <= 2 and incremental.fold_in(path, delta, ["id"], sums, 1, buckets=8) == []
+    kept = {p for p in before if int(p.parent.name.split("=")[1]) not in written}
+    assert kept and all(p.stat().st_mtime_ns == before[p] for p in kept)
+    got = {r["id"]: (r["total"], r["n"]) for r in incremental.totals(spark, path).collect()}
+    want = {i: (float(sum(range(i, 200, 20))), 10) for i in range(20)}
+    want[3], want[99] = (want[3][0] + 1001.0, 12), (5.0, 1)
+    assert got == want
+
+
+def test_frequent_items_keep_their_bounds(spark):
+    import random
+    from collections import Counter
+
+    from tastelake.operators import incremental
+
+    r = random.Random(4)
+    rows = [(day, min(int(r.expovariate(0.05)), 150) if r.random() < 0.7 else 7) for day in range(12) for _ in range(300)]
+    df = spark.createDataFrame(rows, "day int, item_id bigint")
+    daily = incremental.frequent_items(df, "day", "item_id", 20)
+    assert daily.groupBy("day").count().agg(F.max("count")).first()[0] <= 20
+    found = incremental.merged_frequent_items(daily, "day", "item_id", 15).collect()
+    true = Counter(i for _, i in rows)
+    bound = found[0]["bound"]
+    assert len(found) == 15 and all(x["lower"] <= true[x["item_id"]] <= x["upper"] for x in found)
+    listed = {x["item_id"] for x in found}
+    assert all(n <= bound for i, n in true.items() if i not in listed) and 7 in listed
