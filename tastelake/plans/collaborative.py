@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from tastelake.operators import cf
+from tastelake.operators import cf, dictionary, hybrid, similarity
 from tastelake.operators.ordering import quantile_codebook
 from tastelake.plans.oracle import sql, unseen_draws
 from tastelake.plans.profiles import genre_alignment
 from tastelake.plans.registry import query
+from tastelake.session import stored, work_path
 
 
 @query(
@@ -85,6 +86,46 @@ def user_cf(v):
     return cf.predict_from_neighbors(cf.user_neighbors(v.stored_ratings, "cosine"), v.stored_ratings)
 
 
+def _named(v):
+    """Ratings of users with names instead of numbers, and a dictionary of these names."""
+    rated = stored(v.stored_ratings.withColumn("user_id", F.concat(F.lit("user-"), F.col("user_id"))), "named")
+    path = work_path(v.spark, "user-names")
+    # in two steps, as users come in over time
+    dictionary.extend(path, rated.filter(F.col("item_id") % 7 == 0), "user_id")
+    return rated, dictionary.extend(path, rated, "user_id")
+
+
+@query(
+    "user_cf_named",
+    "R20 S7",
+    sql("""SELECT 'user-' || user_id AS user_id, count(*) AS n_neighbors, round(sum(s), 6) AS score_sum, bool_and(rn <= 10) AS ranked FROM (
+             SELECT a AS user_id, sxy / (la.len * lb.len) AS s, row_number() OVER (PARTITION BY a ORDER BY round(sxy / (la.len * lb.len), 10) DESC) AS rn
+             FROM pairs JOIN lens la ON la.id = a JOIN lens lb ON lb.id = b) WHERE rn <= 10 GROUP BY user_id""", _UPAIRS),
+)
+def user_cf_named(v):
+    """Neighbours of users with string ids; equal scores may be in another order than among numbers, so their sum is compared."""
+    rated, words = _named(v)
+    found = cf.user_neighbors(stored(dictionary.encoded(rated, "user_id", words), "encoded"), "cosine")
+    found = dictionary.decoded(dictionary.decoded(found, "user_id", words), "neighbor_id", words)
+    known = found.join(rated.select(F.col("user_id").alias("neighbor_id")).distinct(), "neighbor_id", "left_semi")
+    return known.groupBy("user_id").agg(
+        F.count("neighbor_id").alias("n_neighbors"), F.round(F.sum("score"), 6).alias("score_sum"), (F.max("rank") <= 10).alias("ranked")
+    )
+
+
+@query(
+    "user_scores_named",
+    "R2 R6",
+    sql("SELECT 'user-' || user_id AS user_id, CAST(rank AS INTEGER) AS rank, item_id, score FROM cf_recs"),
+)
+def user_scores_named(v):
+    """Top 50 of users with string ids: the items of a user do not depend on the number that the dictionary gives."""
+    rated, words = _named(v)
+    ratings = stored(dictionary.encoded(rated, "user_id", words), "encoded")
+    users = stored(similarity.weighted_mean_vectors(ratings, v.item_vectors), "user-vectors")
+    return dictionary.decoded(hybrid.score_unseen(users, v.item_vectors, ratings, 50), "user_id", words)
+
+
 @query("user_neighbors_jaccard", "R20", sql(_neighbors("n / (la.size + lb.size - n)::DOUBLE", 10, "user_id"), _UPAIRS))
 def user_neighbors_jaccard(v):
     return _shown(cf.user_neighbors(v.stored_ratings, "jaccard"))

@@ -166,11 +166,33 @@ def online_profile(v):
 @query(
     "expiring_profile",
     "T9 state",
-    sql("SELECT user_id, count(*) AS n_events, max(epoch_us(ts) // 1000000)::BIGINT AS last_seen FROM interactions GROUP BY user_id"),
+    sql("""SELECT user_id, n_events, last_seen, closed FROM (
+        WITH cut AS (SELECT min(epoch_us(ts)) + (max(epoch_us(ts)) - min(epoch_us(ts))) // 2 AS middle FROM interactions),
+        e AS (SELECT user_id, epoch_us(ts) AS us, epoch_us(ts) < middle AS early FROM interactions, cut),
+        marks AS (SELECT max(us) FILTER (WHERE early) // 1000 - 86400000 AS one, max(us) // 1000 - 86400000 AS two FROM e),
+        firsts AS (SELECT user_id, count(*) AS n, max(us // 1000000)::BIGINT AS last_seen FROM e WHERE early GROUP BY user_id),
+        ended AS (SELECT user_id, n, last_seen FROM firsts, marks WHERE last_seen * 1000 + 43200000 < one),
+        rest AS (SELECT user_id, count(*) AS n, max(us // 1000000)::BIGINT AS last_seen FROM e
+                 WHERE NOT early OR user_id NOT IN (SELECT user_id FROM ended) GROUP BY user_id)
+        SELECT user_id, n AS n_events, last_seen, true AS closed FROM ended
+        UNION ALL SELECT user_id, n, last_seen, last_seen * 1000 + 43200000 < two FROM rest, marks)"""),
 )
 def expiring_profile(v):
-    rows = jobs.delivered(v.spark, jobs.expiring_profiles(event_stream(v), "60 days"), "update", "expiring")
-    return jobs.latest(rows, ["user_id"]).select("user_id", "n_events", "last_seen")
+    """Profiles that end after half a day without events, over two arrivals of the events, split at the middle of their time.
+
+    A user who comes back after the end has a second profile. Profiles that the watermark has not passed are open.
+    """
+    feed, path = work_path(v.spark, "feed"), work_path(v.spark, "expiring")
+    events = v.table("events")
+    low, high = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    early = F.unix_micros(F.col("ts").cast("timestamp")) < low + (high - low) // 2
+    for part in (events.filter(early), events.filter(~early)):
+        part.write.mode("append").parquet(feed)
+        stream = v.spark.readStream.schema(events.schema).parquet(feed).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+        jobs.deliver(jobs.expiring_profiles(stream, "12 hours"), "update", path, f"{path}-state")
+    rows = v.spark.read.option("basePath", path).parquet(path)
+    open_ = jobs.latest(rows, ["user_id"]).filter("NOT closed")
+    return rows.filter("closed").select(*open_.columns).unionByName(open_).select("user_id", "n_events", "last_seen", "closed")
 
 
 @query(

@@ -131,3 +131,16 @@ def test_frequent_items_keep_their_bounds(spark):
     assert len(found) == 15 and all(x["lower"] <= true[x["item_id"]] <= x["upper"] for x in found)
     listed = {x["item_id"] for x in found}
     assert all(n <= bound for i, n in true.items() if i not in listed) and 7 in listed
+
+
+def test_dictionary_only_grows(spark):
+    from tastelake.operators import dictionary
+
+    path = work_path(spark, "words")
+    one = {r["id"]: r["number"] for r in dictionary.extend(path, spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "u string"), "u").collect()}
+    two = dictionary.extend(path, spark.createDataFrame([("c",), ("a",), ("0",)], "u string"), "u")
+    both = {r["id"]: r["number"] for r in two.collect()}
+    assert one == {"a": 0, "b": 1} and one.items() <= both.items() and sorted(both.values()) == [0, 1, 2, 3]
+    rows = spark.createDataFrame([("c", 1), ("a", 2), ("zz", 3), (None, 4)], "u string, x int")
+    coded = dictionary.encoded(rows, "u", two)
+    assert sorted((r["u"], r["x"]) for r in dictionary.decoded(coded, "u", two).collect()) == [("a", 2), ("c", 1)]
