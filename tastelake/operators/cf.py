@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tastelake.functions.scalar import draw
 from tastelake.operators.blocks import COSINE, JACCARD, PEARSON, SUPPORT, PairScore, shared_row_top
-from tastelake.operators.ordering import following, position, running_total, top_n
+from tastelake.operators.ordering import following, position, ranged, running_total, top_n
 from tastelake.session import stored
 
 # Cumulative Poisson(1) probabilities for 0, 1, 2, ... events.
@@ -82,11 +82,13 @@ def bias_baseline(ratings: DataFrame, shrink: float = 10.0) -> DataFrame:
 
 def transitions(events: DataFrame, state: str, order: int = 1) -> DataFrame:
     """Probability of the next state given the last one (or two) states of the same user."""
-    rows = events.select("user_id", "ts", "event_id", F.col(state).alias("state"), F.to_date("ts").alias("day"))
-    steps = following(rows, ["user_id"], "day", [F.col("ts"), F.col("event_id")], {"state": "next"})
+    rows = events.select("user_id", "ts", "event_id", F.col(state).alias("state"))
+    in_time = [F.col("ts"), F.col("event_id")]
+    rows = ranged(rows, [F.col("user_id"), *in_time], "events")
+    steps = following(rows, ["user_id"], "_range", in_time, {"state": "next"})
     keys = ["state"]
     if order == 2:
-        steps = following(steps.withColumnRenamed("next", "second"), ["user_id"], "day", [F.col("ts"), F.col("event_id")], {"second": "next"})
+        steps = following(steps.withColumnRenamed("next", "second"), ["user_id"], "_range", in_time, {"second": "next"})
         keys = ["state", "second"]
     counts = steps.filter(F.col("next").isNotNull()).groupBy(*keys, "next").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastelake.functions.scalar import ratio
-from tastelake.operators.ordering import exact_quantiles, previous, running_total
+from tastelake.operators.ordering import exact_quantiles, previous, ranged, running_total
 
 
 def funnel(interactions: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
@@ -29,12 +29,13 @@ def funnel(interactions: DataFrame, keys: Sequence[Column | str]) -> DataFrame:
 
 def sessions(interactions: DataFrame, gap_seconds: int = 1800) -> DataFrame:
     """Sessions per user: a pause longer than the gap starts a new one."""
-    rows = interactions.select("user_id", "event_id", "ts", "item_id", F.to_date("ts").alias("day"), F.unix_micros("ts").alias("at"))
+    rows = interactions.select("user_id", "event_id", "ts", "item_id", F.unix_micros("ts").alias("at"))
     order = [F.col("ts"), F.col("event_id")]
-    spaced = previous(rows, ["user_id"], "day", order, {"at": "before"})
+    rows = ranged(rows, [F.col("user_id"), *order], "events")
+    spaced = previous(rows, ["user_id"], "_range", order, {"at": "before"})
     pause = F.col("at") - F.col("before")
     starts = F.when(F.col("before").isNull() | (pause > gap_seconds * 1_000_000), 1).otherwise(0).cast("bigint")
-    numbered = running_total(spaced, ["user_id"], "day", order, starts, "session_no")
+    numbered = running_total(spaced, ["user_id"], "_range", order, starts, "session_no")
     return numbered.groupBy("user_id", "session_no").agg(
         F.count(F.lit(1)).alias("n_events"),
         F.floor((F.max("at") - F.min("at")) / 1_000_000).alias("duration_seconds"),

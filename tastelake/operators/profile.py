@@ -12,6 +12,7 @@ from tastelake.operators.ordering import (
     exact_quantiles,
     one_row,
     position,
+    ranged,
     top_n,
     value_ranks,
 )
@@ -155,20 +156,16 @@ def as_of_features(
     right = features.select(
         key, "ts", F.lit(0).alias("_kind"), F.lit(None).cast(left.schema["_fact"].dataType).alias("_fact"), F.col(value)
     )
-    merged = left.unionByName(right).withColumn("_month", F.date_trunc("month", "ts"))
-    filled = carry_forward(merged, [key], "_month", [F.col("ts"), F.col("_kind")], value, "_known")
+    order = [F.col("ts"), F.col("_kind")]
+    merged = ranged(left.unionByName(right), [F.col(key), *order], "merged")
+    filled = carry_forward(merged, [key], "_range", order, value, "_known")
     return filled.filter("_kind = 1").select(key, "ts", "_fact.*", F.col("_known").alias(value))
 
 
 def numbered_split(ratings: DataFrame, share: float = 0.8) -> DataFrame:
     """Ratings with the column ``part``: 'train' for the first ``share`` of every user in time order, else 'test'."""
-    numbered = position(
-        ratings.withColumn("_month", F.date_trunc("month", "ts")),
-        ["user_id"],
-        "_month",
-        [F.col("ts"), F.col("item_id")],
-        "pos",
-    )
+    order = [F.col("ts"), F.col("item_id")]
+    numbered = position(ranged(ratings, [F.col("user_id"), *order], "in-time"), ["user_id"], "_range", order, "pos")
     sizes = ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     first = F.col("pos") <= F.floor(F.lit(share) * F.col("n"))
     return numbered.join(sizes, "user_id").select(*ratings.columns, F.when(first, "train").otherwise("test").alias("part"))

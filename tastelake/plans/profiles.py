@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tastelake.operators import incremental, profile
-from tastelake.operators.ordering import previous, top_n
+from tastelake.operators.ordering import previous, ranged, top_n
 from tastelake.plans.oracle import sql
 from tastelake.plans.registry import query
 from tastelake.session import stored
@@ -321,7 +321,8 @@ def like_state(v):
 )
 def time_since_previous(v):
     rows = v.interactions.select("event_id", "user_id", "ts", F.unix_timestamp("ts").alias("at"), F.to_date("ts").alias("day"))
-    spaced = previous(rows, ["user_id"], "day", [F.col("ts"), F.col("event_id")], {"at": "before"})
+    order = [F.col("ts"), F.col("event_id")]
+    spaced = previous(ranged(rows, [F.col("user_id"), *order], "events"), ["user_id"], "_range", order, {"at": "before"})
     age = F.datediff(F.lit("2024-02-01").cast("date"), "day")
     return spaced.select(
         "event_id",

@@ -83,3 +83,25 @@ def test_codebook(spark):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     book = spark.range(1).select(o.quantile_codebook(df, "v").alias("b")).first()["b"]
     assert np.allclose(book, np.quantile(values, np.arange(256) / 255))
+
+
+def test_a_day_with_a_third_of_all_rows_is_split(spark):
+    """One user's one day holds a third of the events: no chunk of it does, and sessions are those of a plain pass."""
+    from tastelake.operators import metrics
+
+    day = 86_400
+    r = random.Random(8)
+    rows = [(i, 1, r.randint(0, day - 1)) for i in range(3000)] + [(3000 + i, r.randint(2, 60), r.randint(0, 20 * day)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, s bigint")
+    df = df.select("event_id", "user_id", F.timestamp_seconds("s").alias("ts"), F.lit(1).cast("bigint").alias("item_id"))
+    placed = o.ranged(df, [F.col("user_id"), F.col("ts"), F.col("event_id")])
+    largest = placed.groupBy("user_id", "_range").count().agg(F.max("count")).first()[0]
+    assert largest <= 2 * len(rows) / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want, before = [], {}
+    for e, u, s in sorted(rows, key=lambda x: (x[1], x[2], x[0])):
+        if u not in before or s - before[u] > 1800:
+            want.append([0, s, s])
+        before[u] = s
+        want[-1] = [want[-1][0] + 1, want[-1][1], s]
+    got = sorted((x["n_events"], x["duration_seconds"]) for x in metrics.sessions(df).collect())
+    assert got == sorted((n, b - a) for n, a, b in want)
