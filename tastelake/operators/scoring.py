@@ -24,7 +24,7 @@ PARTS, PART_QUERIES = 64, 1024
 #: Bytes of the vectors that a task holds: the items of one block.
 BLOCK_BYTES = 64 << 20
 #: Scores that are worked on at once.
-_TILE = 4_000_000
+_TILE = 1_000_000
 _LIST = "ids array<bigint>, scores array<double>"
 
 
@@ -92,7 +92,7 @@ class _Postings:
 
     def scores(self, queries: pa.RecordBatch) -> np.ndarray:
         n, m = queries.num_rows, len(self.ids)
-        out = np.zeros(n * m)
+        out = None
         lists = queries.column("codes")
         code, weight = lists.flatten().to_numpy(), queries.column("weights").flatten().to_numpy()
         owner = np.repeat(np.arange(n), np.diff(np.asarray(lists.offsets)))
@@ -104,8 +104,10 @@ class _Postings:
             for first, stop in _cuts(done, _TILE):
                 count = self.counts[at[first:stop]]
                 place = np.arange(count.sum()) + np.repeat(self.starts[at[first:stop]] - (np.cumsum(count) - count), count)
-                out += np.bincount(np.repeat(owner[first:stop] * m, count) + self.item[place], np.repeat(weight[first:stop], count) * self.weight[place], n * m)
-        out = out.reshape(n, m)
+                at_pair = np.repeat(owner[first:stop] * m, count) + self.item[place]
+                own = np.bincount(at_pair, np.repeat(weight[first:stop], count) * self.weight[place], n * m)
+                out = own if out is None else out + own
+        out = np.zeros((n, m)) if out is None else out.reshape(n, m)
         if self.overlap:
             out = out / np.maximum(queries.column("size").to_numpy()[:, None] + self.sizes[None, :] - out, 1e-300)
         return out
@@ -278,7 +280,7 @@ def _sparse_rows(entries: DataFrame, codes: DataFrame, name: str) -> DataFrame:
 
 def sparse_top_k(
     queries: DataFrame, items: DataFrame, k: int, *, exclude_self: bool = False, overlap: bool = False,
-    index_items: int = INDEX_ITEMS, index_entries: int = INDEX_ENTRIES, part_queries: int = PART_QUERIES,
+    index_items: int = INDEX_ITEMS, index_entries: int = INDEX_ENTRIES, part_queries: int = 2 * PART_QUERIES,
 ) -> DataFrame:
     """Exact best k items per query by the dot product of sparse vectors that share a feature; only scores above 0.
 
