@@ -3,8 +3,9 @@
 Both classes predict the bytes of each word from the four bytes before it (padded at the start). The top order has counts per class; all lower
 orders are continuation counts that both classes share, so a rare expression gets the same backoff probability from both
 and its ratio tells only what the top order knows. Counts come from all labelled rows that may be learned from (folds 1 to 4), summed by Spark. The log ratio of
-a byte in its context has an entry of its own for each gram, and that of a byte which neither class has seen one for each context: 12 bytes an
-entry, so the model grows with the different grams of the labelled rows.
+a byte in its context has an entry of its own for each gram, and that of a byte which neither class has seen one for each context, so the model
+grows with the different grams of the labelled rows. Up to ``BROADCAST_GRAMS`` entries of 12 bytes it travels to the tasks; a larger one stays
+a table: the different words of all texts are spelled once, joined with it by gram and context, and their ratios joined back to the rows by word.
 
 A document is described by the length-normalised log ratio of the whole text and by the log ratios of its two most toxic
 words, raw and per byte. A logistic curve over these is fitted on fold 1 (at most ``FIT_ROWS`` rows) with a model of the counts of folds 2 to 4; the curve
@@ -18,6 +19,7 @@ doc_id is held out (its text form is empty). An empty table gives an empty resul
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ ORDER, DISCOUNT = 5, 0.75
 FIT_ROWS = 50_000
 #: Labels that may travel to every task; with more, they are joined by key.
 BROADCAST_LABELS = 1_000_000
+#: Entries of a model (12 bytes each) that may travel to the driver and every task; a larger model is joined by key.
+BROADCAST_GRAMS = 4_000_000
 START, END = 2, 3
 FEATURES = ("mean", "first", "second", "dense")
 
@@ -158,13 +162,21 @@ class Model:
         return out
 
 
+class Tables(NamedTuple):
+    """A model as tables (g, v): ratios of grams, ratios of bytes unseen in a context, and the number of both."""
+
+    grams: DataFrame
+    contexts: DataFrame
+    entries: int
+
+
 def train(docs: DataFrame) -> Model:
     """docs: w (words), toxic."""
-    return modelled(gram_counts(docs.withColumn("first", F.lit(False))))
+    return collected(modelled(gram_counts(docs.withColumn("first", F.lit(False)))))
 
 
-def modelled(counts: DataFrame) -> Model:
-    """counts: g, c1, c0, with as many rows per g as may be. One row per gram and one per context come to the driver."""
+def modelled(counts: DataFrame) -> Tables:
+    """counts: g, c1, c0, with as many rows per g as may be."""
     grams = counts.groupBy("g").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
     grams = stored(grams, "grams").withColumn("h", F.shiftright("g", 8))
     context = grams.groupBy("h").agg(
@@ -182,16 +194,21 @@ def modelled(counts: DataFrame) -> Model:
 
     ratios = joined.select("g", F.log(p(1) / p(0)).alias("v"))
     unseen = context.select(F.col("h").alias("g"), F.log(weight[1] / weight[0]).alias("v"))
-    return Model(_collected(ratios), _collected(unseen))
+    single = F.col("v").cast("float").alias("v")
+    return Tables(ratios.select("g", single), unseen.select("g", single), grams.count() + context.count())
 
 
-def _collected(values: DataFrame) -> Ratios:
-    found = values.select("g", F.col("v").cast("float").alias("v")).toArrow()
-    return Ratios(found.column("g").to_numpy(), found.column("v").to_numpy())
+def collected(tables: Tables) -> Model:
+    """The model in memory, for tables of a checked size."""
+    found = [t.toArrow() for t in (tables.grams, tables.contexts)]
+    return Model(*(Ratios(f.column("g").to_numpy(), f.column("v").to_numpy()) for f in found))
 
 
-def described(docs: DataFrame, model, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` columns and the features of every row. docs: w; model: a broadcast."""
+def described(docs: DataFrame, tables: Tables, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` columns and the features of every row. docs: w."""
+    if tables.entries > BROADCAST_GRAMS:
+        return joined_features(docs, tables, keep)
+    model = docs.sparkSession.sparkContext.broadcast(collected(tables))
     fields = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +221,46 @@ def described(docs: DataFrame, model, keep: tuple[str, ...]) -> DataFrame:
     return docs.select(*keep, "w").mapInArrow(run, fields + "".join(f", {f} double" for f in FEATURES))
 
 
+def row_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_row, word, n: the different words of each row with their counts."""
+    for part in slices(batches, "w"):
+        unique, index, bounds = coded(part)
+        if len(index):
+            place = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+            pairs, n = np.unique(place * len(unique) + index, return_counts=True)
+            rows = part.column("_row").take(pa.array(pairs // len(unique)))
+            yield pa.RecordBatch.from_arrays([rows, unique.take(pa.array(pairs % len(unique))), pa.array(n)], ["_row", "word", "n"])
+
+
+def spelled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, g: one row for each place of a word."""
+    for part in slices(batches, "word", 1 << 18):
+        grams, word, _ = spelled(part.column("word"))
+        yield pa.RecordBatch.from_arrays([part.column("word").take(pa.array(word)), pa.array(grams)], ["word", "g"])
+
+
+def joined_features(docs: DataFrame, tables: Tables, keep: tuple[str, ...]) -> DataFrame:
+    """As ``described``, with the model left where it is: different words are joined with it, rows with their words.
+
+    Each different word of the table is spelled once. A frequent word is many rows of one side against one of the other, which adaptive
+    execution splits. A row gathers the values of its own different words only.
+    """
+    rows = stored(docs.select(*keep, "w").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    counts = stored(rows.select("_row", "w").mapInArrow(row_words, "_row bigint, word string, n bigint"), "row-words")
+    places = counts.select("word").distinct().mapInArrow(spelled_words, "word string, g bigint").withColumn("h", F.shiftright("g", 8))
+    seen = places.join(tables.grams, "g", "left").join(tables.contexts.select(F.col("g").alias("h"), F.col("v").alias("u")), "h", "left")
+    value = F.coalesce(F.col("v").cast("double"), F.col("u").cast("double"), F.lit(0.0))
+    scored = seen.groupBy("word").agg(F.sum(value).alias("value"), F.count(F.lit(1)).alias("size"))
+    top = F.slice(F.sort_array(F.collect_list(F.struct("value", "n")), asc=False), 1, 2)
+    found = counts.join(scored, "word").groupBy("_row").agg(
+        (F.sum(F.col("value") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("mean"),
+        F.max("value").alias("first"), F.max(F.col("value") / F.col("size")).alias("dense"), top.alias("_top"),
+    )
+    second = F.when(F.col("_top")[0]["n"] > 1, F.col("_top")[0]["value"]).when(F.size("_top") > 1, F.element_at("_top", 2)["value"])
+    found = found.withColumn("second", second).drop("_top")
+    return rows.select(*keep, "_row").join(found, "_row", "left").select(*keep, *[F.coalesce(f, F.lit(0.0)).alias(f) for f in FEATURES])
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> np.ndarray:
     """Weights (means and scales taken in) and intercept of a logistic curve, by Newton steps with a ridge."""
     if len(y) == 0 or y.min() == y.max():
@@ -233,8 +290,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     few = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
     labelled = split.join(F.broadcast(known) if few else known, "doc_id")
     counts = stored(gram_counts(labelled.withColumn("first", fold() == 1)), "counts")
-    share = docs.sparkSession.sparkContext.broadcast
-    fitting, model = share(modelled(counts.filter(~F.col("first")))), share(modelled(counts))
+    fitting, model = modelled(counts.filter(~F.col("first"))), modelled(counts)
     second = known.filter(fold() == 1)
     n = second.count()
     if n > FIT_ROWS:

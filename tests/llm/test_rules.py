@@ -191,6 +191,75 @@ def test_toxicity_learns_spellings_of_the_curves_fold(spark):
     assert sum(x["predicted"] for x in got if not x["toxic"]) <= 0.1 * len(got)
 
 
+def direct_log_ratio(toxic, ordinary, word):
+    """Interpolated Kneser-Ney of order 5 written out: class counts at the top, continuation counts of both classes below."""
+    order, d = toxicity.ORDER, toxicity.DISCOUNT
+
+    def grams(w):
+        text = b"\x02" * (order - 1) + w.encode() + b"\x03"
+        return [text[i : i + order] for i in range(len(text) - order + 1)]
+
+    classes = [[g for w in side for g in grams(w)] for side in (toxic, ordinary)]
+    kinds = {order: set(classes[0]) | set(classes[1])}
+    for k in range(order - 1, 0, -1):
+        kinds[k] = {g[1:] for g in kinds[k + 1]}
+
+    def before(g):  # different bytes seen before a shorter gram
+        return sum(x[1:] == g for x in kinds[len(g) + 1])
+
+    def backoff(g):
+        if len(g) == 1:
+            total = len(kinds[2])
+            return max(before(g) - d, 0) / total + d / 256
+        same = [x for x in kinds[len(g)] if x[:-1] == g[:-1]]
+        total = sum(before(x) for x in same)
+        return max(before(g) - d, 0) / total + d * len(same) / total * backoff(g[1:])
+
+    def p(side, g):
+        same = [x for x in side if x[:-1] == g[:-1]]
+        weight = d * len(set(same)) / len(same) if same else 1.0
+        top = max(same.count(g) - d, 0) / len(same) if same else 0.0
+        return weight, top + weight * (backoff(g[1:]) if g in kinds[order] else 0)
+
+    out = 0.0
+    for g in grams(word):
+        (w1, p1), (w0, p0) = p(classes[0], g), p(classes[1], g)
+        out += math.log(p1 / p0) if g in kinds[order] else math.log(w1 / w0)
+    return out
+
+
+def test_toxicity_is_kneser_ney(spark):
+    toxic, ordinary = "grumvash grumble ash vash ash".split(), "grain ash rumble mash brain stumble".split()
+    docs = spark.createDataFrame([(" ".join(toxic), 1), (" ".join(ordinary), 0)], "text string, toxic int")
+    model = toxicity.train(docs.select(F.split("text", " ").alias("w"), "toxic"))
+    asked = ["grumvash", "grumble", "ash", "mash", "grumb", "stash", "é", "zzz"]
+    ratio, size = model.words(pa.array(asked))
+    assert size.tolist() == [len(w.encode()) + 1 for w in asked]
+    assert ratio == pytest.approx([direct_log_ratio(toxic, ordinary, w) for w in asked], abs=1e-5)
+
+
+def test_toxicity_by_keys_equals_the_model_in_memory(spark, docs, monkeypatch):
+    texts = docs.select("doc_id", "text").filter("text IS NOT NULL").collect()
+    labels = spark.createDataFrame([(r["doc_id"], int(i % 3 == 0)) for i, r in enumerate(texts)], "doc_id bigint, toxic int")
+    columns = ("doc_id", "held_out", "score")
+
+    def scores():
+        return sorted(((r[0] is None, r[0] or 0, r[1], r[2]) for r in toxicity.toxicity(docs, labels).select(*columns).collect()))
+
+    broadcast = scores()
+    monkeypatch.setattr(toxicity, "BROADCAST_GRAMS", 0)
+    monkeypatch.setattr(toxicity, "collected", lambda tables: pytest.fail("the model came to the driver"))
+    joined = scores()
+    assert [r[:3] for r in joined] == [r[:3] for r in broadcast] and len(joined) == docs.count()
+    assert [r[3] for r in joined] == pytest.approx([r[3] for r in broadcast], abs=1e-9)
+
+
+def test_toxicity_model_as_tables_without_grams(spark, nothing, monkeypatch):
+    monkeypatch.setattr(toxicity, "BROADCAST_GRAMS", -1)
+    labels = spark.createDataFrame([(1, 1)], "doc_id bigint, toxic int")
+    assert toxicity.toxicity(nothing, labels).collect() == []
+
+
 def test_raised_rule_version_gives_its_own_spans(spark):
     from dataclasses import replace
 
