@@ -68,6 +68,15 @@ def _beta_tail(t: float, df: float) -> float:
     return 1.0 - front * fraction(1.0 - x, b, a) / b
 
 
+def student_p_sql(t: str, df: str, steps: int = 2000) -> str:
+    """Two-sided p-value of Student's t as SQL text, by Simpson's rule over the density from 0 to |t|."""
+    x = f"(abs({t}) * i / {steps}::DOUBLE)"
+    weight = f"(CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    area = f"list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * pow(1 + {x} * {x} / {df}, -({df} + 1) / 2::DOUBLE)))"
+    scale = f"exp(lgamma(({df} + 1) / 2::DOUBLE) - lgamma({df} / 2::DOUBLE)) / sqrt({df} * pi())"
+    return f"(1 - 2 * {scale} * {area} * abs({t}) / {3 * steps}::DOUBLE)"
+
+
 def student_p(t: Column, df: Column) -> Column:
     """Two-sided p-value of Student's t, for the few rows of a finished read-out."""
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,15 +80,18 @@ def coverage(recs: DataFrame, items: DataFrame) -> DataFrame:
 
 def intra_list_diversity(recs: DataFrame, item_vectors: DataFrame) -> DataFrame:
     """Mean pairwise 1 - cosine per user, without building pairs: the sum of all pair products of unit vectors is
-    (|sum|^2 - n) / 2."""
+    (|sum|^2 - n) / 2. Vectors are added whole; items without one do not count."""
     from tastelake.functions.scalar import unit
 
-    rows = recs.select("user_id", "item_id").join(item_vectors.select("item_id", unit("vector").alias("u")), "item_id")
-    parts = rows.select("user_id", F.posexplode("u").alias("d", "x"))
-    sums = parts.groupBy("user_id", "d").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count(F.lit(1)).alias("n"))
-    total = sums.groupBy("user_id").agg(
-        F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum("q").alias("qq"), F.max("n").alias("n")
+    def square(u: Column) -> Column:
+        return F.aggregate(u, F.lit(0.0), lambda s, x: s + x * x)
+
+    units = item_vectors.filter("vector IS NOT NULL").select("item_id", unit("vector").alias("u"))
+    rows = recs.select("user_id", "item_id").join(units, "item_id")
+    sums = rows.groupBy("user_id").agg(
+        Summarizer.sum(array_to_vector("u")).alias("s"), F.sum(square(F.col("u"))).alias("qq"), F.count(F.lit(1)).alias("n")
     )
+    total = sums.withColumn("ss", square(vector_to_array("s")))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     return total.select(
         "user_id", F.when(F.col("n") < 2, F.lit(0.0)).otherwise(1 - (F.col("ss") - F.col("qq")) / 2 / F.greatest(pairs, F.lit(1.0))).alias("diversity")

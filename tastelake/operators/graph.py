@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,16 +43,17 @@ def reach(edges: DataFrame, seed_items: DataFrame, hops: int) -> DataFrame:
 
 
 def _mean_vectors(links: DataFrame, vectors: DataFrame, source: str, target: str) -> DataFrame:
-    """Mean of the source vectors per target, in long form (target, d, x)."""
+    """Mean of the source vectors per target (target, vector), with partial sums of whole vectors."""
     joined = links.select(source, target).join(vectors, source)
-    return joined.groupBy(target, "d").agg(F.avg("x").alias("x"))
+    return joined.groupBy(target).agg(Summarizer.mean(F.col("vector")).alias("vector"))
 
 
 def propagated_vectors(edges: DataFrame, item_vectors: DataFrame) -> DataFrame:
     """Item vectors averaged over users and back: (item_id, d, x)."""
-    long = item_vectors.select("item_id", F.posexplode("vector").alias("d", "x"))
-    users = _mean_vectors(edges, long, "item_id", "user_id")
-    return _mean_vectors(edges, users, "user_id", "item_id")
+    whole = item_vectors.filter("vector IS NOT NULL").select("item_id", array_to_vector("vector").alias("vector"))
+    users = _mean_vectors(edges, whole, "item_id", "user_id")
+    items = _mean_vectors(edges, users, "user_id", "item_id")
+    return items.select("item_id", F.posexplode(vector_to_array("vector")).alias("d", "x"))
 
 
 def communities(edges: DataFrame, rounds: int) -> DataFrame:

@@ -145,11 +145,15 @@ def recommend(
     )
 
 
-def normalised(signals: DataFrame) -> DataFrame:
-    """Min-max per (user, signal); a signal list is a top-k list, so its window is short."""
+def normalised(signals: DataFrame, digits: int | None = None) -> DataFrame:
+    """Min-max per (user, signal); a signal list is a top-k list, so its window is short.
+
+    ``digits``: scores that are sums count as equal up to so many decimals.
+    """
     spec = Window.partitionBy("user_id", "signal")
     low, high = F.min("score").over(spec), F.max("score").over(spec)
-    scaled = F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(F.lit(1.0))
+    apart = high > low if digits is None else F.round(high - low, digits) > 0
+    scaled = F.when(apart, (F.col("score") - low) / (high - low)).otherwise(F.lit(1.0))
     return signals.select("user_id", "signal", "item_id", scaled.alias("score"))
 
 
@@ -162,6 +166,25 @@ def stack_signals(signals: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def rare_genres(signals: DataFrame, item_genres: DataFrame) -> DataFrame:
+    """Candidates of a user (user_id, item_id, score): mean over the item's genres of 1 - the genre's share of the user's candidates.
+
+    Candidates are the items that any signal lists, each once; an item without a genre has no row.
+    """
+    pool = signals.select("user_id", "item_id").distinct()
+    tagged = pool.join(item_genres.select("item_id", "genre").distinct(), "item_id")
+    held = tagged.groupBy("user_id", "genre").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = pool.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+    share = tagged.join(held, ["user_id", "genre"]).join(sizes, "user_id")
+    return share.groupBy("user_id", "item_id").agg(F.avg(1 - F.col("_c") / F.col("_n")).alias("score"))
+
+
+def cold_items(items: DataFrame, interactions: DataFrame, fewer_than: int = 1) -> DataFrame:
+    """Items (item_id) with fewer than so many interactions; those without any are among them."""
+    warm = interactions.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= fewer_than)
+    return items.select("item_id").join(warm, "item_id", "left_anti")
+
+
 def weight_of(weights: Mapping[str, float]) -> Column:
     """Weight of the row's signal; signals without an entry weigh 0, so dropping one leaves the rest working."""
     w = F.lit(0.0)

@@ -134,3 +134,21 @@ def busy_users(access: DataFrame, limit: int, window: str = "1 hour", slide: str
     """Users with more than ``limit`` accesses in a sliding window."""
     counts = access.groupBy("user_id", F.window("ts", window, slide).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return counts.filter(F.col("n") > limit).select("user_id", F.unix_timestamp("w.start").alias("window_start"), "n")
+
+
+def inputs_of(df: DataFrame, folder: str) -> list[str]:
+    """Tables below a folder that the plan of a frame reads, as Spark resolves its files."""
+    below = [path.split(folder.rstrip("/") + "/", 1) for path in df.inputFiles()]
+    return sorted({parts[1].split("/")[0].split(".")[0] for parts in below if len(parts) == 2})
+
+
+def catalog(datasets: Mapping[str, tuple[DataFrame, str, str, int | None, str]], folder: str) -> DataFrame:
+    """name, owner, sensitivity, retention_days, freshness, inputs, n_rows, n_columns of each (frame, owner, sensitivity, days, freshness)."""
+    out = None
+    for name, (df, owner, level, days, freshness) in datasets.items():
+        row = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("name"), F.lit(owner).alias("owner"), F.lit(level).alias("sensitivity"), F.lit(days).cast("int").alias("retention_days"),
+            F.lit(freshness).alias("freshness"), F.lit(",".join(inputs_of(df, folder))).alias("inputs"), "n_rows", F.lit(len(df.columns)).alias("n_columns"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out

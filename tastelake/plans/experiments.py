@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tastelake.functions.stats import two_sided_p_sql
+from tastelake.functions.stats import student_p_sql, two_sided_p_sql
 from tastelake.operators import evaluate, experiment, hybrid, profile
 from tastelake.operators.cf import POISSON_ONE
 from tastelake.plans.collaborative import _POISSON, _pulls
@@ -61,7 +61,8 @@ def _values(v):
     "ab_readout",
     "B5",
     sql(f"""SELECT n_control, n_treatment, control_mean, treatment_mean, round(lift, 6) AS lift, round(t, 6) AS t,
-              round({two_sided_p_sql('t')}, 6) AS p_normal FROM (
+              round({two_sided_p_sql('t')}, 6) AS p_normal, round({student_p_sql('t', '(n_control + n_treatment - 2)')}, 6) AS p_value,
+              {student_p_sql('t', '(n_control + n_treatment - 2)')} < 0.05 AS significant FROM (
               SELECT *, treatment_mean / control_mean - 1 AS lift, (control_mean - treatment_mean) / sqrt(
                 ((n_control - 1) * vc + (n_treatment - 1) * vt) / (n_control + n_treatment - 2) * (1 / n_control::DOUBLE + 1 / n_treatment::DOUBLE)) AS t FROM (
               SELECT count(*) FILTER (WHERE grp = 'control') AS n_control, count(*) FILTER (WHERE grp = 'treatment') AS n_treatment,
@@ -70,8 +71,8 @@ def _values(v):
 )
 def ab_readout(v):
     out = experiment.ab_readout(_values(v), "rating")
-    rounded_ = [F.round(c, 6).alias(c) for c in ("lift", "t", "p_normal")]
-    return out.select("n_control", "n_treatment", "control_mean", "treatment_mean", *rounded_)
+    rounded_ = [F.round(c, 6).alias(c) for c in ("lift", "t", "p_normal", "p_value")]
+    return out.select("n_control", "n_treatment", "control_mean", "treatment_mean", *rounded_, "significant")
 
 
 @query(

@@ -156,7 +156,7 @@ def _cards_sql(source: str, algorithm: str, text_: str) -> str:
 )
 def recommend_cards(v):
     return hybrid.recommend(
-        v.users, "collaborative", lists={"collaborative": cf_lists(v)}, trending_top=trending_top(v), items=v.items, seen=v.ratings
+        v.users, "collaborative", lists={"collaborative": cf_lists(v)}, trending_top=trending_top(v), items=v.items, seen=v.stored_ratings
     )
 
 
@@ -167,7 +167,7 @@ def recommend_cards(v):
 )
 def recommend_hybrid(v):
     return hybrid.recommend(
-        v.users, "hybrid", lists={"hybrid": hybrid_lists(v)}, trending_top=trending_top(v), items=v.items, seen=v.ratings
+        v.users, "hybrid", lists={"hybrid": hybrid_lists(v)}, trending_top=trending_top(v), items=v.items, seen=v.stored_ratings
     )
 
 
@@ -231,7 +231,7 @@ def content_user_recs(v):
 def cold_item_recs(v):
     """Items nobody has touched yet, ranked by the genres of what a user clicked or bought."""
     liked = v.interactions.filter(F.col("interaction_type").isin("click", "purchase")).withColumn("rating", F.lit(1.0))
-    cold = v.items.join(v.interactions, "item_id", "left_anti").select("item_id")
+    cold = hybrid.cold_items(v.items, v.interactions)
     return hybrid.content_recs(liked, v.item_genres, 10, candidates=cold)
 
 
@@ -253,6 +253,33 @@ def late_fusion(v):
     return hybrid.fuse(hybrid.normalised(signals(v)), hybrid.weight_of(hybrid.LATE_FUSION_WEIGHTS))
 
 
+_DIVERSE = {
+    **{name: text_ for name, text_ in _GENRE.items() if name != "fused"},
+    "pool": "SELECT DISTINCT user_id, item_id FROM signals",
+    "pool_genres": "SELECT user_id, genre, count(*) AS c FROM pool JOIN item_genres USING (item_id) GROUP BY user_id, genre",
+    "pool_sizes": "SELECT user_id, count(*) AS n FROM pool GROUP BY user_id",
+    "rarity": """SELECT user_id, item_id, avg(1 - coalesce(c, 0) / n::DOUBLE) AS score FROM pool JOIN item_genres USING (item_id)
+                 JOIN pool_genres USING (user_id, genre) JOIN pool_sizes USING (user_id) GROUP BY user_id, item_id""",
+    "five": """SELECT user_id, signal, item_id, score FROM normal UNION ALL
+               SELECT user_id, 'diversity', item_id, CASE WHEN round(hi - lo, 12) > 0 THEN (score - lo) / (hi - lo) ELSE 1 END FROM (
+                 SELECT *, min(score) OVER (PARTITION BY user_id) AS lo, max(score) OVER (PARTITION BY user_id) AS hi FROM rarity)""",
+    "fused": _GENRE["fused"].replace("FROM normal JOIN", "FROM five JOIN"),
+}
+
+
+@query(
+    "late_fusion_diversity",
+    "R9 R15",
+    sql(f"SELECT user_id, CAST(rank AS INTEGER) AS rank, item_id, {rounded('s', 6)} AS score FROM fused", _DIVERSE),
+)
+def late_fusion_diversity(v):
+    """Late fusion with its fifth signal: how rare an item's genres are among what the other signals offer the user."""
+    four = stored(signals(v), "signals")
+    rare = hybrid.rare_genres(four, v.item_genres)
+    both = hybrid.normalised(four).unionByName(hybrid.normalised(hybrid.stack_signals({"diversity": rare}), digits=12))
+    return hybrid.fuse(both, hybrid.weight_of(hybrid.LATE_FUSION_WEIGHTS))
+
+
 @query(
     "fusion_without_cf",
     "R14 ablation",

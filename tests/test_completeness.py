@@ -1,11 +1,12 @@
 """Nothing is cut: hot users, texts in any script, open sessions, complete explanations."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tastelake.operators import cf, evaluate, hybrid, text, trending
+from tastelake.operators import cf, evaluate, graph, hybrid, learned, quality, text, trending
 from tastelake.session import shared_dir, work_path
 from tastelake.streaming import jobs
 
@@ -144,3 +145,57 @@ def test_dictionary_only_grows(spark):
     rows = spark.createDataFrame([("c", 1), ("a", 2), ("zz", 3), (None, 4)], "u string, x int")
     coded = dictionary.encoded(rows, "u", two)
     assert sorted((r["u"], r["x"]) for r in dictionary.decoded(coded, "u", two).collect()) == [("a", 2), ("c", 1)]
+
+
+def test_cold_items_below_a_count(spark):
+    items = spark.createDataFrame([(i,) for i in range(1, 6)], "item_id bigint")
+    seen = spark.createDataFrame([(1,)] * 3 + [(2,)] * 2 + [(3,), (None,)], "item_id bigint")
+    assert sorted(r[0] for r in hybrid.cold_items(items, seen).collect()) == [4, 5]
+    assert sorted(r[0] for r in hybrid.cold_items(items, seen, fewer_than=3).collect()) == [2, 3, 4, 5]
+    assert hybrid.cold_items(items, seen.limit(0), fewer_than=3).count() == 5
+
+
+def test_rare_genres_of_candidates(spark):
+    lists = spark.createDataFrame([(1, "cf", 10, 1.0), (1, "trending", 10, 0.5), (1, "cf", 11, 0.9), (1, "content", 12, 0.1), (2, "cf", 10, 1.0)],
+                                  "user_id bigint, signal string, item_id bigint, score double")
+    genres = spark.createDataFrame([(10, "a"), (11, "a"), (12, "b"), (12, "a"), (13, "b")], "item_id bigint, genre string")
+    got = {(r["user_id"], r["item_id"]): r["score"] for r in hybrid.rare_genres(lists, genres).collect()}
+    assert got == pytest.approx({(1, 10): 0.0, (1, 11): 0.0, (1, 12): (2 / 3 + 0) / 2, (2, 10): 0.0})
+
+
+def test_select_features_passes_over_repeats_and_constants(spark):
+    r = random.Random(4)
+    rows = []
+    for _ in range(400):
+        x, y = r.random(), r.random()
+        rows.append((2 * x + y + 0.1 * r.random(), x, -3 * x + 1, y, 7.0, r.random()))
+    df = spark.createDataFrame(rows, "target double, x double, again double, y double, same double, noise double")
+    got = learned.select_features(df, ["x", "again", "y", "same", "noise"], "target", keep=2)
+    assert [g[0] for g in got if g[3]] == ["again", "y"] and got[1][0] == "x"
+    assert got[-1][:2] == ("same", None) and [g[2] for g in got] == [1, 2, 3, 4, 5]
+
+
+def test_category_counts_take_the_categories_of_the_data(spark):
+    df = spark.createDataFrame([("k", "Red"), ("k", "Red"), ("l", "blue"), ("l", None)], "key string, kind string")
+    got = {r["key"]: r.asDict() for r in learned.category_counts(df, "key", "kind").collect()}
+    assert got == {"k": {"key": "k", "is_blue": 0, "is_red": 2}, "l": {"key": "l", "is_blue": 1, "is_red": 0}}
+
+
+def test_catalog_reads_inputs_from_the_plan(spark):
+    from tastelake.sources.views import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    assert quality.inputs_of(v.ratings, v.folder) == ["lineitem", "orders"]
+    row = quality.catalog({"users": (v.users, "Data Team", "confidential", None, "daily")}, v.folder).first()
+    assert (row["inputs"], row["retention_days"], row["n_rows"]) == ("customer", None, v.users.count())
+
+
+def test_list_quality_with_whole_vectors(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, None), (4, [3.0, 0.0])], "item_id bigint, vector array<double>")
+    lists = spark.createDataFrame([(7, 1), (7, 2), (7, 3), (7, 4), (8, 1)], "user_id bigint, item_id bigint")
+    got = dict(evaluate.intra_list_diversity(lists, vectors).collect())
+    assert got == pytest.approx({7: 2 / 3, 8: 0.0})
+    spread = {(r["item_id"], r["d"]): r["x"] for r in graph.propagated_vectors(lists, vectors).collect()}
+    mean = (4 / 3, 2 / 3)
+    assert spread[(2, 0)] == pytest.approx(mean[0]) and spread[(3, 1)] == pytest.approx(mean[1])
+    assert spread[(1, 0)] == pytest.approx((mean[0] + 1) / 2)
