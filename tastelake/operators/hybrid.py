@@ -21,6 +21,9 @@ TRENDING_POOL = 200
 SIMILAR_WEIGHTS = {"cf": 0.45, "content": 0.30}
 LATE_FUSION_WEIGHTS = {"cf": 0.30, "content": 0.25, "ncf": 0.20, "trending": 0.15, "diversity": 0.10}
 
+#: Rated items of a user that are compared in one part; longer histories are cut.
+HISTORY_ROWS = 50_000
+
 
 def _best(df: DataFrame, score: str, n: int) -> DataFrame:
     return top_n(df, ["user_id"], [F.round(score, 10).desc(), F.col("item_id")], n)
@@ -250,17 +253,23 @@ def content_recs(
 def explain_by_item(recs: DataFrame, ratings: DataFrame, item_vectors: DataFrame) -> DataFrame:
     """The rated item that speaks most for a recommendation: highest cosine similarity x rating, over all rated items.
 
-    The work is list length x history per user, joined on the user. Without a rated item that has a vector the row has nulls.
+    The work is list length x history per user. A history of more than ``HISTORY_ROWS`` is cut into parts by item, and the user's short list
+    goes to each, so no user is one group. Without a rated item that has a vector the row has nulls.
     """
+    sizes = ratings.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / HISTORY_ROWS).alias("_parts"))
+    longer = stored(sizes.filter(F.col("_parts") > 1), "long-histories")
+    parts = F.coalesce("_parts", F.lit(1))
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     sized = item_vectors.select("item_id", "vector", F.when(length > 0, length).otherwise(1.0).alias("_l"))
     units = sized.select("item_id", F.transform("vector", lambda x: x / F.col("_l")).alias("unit"))
-    pairs = recs.select("user_id", "item_id").join(units, "item_id")
+    lists = recs.select("user_id", "item_id").join(units, "item_id").join(longer, "user_id", "left")
+    pairs = lists.select("user_id", "item_id", "unit", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("_part"))
     rated = ratings.select("user_id", F.col("item_id").alias("rated_id"), "rating").join(
         units.select(F.col("item_id").alias("rated_id"), F.col("unit").alias("other")), "rated_id"
     )
+    rated = rated.join(longer, "user_id", "left").withColumn("_part", F.pmod(F.xxhash64("rated_id"), parts)).drop("_parts")
     sim = F.aggregate(F.zip_with("unit", "other", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    scored = pairs.join(rated, "user_id").select("user_id", "item_id", "rated_id", (sim * F.col("rating")).alias("strength"))
+    scored = pairs.join(rated, ["user_id", "_part"]).select("user_id", "item_id", "rated_id", (sim * F.col("rating")).alias("strength"))
     weight = F.struct(F.round("strength", 8), -F.col("rated_id"))
     best = scored.groupBy("user_id", "item_id").agg(
         F.max_by("rated_id", weight).alias("because_item"), F.round(F.max("strength"), 6).alias("strength")

@@ -199,3 +199,28 @@ def test_list_quality_with_whole_vectors(spark):
     mean = (4 / 3, 2 / 3)
     assert spread[(2, 0)] == pytest.approx(mean[0]) and spread[(3, 1)] == pytest.approx(mean[1])
     assert spread[(1, 0)] == pytest.approx((mean[0] + 1) / 2)
+
+
+def test_explanations_of_a_history_in_parts(spark, monkeypatch):
+    r = random.Random(6)
+    vectors = {i: [r.uniform(-1, 1) for _ in range(4)] for i in range(60)}
+    seen = [(u, i, float(r.randint(1, 5))) for u in (1, 2, 3) for i in r.sample(range(60), (40, 3, 1)[u - 1])] + [(4, 99, 5.0)]
+    lists = [(u, i) for u in (1, 2, 3, 4, 5) for i in r.sample(range(60), 4)]
+    frames = (
+        spark.createDataFrame(lists, "user_id bigint, item_id bigint"),
+        spark.createDataFrame(seen, "user_id bigint, item_id bigint, rating double"),
+        spark.createDataFrame(list(vectors.items()), "item_id bigint, vector array<double>"),
+    )
+
+    def cosine(a, b):
+        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+
+    want = {}
+    for u, i in lists:
+        known = [(cosine(vectors[i], vectors[j]) * x, -j) for v, j, x in seen if v == u and j in vectors]
+        want[u, i] = (-max(known)[1], round(max(known)[0], 6)) if known else (None, None)
+    for rows in (hybrid.HISTORY_ROWS, 7):
+        monkeypatch.setattr(hybrid, "HISTORY_ROWS", rows)
+        got = {(x["user_id"], x["item_id"]): (x["because_item"], x["strength"]) for x in hybrid.explain_by_item(*frames).collect()}
+        assert {k: x[0] for k, x in got.items()} == {k: x[0] for k, x in want.items()}
+        assert all(got[k][1] == pytest.approx(want[k][1], abs=2e-6) if want[k][1] is not None else got[k][1] is None for k in want)
