@@ -68,6 +68,38 @@ def test_hot_item_hands_on_k_pairs_per_id(spark):
     assert len(best) <= 7 * 15 and all(r["key"] < r["item_id"] for r in best)
 
 
+@pytest.mark.parametrize("task_entries", [0, 350, 8_000_000])
+@pytest.mark.parametrize("measure", ["cosine", "pearson", "jaccard"])
+def test_shared_row_top_in_row_blocks(spark, monkeypatch, measure, task_entries):
+    """One block, many blocks with rows in pieces, and the grid for what fits no block: the same neighbours."""
+    monkeypatch.setattr(blocks, "_PIECE", 4)
+    monkeypatch.setattr(blocks, "_PAIR_BUDGET", 100)
+    cells, k = rated_cells(), 4
+    if task_entries == 350:  # without the hot column, which fits no task
+        cells = {(r, c): v for (r, c), v in cells.items() if c != 7}
+        monkeypatch.setattr(blocks, "_grid_top", None)
+    df = spark.createDataFrame([(r, c - 9, v) for (r, c), v in cells.items()], "r bigint, c bigint, v double")
+    score = {"cosine": blocks.COSINE, "pearson": blocks.PEARSON, "jaccard": blocks.JACCARD}[measure]
+    rows = blocks.shared_row_top(df, "r", "c", "v", score, k, min_support=3, column_block=8, task_entries=task_entries).collect()
+    want = direct_scores(cells, measure, 3)
+    got = {(x["key"] + 9, x["item_id"] + 9): x["score"] for x in rows}
+    assert len(got) == len(rows)
+    for pair, value in got.items():
+        assert value == pytest.approx(want[pair])
+    for a in range(30):
+        best = sorted((b for (x, b) in want if x == a), key=lambda b: (-round(want[a, b], 10), b))[:k]
+        assert all((a, b) in got for b in best)
+
+
+def test_sparse_columns_hand_on_k_rows_in_all(spark):
+    """Many columns in short rows: no grid of cells, so a column has its k best once and not once a cell."""
+    rng = np.random.default_rng(8)
+    cells = sorted({(int(r), int(c)) for r, c in zip(np.repeat(np.arange(1500), 8), rng.integers(0, 5000, 12000))})
+    df = spark.createDataFrame([(r, c, 1.0) for r, c in cells], "r bigint, c bigint, v double")
+    found = blocks.shared_row_top(df, "r", "c", "v", blocks.COSINE, 2)
+    assert found.groupBy("key").count().agg(F.max("count")).first()[0] == 2
+
+
 @pytest.mark.parametrize("block_items", [None, 9])
 def test_vector_top_k_masks_seen_before_the_cut(spark, block_items):
     rng = np.random.default_rng(1)
