@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tastelake.functions.scalar import draw, ratio
 from tastelake.operators import cf
 from tastelake.operators.ordering import value_ranks
+from tastelake.session import stored
 
 
 def _ideal(n: Column) -> Column:
@@ -99,13 +100,16 @@ def intra_list_diversity(recs: DataFrame, item_vectors: DataFrame) -> DataFrame:
 
 
 def novelty(recs: DataFrame, popularity: DataFrame) -> DataFrame:
-    """Mean -log2 of the popularity share per user; items without popularity do not count."""
+    """Mean -log2 of the popularity share per user; items without popularity do not count.
+
+    Lists of a few popular items make a tiny file of many rows, which Spark would broadcast by its size. So the lists stay the left side of a left
+    join, and only the popularity of the shown items, stored apart, may travel; means are taken in the same pass.
+    """
     total = popularity.agg(F.sum("pop").cast("double").alias("t")).scalar()
-    known = recs.select("user_id", "item_id").join(popularity.filter("pop > 0"), "item_id")
-    info = known.groupBy("user_id").agg(F.avg(-F.log2(F.col("pop") / total)).alias("novelty"))
-    return recs.select("user_id").distinct().join(info, "user_id", "left").select(
-        "user_id", F.coalesce("novelty", F.lit(0.0)).alias("novelty")
-    )
+    shown = popularity.filter("pop > 0").join(recs.select("item_id").distinct(), "item_id", "left_semi")
+    shown = stored(shown.select("item_id", (-F.log2(F.col("pop") / total)).alias("_info")), "shown")
+    rows = recs.select("user_id", "item_id").join(shown, "item_id", "left")
+    return rows.groupBy("user_id").agg(F.coalesce(F.avg("_info"), F.lit(0.0)).alias("novelty"))
 
 
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -140,7 +144,7 @@ def gini(df: DataFrame, value: str) -> DataFrame:
 def long_tail(recs: DataFrame, popularity: DataFrame, deciles: DataFrame, head_from: float = 0.8) -> DataFrame:
     """Share of tail items (percent rank below the head) that are shown at all."""
     tail = popularity.join(deciles, "pop").filter(F.col("percent_rank") < head_from).select("item_id")
-    shown = tail.join(recs, "item_id", "left_semi").agg(F.count(F.lit(1)).alias("n")).scalar()
+    shown = tail.join(recs.select("item_id").distinct(), "item_id", "left_semi").agg(F.count(F.lit(1)).alias("n")).scalar()
     return tail.agg(F.count(F.lit(1)).alias("n_tail")).select("n_tail", shown.alias("n_shown"), ratio(shown, F.col("n_tail")).alias("share"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tastelake.functions import scalar as s
 from tastelake.functions import stats
 from tastelake.operators import catalog, evaluate, experiment, hybrid, profile, quality, similarity, text
+from tastelake.session import stored
 from tastelake.sources import files, tables
 
 
@@ -194,3 +195,15 @@ def test_fuzzy_titles_equal_brute_force(spark):
     for limit in (1, 2):
         got = {(r["title"], r["other"]) for r in text.fuzzy_titles(df, df, limit).collect()}
         assert got == {(a, b) for a in words for b in words if a < b and distance(a, b) <= limit}
+
+
+def test_novelty_keeps_long_lists_off_the_driver(spark):
+    """Lists of few items are a small file of many rows: no join may broadcast them."""
+    lists = spark.range(300_000).select((F.col("id") % 60_000).alias("user_id"), F.floor(F.col("id") / 60_000).alias("item_id"))
+    lists = stored(lists, "lists")
+    popularity = spark.createDataFrame([(i, 2 ** i) for i in range(4)], "item_id bigint, pop bigint")
+    found = evaluate.novelty(lists, popularity)
+    n, mean = found.agg(F.count(F.lit(1)), F.avg("novelty")).first()
+    assert n == 60_000 and mean == pytest.approx(math.log2(15) - 1.5)
+    plan = found._jdf.queryExecution().toString()
+    assert "BuildLeft" not in plan and plan.split("== Physical Plan ==")[1].count("BroadcastExchange") <= 1
