@@ -329,3 +329,45 @@ def test_queries_train_with_the_documented_settings(views, monkeypatch):
     assert plans.parameter_search(views).count() == 8
     assert asked["halving_search"][0]["rungs"] == (1, 3, 8)
     assert all(32 <= x.factors <= 256 and 0.001 <= x.reg <= 0.101 for x in asked["halving_search"][0]["settings"])
+
+
+@pytest.mark.parametrize("shortest", [1, 10])
+def test_equal_vectors_are_scored_once_a_user(spark, monkeypatch, shortest):
+    """Items in classes of equal vectors, seen ones among the best classes, users without enough in their listed classes: as scoring all items."""
+    monkeypatch.setattr(hybrid, "CLASS_LIST", shortest)
+    compared, plain = [], hybrid.vector_top_k
+    monkeypatch.setattr(hybrid, "vector_top_k", lambda q, i, k, **more: compared.append(i.count()) or plain(q, i, k, **more))
+    rng = np.random.default_rng(3)
+    kinds = rng.integers(0, 3, (30, 4)).astype(float)
+    kinds[4] = kinds[5]
+    rows = [(i, kinds[i % 30].tolist()) for i in range(300)]
+    users = [(u, rng.integers(0, 3, 4).astype(float).tolist()) for u in range(40)]
+    seen = {(u, int(i)) for u in range(39) for i in rng.integers(0, 300, 25)} | {(39, i) for i in range(296)}
+    items_df, users_df = spark.createDataFrame(rows, "item_id bigint, vector array<double>"), spark.createDataFrame(users, "user_id bigint, vector array<double>")
+    seen_df = spark.createDataFrame(sorted(seen), "user_id bigint, item_id bigint")
+    found = {}
+    for r in hybrid.score_unseen_classes(users_df, items_df, seen_df, 12).collect():
+        found.setdefault(r["user_id"], []).append((r["rank"], r["item_id"], r["score"]))
+    assert compared[0] <= 30
+    for u, vector in users:
+        scores = {i: float(np.dot(vector, v)) for i, v in rows if (u, i) not in seen}
+        want = sorted(scores, key=lambda i: (-scores[i], i))[:12]
+        assert sorted(found[u]) == [(n, i, scores[i]) for n, i in enumerate(want, 1)]
+
+
+def test_equal_sparse_vectors_are_one_class(spark, monkeypatch):
+    """Copies and near copies: neighbours as by brute force, and each different vector is asked once."""
+    asked, plain = [], scoring._round
+    monkeypatch.setattr(scoring, "_round", lambda queries, *rest: asked.append(queries.count()) or plain(queries, *rest))
+    rng = np.random.default_rng(4)
+    kinds = [sorted({int(x) for x in rng.integers(0, 12, 3)}) for _ in range(15)]
+    sets = {i: kinds[i % 15] for i in range(90)}
+    df = spark.createDataFrame([(i, f, 1.0) for i, own in sets.items() for f in own], "id bigint, feature int, weight double")
+    found = {}
+    for r in scoring.sparse_top_k(df, df, 7, exclude_self=True, overlap=True).collect():
+        found.setdefault(r["key"], []).append((r["rank"], r["item_id"], round(r["score"], 9)))
+    assert asked[0] <= 15
+    for a, own in sets.items():
+        scores = {b: len({*own} & {*other}) / len({*own} | {*other}) for b, other in sets.items() if b != a and {*own} & {*other}}
+        want = sorted(scores, key=lambda b: (-round(scores[b], 10), b))[:7]
+        assert sorted(found[a]) == [(n, b, round(scores[b], 9)) for n, b in enumerate(want, 1)]
