@@ -207,3 +207,23 @@ def test_novelty_keeps_long_lists_off_the_driver(spark):
     assert n == 60_000 and mean == pytest.approx(math.log2(15) - 1.5)
     plan = found._jdf.queryExecution().toString()
     assert "BuildLeft" not in plan and plan.split("== Physical Plan ==")[1].count("BroadcastExchange") <= 1
+
+
+def test_feature_vectors_are_in_no_late_shuffle(spark):
+    """The factor score is taken where both vectors meet, so no shuffle carries both."""
+    from tastelake.operators import cf
+
+    rated = stored(spark.createDataFrame([(u, i, 1.0 + (u + i) % 5) for u in range(4) for i in range(3)], "user_id bigint, item_id bigint, rating double"), "rated")
+    users = stored(spark.createDataFrame([(u, [1.0, float(u)]) for u in range(4)], "user_id bigint, vector array<double>"), "users")
+    items = stored(spark.createDataFrame([(i, [float(i), 2.0]) for i in range(3)], "item_id bigint, vector array<double>"), "items")
+    alignment = stored(rated.select("user_id", "item_id", F.lit(0.5).alias("alignment")), "alignment")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = cf.feature_table(rated, users, items, alignment)
+        plan = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+        rows = {(r["user_id"], r["item_id"]): r["cf_score"] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == {(u, i): float(i + 2 * u) for u in range(4) for i in range(3)}
+    moved = [part for part in plan.split("\n\n") if ") Exchange" in part.split("\n")[0]]
+    assert moved and not any("user_vector" in part and "item_vector" in part for part in moved)
