@@ -281,6 +281,22 @@ def test_halving_stops_losers(spark):
     assert drawn == learned.drawn_settings(50) and all(32 <= s.factors <= 256 and 0.001 <= s.reg <= 0.101 for s in drawn)
 
 
+def test_word_vectors_of_several_trainers(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    topics = [[f"{t}{n}" for n in range(6)] for t in "ab"]
+    rows = [(n, [str(w) for w in r.choice(topics[n % 2], 40)]) for n in range(400)] + [(400, []), (401, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, tokens array<string>")
+    asked = []
+    real = learned.Word2Vec
+    monkeypatch.setattr(learned, "Word2Vec", lambda **settings: asked.append(settings["numPartitions"]) or real(**settings))
+    monkeypatch.setattr(learned, "TRAINER_WORDS", 4000)
+    got = {x["doc_id"]: np.array(x["vector"]) for x in learned.text_vectors(df.filter("tokens IS NOT NULL"), "tokens", "doc_id", size=8).collect()}
+    assert asked == [4] and len(got) == 401 and not got[400].any()
+    mean = [np.mean([got[n] for n in range(t, 400, 2)], axis=0) for t in (0, 1)]
+    gaps = [np.mean([np.linalg.norm(got[n] - mean[(n + far) % 2]) for n in range(400)]) for far in (0, 1)]
+    assert gaps[0] < gaps[1] / 2
+
+
 def test_reach_and_communities(spark):
     edges = spark.createDataFrame([(1, 10), (1, 11), (2, 11), (2, 12), (3, 13)], "user_id bigint, item_id bigint")
     seeds = spark.createDataFrame([(10,)], "item_id bigint")
