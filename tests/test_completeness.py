@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,3 +225,45 @@ def test_explanations_of_a_history_in_parts(spark, monkeypatch):
         got = {(x["user_id"], x["item_id"]): (x["because_item"], x["strength"]) for x in hybrid.explain_by_item(*frames).collect()}
         assert {k: x[0] for k, x in got.items()} == {k: x[0] for k, x in want.items()}
         assert all(got[k][1] == pytest.approx(want[k][1], abs=2e-6) if want[k][1] is not None else got[k][1] is None for k in want)
+
+
+@pytest.mark.parametrize("implicit", [True, False])
+def test_als_in_blocks_against_whole_systems(spark, monkeypatch, implicit):
+    from tastelake.operators import als
+
+    monkeypatch.setattr(als, "LEAST_RATINGS", 100)
+    monkeypatch.setattr(als, "CHAIN", 4)
+    rng = np.random.default_rng(3)
+    n, m, f, reg, rounds = 37, 23, 5, 0.03, 3
+    rated = {(u, i): float(rng.integers(1, 11)) / 2 for u in range(n) for i in range(m) if rng.random() < (0.9 if u == 4 else 0.4) or (u, i) in ((n - 1, 0), (0, m - 1))}
+    held = {p for p in rated if sum(p) % 7 == 3}
+    df = spark.createDataFrame([(u, i, x, (u, i) in held) for (u, i), x in rated.items()], "user_index int, item_index int, rating double, held boolean")
+    model = als.Model(df)
+    assert model.users.blocks > 2
+    users, items, error = model.fit(f, reg, rounds, implicit, seed=7)
+
+    x = np.zeros((n, f))
+    starts = als._starts(n, model.users.blocks)
+    for b in range(model.users.blocks):
+        own = np.random.default_rng([7, b]).normal(size=(starts[b + 1] - starts[b], f))
+        x[starts[b] : starts[b + 1]] = own / np.linalg.norm(own, axis=1)[:, None]
+
+    def solve(y, side, count):
+        out = np.zeros((count, f))
+        for a in range(count):
+            mine = [(p[1 - side], r) for p, r in rated.items() if p[side] == a and p not in held]
+            system, right = (y.T @ y if implicit else np.zeros((f, f))) + reg * len(mine) * np.eye(f), np.zeros(f)
+            for b, r in mine:
+                system += (r if implicit else 1) * np.outer(y[b], y[b])
+                right += (1 + r if implicit else r) * y[b]
+            out[a] = np.linalg.solve(system, right)
+        return out
+
+    for _ in range(rounds):
+        y = solve(x, 1, m)
+        x = solve(y, 0, n)
+    for got, want in ((users, x), (items, y)):
+        rows = {r[0]: r["vector"] for r in got.collect()}
+        assert len(rows) == len(want)
+        np.testing.assert_allclose([rows[a] for a in range(len(want))], want, rtol=2e-3, atol=2e-4)
+    assert error == pytest.approx(np.sqrt(np.mean([(x[u] @ y[i] - rated[u, i]) ** 2 for u, i in held])), rel=1e-3)
