@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tastelake.operators import cf, evaluate, graph, hybrid, learned, quality, text, trending
+from tastelake.operators import cf, evaluate, graph, hybrid, learned, quality, similarity, text, trending
 from tastelake.session import shared_dir, work_path
 from tastelake.streaming import jobs
 
@@ -267,3 +267,25 @@ def test_als_in_blocks_against_whole_systems(spark, monkeypatch, implicit):
         assert len(rows) == len(want)
         np.testing.assert_allclose([rows[a] for a in range(len(want))], want, rtol=2e-3, atol=2e-4)
     assert error == pytest.approx(np.sqrt(np.mean([(x[u] @ y[i] - rated[u, i]) ** 2 for u, i in held])), rel=1e-3)
+
+
+def test_collaborative_lists_read_ratings_of_vectors_only(spark):
+    from tastelake.plans import collaborative, recommend
+    from tastelake.sources.views import Views
+
+    whole = Views(spark, "/root/testdata/sf0.001")
+    ratings = whole.stored_ratings
+    users = similarity.weighted_mean_vectors(ratings, whole.item_vectors)
+    want = hybrid.score_unseen(users, whole.item_vectors, ratings, 50)
+    trend = recommend.trending_top(whole)
+    cards = dict(lists={"collaborative": want, "hybrid": hybrid.with_trending(want, trend, ratings)}, trending_top=trend, items=whole.items, seen=ratings)
+    named = want.withColumn("user_id", F.concat(F.lit("user-"), "user_id"))
+    for query, asked in (
+        (recommend.user_scores_top50, want), (recommend.hybrid_user_recs, cards["lists"]["hybrid"]), (collaborative.user_scores_named, named),
+        (recommend.recommend_cards, hybrid.recommend(whole.users, "collaborative", **cards)),
+        (recommend.recommend_hybrid, hybrid.recommend(whole.users, "hybrid", **cards)),
+    ):
+        v = Views(spark, whole.folder)
+        got = query(v)
+        assert sorted(got.collect()) == sorted(asked.select(*got.columns).collect())
+        assert "stored_ratings" not in v.__dict__
