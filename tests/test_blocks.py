@@ -212,6 +212,26 @@ def test_truncated_svd(spark):
     assert values == pytest.approx(np.linalg.svd(matrix)[1][:3], rel=1e-3)
 
 
+def test_grid_products(spark, monkeypatch):
+    from tastelake.operators import products
+
+    monkeypatch.setattr(products, "LEAST_ENTRIES", 30)
+    rng = np.random.default_rng(9)
+    matrix = rng.random((40, 25)) * (rng.random((40, 25)) < 0.4)
+    matrix[3] = rng.random(25)  # a full row
+    rows = [(r, c, float(matrix[r, c])) for r in range(40) for c in range(25) if matrix[r, c]] + [(None, 1, 1.0), (1, None, 1.0)]
+    grid = products.Grid(spark.createDataFrame(rows, "u bigint, i bigint, x double"), "u", "i", "x")
+    assert grid.side > 2
+    for source, target, whole in (("i", "u", matrix), ("u", "i", matrix.T)):
+        known = [n for n in range(whole.shape[1]) if n % 3]
+        y = rng.random((len(known), 2))
+        given = spark.createDataFrame([(n, *map(float, v)) for n, v in zip(known, y)] + [(999, 1.0, 1.0)], f"{source} bigint, f0 double, f1 double")
+        got = {r[target]: (r["f0"], r["f1"]) for r in grid.times(given, ["f0", "f1"], source).collect()}
+        want = whole[:, known] @ y
+        assert set(got) == {n for n in range(len(whole)) if whole[n, known].any()}
+        assert all(got[n] == pytest.approx(want[n]) for n in got)
+
+
 def test_approximate_neighbors_reach_their_recall(spark, views):
     """With the defaults: nine tenths of the exact neighbours of all items, and of the rows with id divisible by 50 against brute force."""
     found = learned.approximate_neighbors(views.item_vectors)
