@@ -407,3 +407,37 @@ def test_equal_sparse_vectors_are_one_class(spark, monkeypatch):
         scores = {b: len({*own} & {*other}) / len({*own} | {*other}) for b, other in sets.items() if b != a and {*own} & {*other}}
         want = sorted(scores, key=lambda b: (-round(scores[b], 10), b))[:7]
         assert sorted(found[a]) == [(n, b, round(scores[b], 9)) for n, b in enumerate(want, 1)]
+
+
+@pytest.mark.parametrize("other_side", [False, True])
+def test_frequent_features_are_multiplied_dense(spark, monkeypatch, other_side):
+    """Many equal scores, negative and tiny weights, ids without an entry: lists as by brute force, from one stage of cells; items are copied less the more indexes there are."""
+    calls, plain = [], scoring._round
+
+    def counted(queries, items, seen, parts, *rest):
+        calls.append((parts, items.select(rest[-1].alias("part")).count()))
+        return plain(queries, items, seen, parts, *rest)
+
+    monkeypatch.setattr(scoring, "_round", counted)
+    monkeypatch.setattr(scoring, "PARTS", 6)
+    rng = np.random.default_rng(21)
+    n, k = 900, 4
+    m = np.where(rng.random((n, 80)) < np.where(np.arange(80) < 12, 0.4, 0.02), rng.integers(-1, 6, (n, 80)), 0).astype(float)
+    m[:300, 40:] = 0.0
+    m[7], m[8], m[9] = 0.0, m[10], 0.0
+    m[9, 3] = 1e-12
+    df = spark.createDataFrame([(a, f"word {f}", float(m[a, f])) for a in range(n) for f in range(80) if m[a, f]], "id bigint, feature string, weight double")
+    scores = m @ m.T
+    for size in (1000, 450):
+        queries = df.filter("id % 3 < 2") if other_side else df
+        got = {}
+        for r in scoring.sparse_top_k(queries, df, k, exclude_self=True, index_items=size, part_queries=200).collect():
+            got.setdefault(r["key"], []).append((r["rank"], r["item_id"], r["score"]))
+        for u in range(n):
+            if other_side and u % 3 == 2:
+                continue
+            order = sorted((i for i in range(n) if i != u and scores[u, i] > 5e-11), key=lambda i: (-round(scores[u, i], 10), i))[:k]
+            assert [(x, i) for x, i, _ in sorted(got.get(u, []))] == list(enumerate(order, 1))
+            assert all(abs(x - scores[u, i]) < 1e-9 for _, i, x in got.get(u, []))
+    assert [c[0] for c in calls] == ([3, 6] if other_side else [5, 6])
+    assert all(copies <= 5 * 900 for _, copies in calls) and calls[1][1] <= 3 * 900
