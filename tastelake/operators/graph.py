@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastelake.functions.scalar import draw
+from tastelake.operators import means
 from tastelake.operators.ordering import top_n
-from tastelake.session import shared_dir
+from tastelake.session import shared_dir, stored
 
 
 def meta_paths(edges: DataFrame, item_genres: DataFrame) -> DataFrame:
@@ -42,18 +41,21 @@ def reach(edges: DataFrame, seed_items: DataFrame, hops: int) -> DataFrame:
     return found
 
 
-def _mean_vectors(links: DataFrame, vectors: DataFrame, source: str, target: str) -> DataFrame:
-    """Mean of the source vectors per target (target, vector), with partial sums of whole vectors."""
-    joined = links.select(source, target).join(vectors, source)
-    return joined.groupBy(target).agg(Summarizer.mean(F.col("vector")).alias("vector"))
-
-
 def propagated_vectors(edges: DataFrame, item_vectors: DataFrame) -> DataFrame:
-    """Item vectors averaged over users and back: (item_id, d, x)."""
-    whole = item_vectors.filter("vector IS NOT NULL").select("item_id", array_to_vector("vector").alias("vector"))
-    users = _mean_vectors(edges, whole, "item_id", "user_id")
-    items = _mean_vectors(edges, users, "user_id", "item_id")
-    return items.select("item_id", F.posexplode(vector_to_array("vector")).alias("d", "x"))
+    """Item vectors averaged over users and back: (item_id, d, x). Ids are integers, vectors of one length.
+
+    No vector travels with a rating: links are packed, and what is shuffled is each of them once per slice of the components and each vector once per group
+    of targets (``means.py``).
+    """
+    links = stored(edges.select("user_id", "item_id"), "links")
+    vectors = item_vectors.filter("vector IS NOT NULL").select("item_id", "vector")
+    width = vectors.agg(F.max(F.size("vector"))).first()[0] or 0
+    parts = max(1, -(-links.count() // means.PART_LINKS))
+    rated = links.join(vectors.select("item_id").distinct(), "item_id", "left_semi")
+    users = means.Links(rated, "item_id", "user_id", parts)
+    items = means.Links(links, "user_id", "item_id", parts)
+    packed = stored(users.means(means.packed_vectors(vectors, "item_id", width, parts), width, False), "user-means")
+    return items.means(packed, width, True)
 
 
 def communities(edges: DataFrame, rounds: int) -> DataFrame:

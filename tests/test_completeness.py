@@ -202,6 +202,36 @@ def test_list_quality_with_whole_vectors(spark):
     assert spread[(1, 0)] == pytest.approx((mean[0] + 1) / 2)
 
 
+def test_propagation_packs_links_in_parts(spark, monkeypatch):
+    """Several parts, groups and slices, ids of any size, repeated links and vectors, ids without a partner: means as by hand, and no plan joins a vector to a link."""
+    from tastelake.operators import means
+
+    r = random.Random(8)
+    users, items = [-5, 0, 3, 2**62, *range(100, 130)], [-(2**62), -1, 0, *range(7, 60)]
+    links = [(u, i) for u in users for i in r.sample(items, r.randint(1, 12))] + [(users[0], items[3])] * 2 + [(None, 7), (3, None)]
+    vectors = [(i, [r.uniform(-1, 1) for _ in range(5)]) for i in items[:30]] + [(items[3], [1.0, 2.0, 3.0, 4.0, 5.0]), (10**9, [0.5] * 5), (59, None)]
+
+    def step(pairs, have):
+        got = {}
+        for a, b in pairs:
+            got.setdefault(b, []).extend(have.get(a, []))
+        return {b: [tuple(np.mean(x, axis=0))] for b, x in got.items() if x}
+
+    known = {}
+    for i, x in vectors:
+        known.setdefault(i, []).extend([x] if x else [])
+    whole = [(u, i) for u, i in links if u is not None and i is not None]
+    want = step(whole, step([(i, u) for u, i in whole], known))
+    frames = spark.createDataFrame(links, "user_id bigint, item_id bigint"), spark.createDataFrame(vectors, "item_id bigint, vector array<double>")
+    for part_links, least, targets in ((means.PART_LINKS, means.LEAST_LINKS, means.GROUP_TARGETS), (40, 20, 10), (15, 1000, 7)):
+        for name, value in (("PART_LINKS", part_links), ("LEAST_LINKS", least), ("GROUP_TARGETS", targets)):
+            monkeypatch.setattr(means, name, value)
+        found = graph.propagated_vectors(*frames)
+        assert "vector" not in " ".join(found.columns) and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        got = {(x["item_id"], x["d"]): x["x"] for x in found.collect()}
+        assert got == pytest.approx({(i, d): x[0][d] for i, x in want.items() for d in range(5)})
+
+
 def test_explanations_of_a_history_in_parts(spark, monkeypatch):
     r = random.Random(6)
     vectors = {i: [r.uniform(-1, 1) for _ in range(4)] for i in range(60)}
