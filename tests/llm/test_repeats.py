@@ -164,3 +164,43 @@ def test_contracted_edges_keep_components(spark):
     assert {i: x for i, x in want.items() if i != x} == {i: x for i, x in got.items() if i != x}
     assert few.count() <= 2 * len(want) < len(edges) / 5
     assert near.contracted(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("longest", [512, 4])
+def test_texts_of_common_phrases_leave_large_clusters(spark, monkeypatch, longest):
+    r = random.Random(5)
+    phrases = [" ".join(f"w{r.randint(0, 9999)}" for _ in range(10)) for _ in range(40)]
+    rows = [(i, " ".join(r.sample(phrases, 6))) for i in range(400)]
+    rows += [(1000 + i, rows[i % 40][1] + f" own{i} end") for i in range(80)]
+    rows += [(2000 + i, rows[i][1].replace(" ", " x ", 1)) for i in range(60)]
+    held, verified = [], near.verified
+
+    def spy(clusters, *rest):
+        held.extend(x["s"] for x in clusters.groupBy("cluster").agg({"n": "sum"}).withColumnRenamed("sum(n)", "s").collect())
+        return verified(clusters, *rest)
+
+    monkeypatch.setattr(near, "verified", spy)
+    monkeypatch.setattr(near, "LIST", longest, raising=False)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert listed(near.near_groups(docs, cold=2, cell_values=5000)) == brute_groups(rows, 3, 85)
+    if longest == 512:
+        assert held and max(held) < 5000  # one cluster of all texts before
+
+
+def test_sketches_are_compared_on_their_union():
+    r, k = np.random.default_rng(3), 16
+    sets = [np.unique(r.integers(0, 40, r.integers(1, 50))).astype(np.int32) for _ in range(200)]
+    sketches, n = np.full((len(sets), k), np.iinfo(np.int32).max, np.int32), np.array([len(s) for s in sets])
+    for row, s in zip(sketches, sets):
+        row[: min(k, len(s))] = s[:k]
+    a, b = np.triu_indices(len(sets), 1)
+    least = near.least_shared(60, k)
+
+    def want(x, y):
+        union, both = np.union1d(x, y), set(x) & set(y)
+        if max(len(x), len(y)) <= k:
+            return 100 * len(both) >= 60 * len(union)
+        return len(set(union[:k]) & both) >= least * min(k, len(x), len(y))
+
+    expected = [want(sets[i], sets[j]) for i, j in zip(a, b)]
+    assert near.alike(sketches[a], sketches[b], n[a], n[b], 60).tolist() == expected and any(expected) and not all(expected)
