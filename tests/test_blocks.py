@@ -441,3 +441,53 @@ def test_frequent_features_are_multiplied_dense(spark, monkeypatch, other_side):
             assert all(abs(x - scores[u, i]) < 1e-9 for _, i, x in got.get(u, []))
     assert [c[0] for c in calls] == ([3, 6] if other_side else [5, 6])
     assert all(copies <= 5 * 900 for _, copies in calls) and calls[1][1] <= 3 * 900
+
+
+def test_content_lists_join_ratings_once_and_hold_a_user_over_batches(spark, monkeypatch):
+    """Lists as by brute force from classes of items, repeated ratings and genres, null ratings; a user's ratings may lie in many batches."""
+    rng = np.random.default_rng(4)
+    genres = {i: [f"t{i % 5}", f"b{i % 3}"] + ([f"t{i % 5}"] if i % 30 == 7 else []) for i in range(600)}
+    rated = [(u, int(i), float(rng.integers(1, 10)) / 2) for u in range(25) for i in rng.integers(0, 600, 60)] + [(3, 11, None), (25, 12, None)]
+    ratings = spark.createDataFrame(rated, "user_id bigint, item_id bigint, rating double")
+    item_genres = spark.createDataFrame([(i, g) for i, own in genres.items() for g in own], "item_id bigint, genre string")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    joined, plain = [], hybrid.score_unseen_classes
+    monkeypatch.setattr(hybrid, "score_unseen_classes", lambda *a: joined.append(1) or plain(*a))
+    try:
+        found = {}
+        for r in hybrid.content_recs(ratings, item_genres, 12).collect():
+            found.setdefault(r["user_id"], []).append((r["rank"], r["item_id"], r["score"]))
+    finally:
+        spark.conf.set(key, before)
+    assert not joined and sorted(found) == list(range(25))
+    for u in range(25):
+        taste = {}
+        for v, i, x in rated:
+            for g in genres[i] if v == u and x is not None else []:
+                taste[g] = taste.get(g, 0.0) + x
+        length = sum(x * x for x in taste.values()) ** 0.5
+        seen = {i for v, i, _ in rated if v == u}
+        scores = {i: sum(taste.get(g, 0.0) for g in set(own)) / length / len(set(own)) ** 0.5 for i, own in genres.items() if i not in seen}
+        want = sorted(scores, key=lambda i: (-round(scores[i], 10), i))[:12]
+        assert sorted(found[u]) == [(n, i, round(scores[i], 4)) for n, i in enumerate(want, 1)]
+
+
+def test_signals_are_dealt_by_user_once(spark):
+    """Normalised lists are fused, and their shares taken, without a further shuffle of the lists; shares as by joining the fused list again."""
+    rng = np.random.default_rng(6)
+    rows = [(u, s, int(i), float(rng.random())) for u in range(30) for s in ("cf", "content", "trending") for i in rng.choice(60, 20, replace=False)]
+    signals = spark.createDataFrame(rows, "user_id bigint, signal string, item_id bigint, score double")
+    weight = hybrid.weight_of(hybrid.LATE_FUSION_WEIGHTS)
+    scaled = hybrid.normalised(signals)
+    fused = hybrid.fuse(scaled, weight)
+    assert fused._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = {r["signal"]: r["share"] for r in hybrid.contributions(scaled, weight, fused).collect()}
+    assert {r["signal"]: r["share"] for r in hybrid.shares(scaled, ("cf", "content", "trending"), weight).collect()} == want
+    seen = spark.createDataFrame([(1, 3), (1, 4), (2, 900)], "user_id bigint, item_id bigint")
+    top = spark.createDataFrame([(r, r, 1.0 / r) for r in range(1, 9)], "rank int, item_id bigint, score double")
+    users = spark.createDataFrame([(1,), (2,), (3,)], "user_id bigint")
+    lists = hybrid.trending_lists(users, top, seen, 3, most=3)
+    assert sorted((r["user_id"], r["item_id"]) for r in lists.collect()) == [(1, 1), (1, 2), (1, 5), (2, 1), (2, 2), (2, 3), (3, 1), (3, 2), (3, 3)]
+    assert "BroadcastNestedLoop" not in lists._jdf.queryExecution().toString()
