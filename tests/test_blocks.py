@@ -491,3 +491,29 @@ def test_signals_are_dealt_by_user_once(spark):
     lists = hybrid.trending_lists(users, top, seen, 3, most=3)
     assert sorted((r["user_id"], r["item_id"]) for r in lists.collect()) == [(1, 1), (1, 2), (1, 5), (2, 1), (2, 2), (2, 3), (3, 1), (3, 2), (3, 3)]
     assert "BroadcastNestedLoop" not in lists._jdf.queryExecution().toString()
+
+
+def test_candidates_are_dealt_once_for_their_genres(spark):
+    """Re-ranking as by brute force; of the rows, only candidates are shuffled once, no row per candidate and genre."""
+    rng = np.random.default_rng(8)
+    genres = {i: [f"t{i % 5}", f"b{i % 3}"] + ([f"t{i % 5}"] if i == 7 else []) for i in range(40)}
+    rated = [(u, int(i), float(rng.integers(1, 10)) / 2) for u in range(12) for i in rng.choice(40, 9, replace=False)]
+    listed = [(u, int(i), round(float(rng.random()), 4)) for u in range(13) for i in rng.choice(45, 20, replace=False)]
+    ratings = spark.createDataFrame(rated, "user_id bigint, item_id bigint, rating double")
+    item_genres = spark.createDataFrame([(i, g) for i, own in genres.items() for g in own], "item_id bigint, genre string")
+    candidates = spark.createDataFrame(listed, "user_id bigint, item_id bigint, score double")
+    best = hybrid.genre_reranked(candidates, ratings, item_genres, (0.7, 0.3), 5)
+    assert "Generate explode(genre" not in best._jdf.queryExecution().toString()
+    found = {}
+    for r in best.collect():
+        found.setdefault(r["user_id"], []).append((r["rank"], r["item_id"], r["score"]))
+    for u in range(13):
+        taste = {}
+        for v, i, x in rated:
+            for g in genres[i] if v == u else []:
+                taste[g] = taste.get(g, 0.0) + x
+        total = sum(taste.values()) or 1.0
+        raw = {i: 0.7 * s + 0.3 * sum(taste.get(g, 0.0) / total for g in genres.get(i, [])) for v, i, s in listed if v == u}
+        want = sorted(raw, key=lambda i: (-round(raw[i], 10), i))[:5]
+        assert [(r, i) for r, i, _ in sorted(found[u])] == [(n, i) for n, i in enumerate(want, 1)]
+        assert all(abs(s - raw[i]) < 1e-6 for _, i, s in found[u])
