@@ -517,3 +517,25 @@ def test_candidates_are_dealt_once_for_their_genres(spark):
         want = sorted(raw, key=lambda i: (-round(raw[i], 10), i))[:5]
         assert [(r, i) for r, i, _ in sorted(found[u])] == [(n, i) for n, i in enumerate(want, 1)]
         assert all(abs(s - raw[i]) < 1e-6 for _, i, s in found[u])
+
+
+def test_squares_of_lengths_travel_with_ratings(spark, monkeypatch):
+    """Entries carry the sum of squared ratings of their column, which has few bytes, not its root; scores are the cosines."""
+    rng = np.random.default_rng(9)
+    rows = [(u, int(i), float(rng.integers(1, 11)) / 2) for u in range(40) for i in rng.choice(25, 8, replace=False)]
+    tagged, plain = [], blocks.stored
+    monkeypatch.setattr(blocks, "stored", lambda df, label: plain(df, label) if label != "tagged" else tagged.append(plain(df, label)) or tagged[-1])
+    found = blocks.shared_row_top(spark.createDataFrame(rows, "u bigint, i bigint, x double"), "u", "i", "x", blocks.COSINE, 24).collect()
+    columns = {}
+    for u, i, x in rows:
+        columns.setdefault(i, {})[u] = x
+    squares = {i: sum(x * x for x in own.values()) for i, own in columns.items()}
+    assert {(r["c"], r["f"]) for r in tagged[0].select("c", "f").collect()} == set(squares.items())
+    got = {(r["key"], r["item_id"]): r["score"] for r in found}
+    want = {}
+    for a in columns:
+        for b in columns:
+            both = columns[a].keys() & columns[b].keys()
+            if a != b and both:
+                want[a, b] = sum(columns[a][u] * columns[b][u] for u in both) / (squares[a] ** 0.5 * squares[b] ** 0.5)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
